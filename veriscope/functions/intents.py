@@ -80,8 +80,8 @@ def _flags_to_array(flags: dict[str, Column]) -> Column:
 
 
 def requested(question: Column, measures: Sequence[str], dimensions: Sequence[str]) -> Column:
-    """Intents of a question, given the catalog's measure and dimension names."""
-    q = F.lower(question)
+    """Intents of a lower-case question, given the catalog's measure and dimension names."""
+    q = question
     measures = sorted({m.lower() for m in measures})
     dimensions = sorted({d.lower() for d in dimensions})
 
@@ -133,8 +133,8 @@ def requested(question: Column, measures: Sequence[str], dimensions: Sequence[st
 
 
 def performed(sql: Column) -> Column:
-    """Intents that a statement carries out."""
-    u = F.upper(sql)
+    """Intents that an upper-case statement carries out."""
+    u = sql
     ordered = F.contains(u, F.lit("ORDER BY"))
     descending = F.contains(u, F.lit("DESC"))
     return _flags_to_array(
@@ -152,8 +152,8 @@ def performed(sql: Column) -> Column:
 
 
 def intent_score(asked: Column, done: Column, sql: Column) -> Column:
-    """Share of asked intents that were done, with bonuses and penalties, in [0, 1]."""
-    u = F.upper(sql)
+    """Share of asked intents that an upper-case statement does, with bonuses and penalties, in [0, 1]."""
+    u = sql
     plain = ~F.contains(u, F.lit("GROUP BY")) & ~u.rlike(X.UNICODE + r"\b(SUM|COUNT|AVG|MAX|MIN)\s*\(")
     matched = F.size(F.array_intersect(asked, done))
     missing = F.size(F.array_except(asked, done))
@@ -171,8 +171,8 @@ def intent_score(asked: Column, done: Column, sql: Column) -> Column:
 
 
 def pattern_score(sql: Column) -> Column:
-    """Habits of a statement: a base score, bonuses and penalties, in [0, 1]."""
-    u = F.upper(sql)
+    """Habits of an upper-case statement: a base score, bonuses and penalties, in [0, 1]."""
+    u = sql
 
     def has(word: str) -> Column:
         return F.contains(u, F.lit(word))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriscope import constants as K
@@ -45,9 +45,9 @@ def _single(sql: Column, pattern: str) -> Column:
     )
 
 
-def clauses(sql: Column) -> Column:
-    """Struct of clause lists of one statement."""
-    n = X.normalise_sql(sql)
+def clauses(normal: Column) -> Column:
+    """Struct of clause lists of one normalised statement."""
+    n = normal
     return F.struct(
         _items(n, _SELECT).alias("select"),
         _single(n, _FROM).alias("from"),
@@ -59,6 +59,16 @@ def clauses(sql: Column) -> Column:
     )
 
 
+def with_clauses(df: DataFrame, sql: str, out: str) -> DataFrame:
+    """Add the clause struct of a SQL column; the text is normalised once, in its own step."""
+    normal = f"__{out}_normal"
+    return (
+        df.withColumn(normal, X.normalise_sql(F.col(sql)))
+        .withColumn(out, clauses(F.col(normal)))
+        .drop(normal)
+    )
+
+
 def bare_reference(item: Column, known_columns: Iterable[str] = ()) -> Column:
     """Reference without alias, table suffix, schema prefix and inner table prefix."""
     c = F.lower(X.strip(item))
@@ -75,14 +85,16 @@ def bare_reference(item: Column, known_columns: Iterable[str] = ()) -> Column:
     return X.strip(F.when(plain, column).otherwise(c))
 
 
-def overlap(left: Column, right: Column) -> Column:
-    """Overlap coefficient of two lists taken as sets; two empty lists agree."""
-    a = F.array_distinct(F.transform(left, lambda v: F.lower(X.strip(v))))
-    b = F.array_distinct(F.transform(right, lambda v: F.lower(X.strip(v))))
+def _as_set(items: Column) -> Column:
+    return F.array_distinct(F.transform(items, lambda v: F.lower(X.strip(v))))
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Overlap coefficient of two lists without repeats; two empty lists agree."""
     common = F.size(F.array_intersect(a, b)).cast("double")
     return (
-        F.when((F.size(left) == 0) & (F.size(right) == 0), 1.0)
-        .when((F.size(left) == 0) | (F.size(right) == 0), 0.0)
+        F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0)
+        .when((F.size(a) == 0) | (F.size(b) == 0), 0.0)
         .otherwise(F.try_divide(common, F.least(F.size(a), F.size(b))))
     )
 
@@ -113,57 +125,74 @@ def where_pairs(where: Column) -> Column:
     return F.array_distinct(F.concat(wanted, nulls))
 
 
-def where_similarity(left: Column, right: Column) -> Column:
-    """Similarity of two WHERE lists by their column/operator pairs."""
-    lw, rw = F.lower(X.strip(F.get(left, F.lit(0)))), F.lower(X.strip(F.get(right, F.lit(0))))
-    lp, rp = where_pairs(lw), where_pairs(rw)
+def with_where_similarity(df: DataFrame, left: str, right: str, out: str) -> DataFrame:
+    """Add the similarity of two WHERE lists by their column/operator pairs.
+
+    Each step is a projection of its own, so that the pairs are extracted once
+    and then read by all rules.
+    """
+    lw, rw, lp, rp, lc, rc = (f"__{out}_{n}" for n in ("lw", "rw", "lp", "rp", "lc", "rc"))
 
-    def columns(pairs: Column) -> Column:
-        return F.array_distinct(F.transform(pairs, lambda p: F.substring_index(p, " ", 1)))
+    def first(name: str) -> Column:
+        return F.lower(X.strip(F.get(F.col(name), F.lit(0))))
 
-    lc, rc = columns(lp), columns(rp)
+    def columns(name: str) -> Column:
+        return F.array_distinct(F.transform(name, lambda p: F.substring_index(p, " ", 1)))
+
+    staged = (
+        df.withColumns({lw: first(left), rw: first(right)})
+        .withColumns({lp: where_pairs(F.col(lw)), rp: where_pairs(F.col(rw))})
+        .withColumns({lc: columns(lp), rc: columns(rp)})
+    )
+    n_left, n_right = F.size(left), F.size(right)
+    p_left, p_right = F.size(lp), F.size(rp)
     shared = F.size(F.array_intersect(lp, rp))
     jaccard = shared / F.size(F.array_union(lp, rp))
     by_column = F.size(F.array_intersect(lc, rc)) / F.greatest(F.size(lc), F.size(rc))
-    return (
-        F.when((F.size(left) == 0) & (F.size(right) == 0), 1.0)
-        .when((F.size(left) == 0) | (F.size(right) == 0), 0.0)
-        .when(lw == rw, 1.0)
-        .when((F.size(lp) == 0) & (F.size(rp) == 0), 1.0)
-        .when((F.size(lp) == 0) | (F.size(rp) == 0), 0.0)
-        .when((shared == F.size(lp)) & (shared == F.size(rp)), 0.7)
+    score = (
+        F.when((n_left == 0) & (n_right == 0), 1.0)
+        .when((n_left == 0) | (n_right == 0), 0.0)
+        .when(F.col(lw) == F.col(rw), 1.0)
+        .when((p_left == 0) & (p_right == 0), 1.0)
+        .when((p_left == 0) | (p_right == 0), 0.0)
+        .when((shared == p_left) & (shared == p_right), 0.7)
         .otherwise(F.least(F.lit(0.65), jaccard * 0.6 + by_column * 0.35))
     )
+    return staged.withColumn(out, score).drop(lw, rw, lp, rp, lc, rc)
 
 
-def clause_scores(left: Column, right: Column, known_columns: Iterable[str] = ()) -> dict[str, Column]:
-    """Similarity per clause of two `clauses` structs."""
+def sql_similarity(
+    df: DataFrame, sql: str, other: str, out: str = "similarity", known_columns: Iterable[str] = ()
+) -> DataFrame:
+    """Add the similarity of two SQL columns: weighted agreement of their clauses."""
     known = list(known_columns)
-
-    def bare(side: Column, name: str) -> Column:
-        return F.transform(side[name], lambda v: bare_reference(v, known))
-
-    scores = {
-        name: overlap(bare(left, name), bare(right, name))
-        for name in CLAUSE_WEIGHTS
-        if name != "where"
-    }
-    scores["where"] = where_similarity(left["where"], right["where"])
-    return scores
-
-
-def sql_similarity(df, sql: str, other: str, out: str = "similarity", known_columns: Iterable[str] = ()):
-    """Add the similarity of two SQL columns.
-
-    The clause structs are projected first so that each text is parsed once,
-    however many scores read it.
-    """
-    left, right = f"__{out}_l", f"__{out}_r"
-    parsed = df.withColumns({left: clauses(F.col(sql)), right: clauses(F.col(other))})
-    scores = clause_scores(F.col(left), F.col(right), known_columns)
-    total = sum((scores[name] * weight for name, weight in CLAUSE_WEIGHTS.items()), F.lit(0.0))
-    same = X.normalise_sql(F.col(sql)) == X.normalise_sql(F.col(other))
-    return parsed.withColumn(out, F.when(same, 1.0).otherwise(total)).drop(left, right)
+    l, r = f"__{out}_l", f"__{out}_r"
+    parsed = (
+        df.withColumns(
+            {f"{l}_normal": X.normalise_sql(F.col(sql)), f"{r}_normal": X.normalise_sql(F.col(other))}
+        ).withColumns({l: clauses(F.col(f"{l}_normal")), r: clauses(F.col(f"{r}_normal"))})
+    )
+    listed = [name for name in CLAUSE_WEIGHTS if name != "where"]
+    sets = parsed.withColumns(
+        {
+            f"{side}_{name}": _as_set(F.transform(F.col(side)[name], lambda v: bare_reference(v, known)))
+            for side in (l, r)
+            for name in listed
+        }
+        | {f"{side}_where": F.col(side)["where"] for side in (l, r)}
+    )
+    scored = with_where_similarity(sets, f"{l}_where", f"{r}_where", f"__{out}_where")
+    total = F.lit(0.0)
+    for name, weight in CLAUSE_WEIGHTS.items():
+        score = (
+            F.col(f"__{out}_where") if name == "where"
+            else overlap(F.col(f"{l}_{name}"), F.col(f"{r}_{name}"))
+        )
+        total = total + score * weight
+    same = F.col(f"{l}_normal") == F.col(f"{r}_normal")
+    missing = F.col(sql).isNull() | F.col(other).isNull()
+    value = F.when(missing, None).when(same, 1.0).otherwise(total)
+    return scored.select(*df.columns, value.alias(out))
 
 
 def is_equivalent(similarity: Column) -> Column:

@@ -14,13 +14,6 @@ _SEQ, _PART = "__seq", "__part"
 _SLOTS = 64
 
 
-def _null_safe(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for n in names:
-        condition = condition & left[n].eqNullSafe(right[n])
-    return condition
-
-
 def rank_within(
     df: DataFrame, keys: Sequence[str], order_by: Sequence[Column], rank: str = "rank"
 ) -> DataFrame:
@@ -42,10 +35,16 @@ def rank_within(
         F.min(_SEQ).alias("__first"), F.count("*").alias("__n")
     )
     earlier = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = runs.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-    joined = ordered.join(offsets, _null_safe(ordered, offsets, [*keys, _PART]))
-    value = F.col("__before") + ordered[_SEQ] - F.col("__first") + 1
-    return joined.select(*[ordered[c] for c in df.columns], value.alias(rank))
+    names = [*keys, _PART]
+    offsets = runs.select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(names)],
+        (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first") + 1).alias("__shift"),
+    )
+    same = F.lit(True)
+    for i, k in enumerate(names):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    joined = ordered.join(offsets, same)
+    return joined.select(*df.columns, (F.col(_SEQ) + F.col("__shift")).alias(rank))
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:

@@ -101,20 +101,22 @@ def text_scores(
     sql: str = "generated_sql",
 ) -> DataFrame:
     """Add intent_score and pattern_score, with the intents they rest on."""
-    read = queries.withColumns(
+    # one projection per step, so each text is folded to one case and read once
+    folded = queries.withColumns({"__q": F.lower(question), "__u": F.upper(sql)})
+    read = folded.withColumns(
         {
-            "requested_intents": I.requested(F.col(question), measures, dimensions),
-            "performed_intents": I.performed(F.col(sql)),
+            "requested_intents": I.requested(F.col("__q"), measures, dimensions),
+            "performed_intents": I.performed(F.col("__u")),
         }
     )
     return read.withColumns(
         {
             "intent_score": I.intent_score(
-                F.col("requested_intents"), F.col("performed_intents"), F.col(sql)
+                F.col("requested_intents"), F.col("performed_intents"), F.col("__u")
             ),
-            "pattern_score": I.pattern_score(F.col(sql)),
+            "pattern_score": I.pattern_score(F.col("__u")),
         }
-    )
+    ).drop("__q", "__u")
 
 
 def column_roles(catalog: DataFrame) -> DataFrame:
