@@ -106,7 +106,7 @@ def null_issues(df: DataFrame, schema: str, table: str) -> DataFrame:
     shares = null_shares(df).filter(F.col("percentage") > K.NULL_SHARE_LIMIT)
     message = F.concat(
         F.lit("Column '"), "column_name", F.lit("' has "),
-        F.format_number("percentage", "0.0"), F.lit("% NULL values"),
+        F.format_string("%.1f", "percentage"), F.lit("% NULL values"),
     )
     details = F.create_map(
         F.lit("null_count"), F.col("null_count").cast("string"),

@@ -32,19 +32,26 @@ def strip_bom(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.replace("ï»¿", "").lstrip("﻿") for c in df.columns])
 
 
-def with_position(df: DataFrame) -> DataFrame:
-    """Source order of rows, for loads in which the first row wins.
+def with_position(scan: DataFrame) -> DataFrame:
+    """Add the source order of a file scan, for loads in which the first row wins.
 
-    File offsets grow inside a file split and splits are numbered in file
-    order, so the id rises in reading order.
+    File, start of the split and the id inside its task: ids rise in reading
+    order within a split, whichever task reads it.
     """
-    return df.withColumn(POSITION, F.monotonically_increasing_id())
+    return scan.select(
+        "*",
+        F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("row"),
+        ).alias(POSITION),
+    )
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """All columns as text, with their source order."""
     raw = spark.read.option("header", True).option("encoding", encoding).csv(path)
-    return with_position(strip_bom(raw))
+    return strip_bom(with_position(raw))
 
 
 def number(c: Column) -> Column:
