@@ -1 +1,158 @@
+"""Streaming queries: run to the end of the event file and compared with their batch form."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from veriscope.operators import catalog as C
+from veriscope.operators.drift import drift_class
+from veriscope.plans import standin as T
+from veriscope.plans.drift import embedding_baselines
+from veriscope.plans.registry import query
+from veriscope.plans.standin import with_tables
+from veriscope.sources.files import read_table, read_tables
+from veriscope.streaming import telemetry as M
+from veriscope.streaming.runs import collect_stream, fresh_path, merge_sessions_locally, run_to_end
+
+
+def _events(spark, d):
+    """Event stream in telemetry form."""
+    e = M.read_events(spark, d)
+    failed = F.col("event_type") == "error"
+    return e.select(
+        F.col("event_id").alias("query_id"), F.col("event_type").alias("agent_type"), F.col("ts").cast("timestamp").alias("created_at"),
+        F.col("value").alias("execution_time_ms"), F.when(failed, "error").otherwise("success").alias("status"),
+        (1.0 - F.least(F.col("value") / 100.0, F.lit(1.0))).alias("similarity"))
+
+
+def _ntz(df, *columns):
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
+@query("T1_scored_stream", with_tables("""
+SELECT agent_type, 'scored' AS kind, count(*) AS n FROM queries WHERE status = 'success' AND generated_sql IS NOT NULL GROUP BY 1
+UNION ALL SELECT agent_type, 'error', count(*) FROM queries WHERE status = 'error' GROUP BY 1
+UNION ALL SELECT 'embeddings', 'drift', count(*) FROM embeddings""", "queries"))
+def scored(spark, d):
+    measures, dimensions = C.measures_and_dimensions(read_tables(spark, d, ["orders", "lineitem"]))
+    path = fresh_path(spark, "scored")
+    e = M.read_events(spark, d)
+    n = F.floor("value").cast("string")
+    failed = F.col("event_type") == "error"
+    # the stand-in columns again, on the stream
+    stream = e.select(
+        F.col("event_id").alias("query_id"), F.col("event_type").alias("agent_type"), F.col("ts").alias("created_at"),
+        T._pick([q for q, _, _ in T.CORPUS], n).alias("query_text"),
+        F.when(~failed, T._pick([s for _, s, _ in T.CORPUS], n)).alias("generated_sql"),
+        F.when(failed, T._pick(T.MESSAGES, n)).alias("error"),
+        F.when(failed, "error").otherwise("success").alias("status"))
+    run_to_end(stream, path, write=M.scoring_batch(path, measures, dimensions))
+    vectors = (
+        spark.readStream.schema(read_table(spark, d, "embeddings").schema).option("pathGlobFilter", "embeddings.parquet").parquet(d)
+        .select(F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("agent_type"), "embedding",
+                F.lit("success").alias("status"), F.lit("q").alias("query_text"), F.lit("SELECT 1").alias("generated_sql"),
+                F.lit(None).cast("string").alias("error"), F.lit(None).cast("timestamp_ntz").alias("created_at"))
+    )
+    drift_path = fresh_path(spark, "scored-drift")
+    run_to_end(vectors, drift_path, write=M.scoring_batch(drift_path, measures, dimensions, lambda s: embedding_baselines(s, d)))
+
+    def counted(folder, kind, key=F.col("agent_type")):
+        rows = spark.read.parquet(folder)
+        return rows.groupBy(key.alias("agent_type")).agg(F.count("*").alias("n")).select("agent_type", F.lit(kind).alias("kind"), "n")
+
+    return (
+        counted(f"{path}/scores", "scored").unionByName(counted(f"{path}/errors", "error"))
+        .unionByName(counted(f"{drift_path}/drift", "drift", F.lit("embeddings")))
+    )
+
+
+@query("T2_high_drift_windows", """
+WITH h AS (SELECT ts FROM events WHERE 1.0::DOUBLE - least(value / 100.0::DOUBLE, 1.0::DOUBLE) < 0.5 AND event_type <> 'error'),
+w AS (SELECT unnest(generate_series(date_trunc('hour', ts) - INTERVAL 23 HOUR, date_trunc('hour', ts), INTERVAL 1 HOUR)) AS window_start FROM h)
+SELECT window_start, window_start + INTERVAL 24 HOUR AS window_end, count(*) AS n, CASE WHEN count(*) > 3 THEN 'critical' ELSE 'warning' END AS severity FROM w GROUP BY 1""")
+def high_drift(spark, d):
+    e = _events(spark, d).filter(F.col("status") == "success").withColumn("drift_classification", drift_class(F.col("similarity")))
+    out = collect_stream(M.high_drift_counts(e), "high-drift", ["window_start", "window_end"], "update")
+    return _ntz(out, "window_start", "window_end")
+
+
+@query("T3_daily_accuracy", """
+SELECT date_trunc('day', ts) AS day, event_type AS agent_type, count(*) AS total, count(*) FILTER (WHERE value < 60) AS passed,
+  round(count(*) FILTER (WHERE value < 60) * 100.0::DOUBLE / count(*), 6) AS accuracy FROM events GROUP BY ALL""")
+def daily(spark, d):
+    e = _events(spark, d).withColumn("result", F.when(F.col("execution_time_ms") < 60, "PASS").otherwise("FAIL"))
+    out = collect_stream(M.daily_accuracy(e), "daily", ["day", "agent_type"], "update")
+    return _ntz(out, "day").withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query("T4_telemetry_sessions", """
+WITH s AS (SELECT event_type, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL 10 MINUTE
+     OR lag(ts) OVER (PARTITION BY event_type ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS fresh FROM events),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM s)
+SELECT event_type AS agent_type, min(ts) AS session_start, max(ts) + INTERVAL 10 MINUTE AS session_end, count(*) AS events FROM g GROUP BY event_type, g
+HAVING max(ts) + INTERVAL 10 MINUTE < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def sessions(spark, d):
+    """Sessions that the watermark has closed."""
+    merge_sessions_locally(spark)
+    out = collect_stream(M.telemetry_sessions(_events(spark, d)), "sessions")
+    return _ntz(out, "session_start", "session_end")
+
+
+@query("T5_deduplicated_stream", "SELECT event_id AS query_id, event_type AS agent_type FROM events")
+def deduplicated(spark, d):
+    e = _events(spark, d)
+    twice = e.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2)))).drop("delivery")
+    return collect_stream(M.deduplicate(twice), "dedup").select("query_id", "agent_type")
+
+
+@query("T6_stream_with_replaced_baseline", """
+SELECT event_id AS query_id, round(value / m, 8) AS relative FROM events JOIN (SELECT event_type, avg(value) AS m FROM events GROUP BY 1) USING (event_type)""")
+def replaced_baseline(spark, d):
+    """Each micro-batch reads the baseline table that is there when it runs."""
+    path = fresh_path(spark, "baseline")
+    base = read_table(spark, d, "events").groupBy(F.col("event_type").alias("agent_type")).agg(F.avg("value").alias("m"))
+    base.withColumn("m", F.lit(0.0)).write.parquet(f"{path}/table")
+    base.write.mode("overwrite").parquet(f"{path}/table")
+
+    def write(batch, batch_id):
+        table = batch.sparkSession.read.parquet(f"{path}/table")
+        batch.join(table, ["agent_type"]).select("query_id", (F.col("execution_time_ms") / F.col("m")).alias("relative")).write.mode(
+            "overwrite").parquet(f"{path}/rows/batch_id={batch_id}")
+
+    run_to_end(_events(spark, d), path, write=write)
+    rows = spark.read.schema("query_id long, relative double").parquet(f"{path}/rows/batch_id=*")
+    return rows.withColumn("relative", F.round("relative", 8))
+
+
+@query("T7_scheduled_schema_scan", "SELECT 'events' AS table_name, 6::BIGINT AS new_columns, count(*) AS row_count FROM events")
+def scheduled_scan(spark, d):
+    """What a scheduler runs: compare the stored catalog with the tables' schemas now."""
+    tables = read_tables(spark, d, ["events", "orders"])
+    current = C.catalog_rows(spark, tables).withColumn("agent_id", F.lit(1))
+    stored = C.catalog_rows(spark, {"orders": tables["orders"]}).withColumn("agent_id", F.lit(1))
+    new = C.schema_changes(current, stored).filter(F.col("change_type") == "column_added").groupBy("table_name").agg(F.count("*").alias("new_columns"))
+    return new.join(tables["events"].agg(F.count("*").alias("row_count")))
+
+
+@query("T8_error_spikes", """
+WITH w AS (SELECT unnest(generate_series(time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 45 MINUTE, time_bucket(INTERVAL 15 MINUTE, ts), INTERVAL 15 MINUTE)) AS window_start FROM events WHERE event_type = 'error')
+SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, count(*) AS errors FROM w GROUP BY 1 HAVING count(*) > 4""")
+def spikes(spark, d):
+    out = collect_stream(M.error_spikes(_events(spark, d), limit=4), "spikes", ["window_start", "window_end"], "update")
+    return _ntz(out, "window_start", "window_end")
+
+
+@query("T8_recent_accuracy", """
+WITH w AS (SELECT unnest(generate_series(date_trunc('minute', ts) - INTERVAL 4 MINUTE, date_trunc('minute', ts), INTERVAL 1 MINUTE)) AS window_start, event_type, value FROM events)
+SELECT window_start, event_type AS agent_type, count(*) AS total, count(*) FILTER (WHERE value < 60) AS passed FROM w GROUP BY 1, 2""")
+def recent_accuracy(spark, d):
+    e = _events(spark, d).withColumn("result", F.when(F.col("execution_time_ms") < 60, "PASS").otherwise("FAIL"))
+    out = collect_stream(M.recent_accuracy(e), "recent", ["window_start", "agent_type"], "update")
+    return _ntz(out, "window_start").drop("accuracy")
+
+
+@query("S18_telemetry_ingest", with_tables("SELECT query_id, agent_type, agent_id FROM queries JOIN (SELECT agent_id, agent_name FROM agents) ON agent_type = agent_name WHERE agent_type <> 'view'", "queries", "agents"))
+def ingest(spark, d):
+    agents = T.agents(spark, d).filter(F.col("agent_name") != "view").select("agent_id", "agent_name")
+    stream = _events(spark, d).withColumn("agent_type", F.upper("agent_type"))
+    return collect_stream(M.ingest(stream, agents).select("query_id", "agent_type", "agent_id"), "ingest")
