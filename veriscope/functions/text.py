@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,8 +28,26 @@ def any_of(patterns: Iterable[str]) -> str:
     return UNICODE + "|".join(f"(?:{p})" for p in patterns)
 
 
+def either(conditions: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
 def contains_any(c: Column, phrases: Iterable[str]) -> Column:
-    return c.rlike("|".join(re.escape(p) for p in phrases))
+    """Plain substring tests: cheaper than one alternation for the regex engine."""
+    return either(F.contains(c, F.lit(p)) for p in phrases)
+
+
+def matches_any(c: Column, patterns: Iterable[str]) -> Column:
+    """Any of several patterns whose only operator is `.*`.
+
+    A pattern without it is a substring test. One with it is handed to the
+    regex engine only for texts that contain all of its literal parts.
+    """
+    tests = []
+    for p in patterns:
+        parts = [F.contains(c, F.lit(x)) for x in p.split(".*")]
+        tests.append(reduce(lambda a, b: a & b, parts + ([c.rlike(p)] if ".*" in p else [])))
+    return either(tests)
 
 
 def question_key(c: Column) -> Column:

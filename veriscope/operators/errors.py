@@ -6,39 +6,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriscope import constants as K
+from veriscope.functions.text import matches_any
 
 
-def error_category(message: Column) -> Column:
-    """First category, in order, one of whose patterns occurs; AGENT_LOGIC otherwise."""
-    lower = F.lower(message)
-    chain = F.when(message.isNull() | (message == ""), "UNKNOWN")
+def matched_category(lower: Column) -> Column:
+    """First category, in order, one of whose patterns occurs in a lower-case message."""
+    chain = None
     for category, patterns in K.ERROR_PATTERNS.items():
-        chain = chain.when(lower.rlike("|".join(f"(?:{p})" for p in patterns)), category)
-    return chain.otherwise("AGENT_LOGIC")
-
-
-def _any_pattern(message: Column) -> Column:
-    every = [p for patterns in K.ERROR_PATTERNS.values() for p in patterns]
-    return F.lower(message).rlike("|".join(f"(?:{p})" for p in every))
+        hit = matches_any(lower, patterns)
+        chain = F.when(hit, category) if chain is None else chain.when(hit, category)
+    return chain
 
 
 def classify_errors(errors: DataFrame, message: str = "error_message") -> DataFrame:
     """Add error_category, severity, suggested_fix and `stored` (false for empty messages).
 
-    An unmatched message is AGENT_LOGIC with low severity, a matched one has the
-    severity of its category.
+    A matched message has the severity of its category; an unmatched one is
+    AGENT_LOGIC, an empty one UNKNOWN, both of low severity.
     """
-    category = error_category(F.col(message))
     severity = F.create_map(*[F.lit(x) for pair in K.ERROR_SEVERITY.items() for x in pair])
     advice = F.create_map(*[F.lit(x) for pair in K.ERROR_ADVICE.items() for x in pair])
-    named = errors.withColumn("error_category", category)
-    matched = F.coalesce(_any_pattern(F.col(message)), F.lit(False))
-    return named.withColumns(
-        {
-            "severity": F.when(matched, severity[F.col("error_category")]).otherwise("low"),
-            "suggested_fix": advice[F.col("error_category")],
-            "stored": F.col("error_category") != "UNKNOWN",
-        }
+    empty = F.col(message).isNull() | (F.col(message) == "")
+    # one projection per step, so the message is folded and searched once
+    matched = errors.withColumn("__lower", F.lower(message)).withColumn(
+        "__matched", matched_category(F.col("__lower"))
+    )
+    category = F.when(empty, "UNKNOWN").otherwise(F.coalesce("__matched", F.lit("AGENT_LOGIC")))
+    return (
+        matched.withColumns(
+            {
+                "error_category": category,
+                "severity": F.coalesce(severity[F.col("__matched")], F.lit("low")),
+                "stored": ~empty,
+            }
+        )
+        .withColumn("suggested_fix", advice[F.col("error_category")])
+        .drop("__lower", "__matched")
     )
 
 

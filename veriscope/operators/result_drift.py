@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from veriscope import constants as K
 from veriscope.functions import psi as P
-from veriscope.operators.lookup import lookup_join
+from veriscope.operators.lookup import lookup_join, measured
 from veriscope.operators.ordering import percentiles_of_counts, value_counts
 from veriscope.session import shared_dir
 
@@ -56,23 +56,20 @@ def psi_baseline(values: DataFrame) -> DataFrame:
         .filter(F.size("bucket_edges") >= 2)
         .select(*keys, "bucket_edges", "sample_count")
     )
+    edges = measured(edges)
+    # counts alone are aggregated; the edge arrays are joined on afterwards
     filled = (
-        lookup_join(counts, edges, keys, "inner")
+        counts.join(edges, keys)
         .withColumn("bucket", P.bucket_of(F.col("value"), F.col("bucket_edges")))
         .filter("bucket >= 0")
         .groupBy(*keys, "bucket")
-        .agg(
-            F.sum("n").alias("n"),
-            F.first("bucket_edges").alias("bucket_edges"),
-            F.first("sample_count").alias("sample_count"),
-        )
+        .agg(F.sum("n").alias("n"))
         .groupBy(*keys)
         .agg(
-            F.first("bucket_edges").alias("bucket_edges"),
             F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("found"),
             F.sum("n").alias("total"),
-            F.first("sample_count").alias("sample_count"),
         )
+        .join(edges, keys)
     )
     expected = F.transform(
         F.sequence(F.lit(0), F.size("bucket_edges") - 2),
@@ -99,21 +96,19 @@ def column_psi(values: DataFrame, baseline: DataFrame) -> DataFrame:
     """
     keys = ["query_id", "agent_type", "column_name"]
     on = ["agent_type", "column_name"]
-    metric = values.filter(P.is_metric_column(F.col("column_name")))
+    known = measured(baseline)
     counted = (
-        lookup_join(metric, baseline, on, "inner")
-        .withColumn("bucket", P.bucket_of(F.col("value"), F.col("bucket_edges")))
+        values.filter(P.is_metric_column(F.col("column_name")))
+        .join(known.select(*on, "bucket_edges"), on)
+        .select(*keys, P.bucket_of(F.col("value"), F.col("bucket_edges")).alias("bucket"))
         .groupBy(*keys, "bucket")
-        .agg(
-            F.count("*").alias("n"),
-            F.first("expected_pct").alias("expected_pct"),
-        )
+        .agg(F.count("*").alias("n"))
         .groupBy(*keys)
         .agg(
             F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("found"),
             F.sum("n").alias("value_count"),
-            F.first("expected_pct").alias("expected_pct"),
         )
+        .join(known.select(*on, "expected_pct"), on)
     )
     share = P.shares(F.col("found"), F.size("expected_pct"))
     psi = F.round(P.stability_index(F.col("expected_pct"), share), K.PSI_DIGITS)

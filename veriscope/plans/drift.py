@@ -11,7 +11,7 @@ from veriscope.operators import matching as M
 from veriscope.operators import result_drift as P
 from veriscope.operators.ordering import exact_percentiles, first_per_key
 from veriscope.plans.registry import query
-from veriscope.sources.files import read_table
+from veriscope.sources.files import read_table, spread
 
 _METRICS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _KEYS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
@@ -58,12 +58,12 @@ _CLASS_SQL = "CASE WHEN {p} < 0.1 THEN 'normal' WHEN {p} < 0.2 THEN 'medium' ELS
 
 
 def lineitem_baseline(spark, d):
-    table = read_table(spark, d, "lineitem")
+    table = spread(read_table(spark, d, "lineitem"))
     return P.psi_baseline(P.pooled_values([table], "lineitem", exclude=_KEYS))
 
 
 def supplier_values(spark, d):
-    table = read_table(spark, d, "lineitem").select(
+    table = spread(read_table(spark, d, "lineitem")).select(
         F.col("l_suppkey").alias("query_id"), F.lit("lineitem").alias("agent_type"), *_METRICS
     )
     return P.to_long(table, ["query_id", "agent_type"], _METRICS)
@@ -85,7 +85,7 @@ def result_drift_by_supplier(spark, d):
 WITH {_BASE_SQL}, {_column_psi_sql('ship_year')}
 SELECT k AS query_id, column_name, psi FROM column_psi""")
 def column_psi_by_year(spark, d):
-    table = read_table(spark, d, "lineitem").select(
+    table = spread(read_table(spark, d, "lineitem")).select(
         F.year("l_shipdate").cast("long").alias("query_id"), F.lit("lineitem").alias("agent_type"), *_METRICS
     )
     values = P.to_long(table, ["query_id", "agent_type"], _METRICS)

@@ -12,7 +12,7 @@ from veriscope.operators.ordering import rolling_last_n, top_per_key
 from veriscope.plans import standin as T
 from veriscope.plans.registry import query
 from veriscope.plans.standin import with_tables
-from veriscope.sources.files import read_table
+from veriscope.sources.files import read_table, spread
 
 AGENTS = ["click", "error", "purchase", "signup", "view"]
 
@@ -551,7 +551,7 @@ def categories(spark, d):
 WITH c AS (SELECT {T._category_sql('text')} AS c FROM documents)
 SELECT CASE c WHEN 'DEFAULT' THEN 'AGENT_LOGIC' ELSE c END AS error_category, count(*) AS n FROM c GROUP BY 1""")
 def document_messages(spark, d):
-    docs = read_table(spark, d, "documents").select("doc_id", F.col("text").alias("error_message"))
+    docs = spread(read_table(spark, d, "documents")).select("doc_id", F.col("text").alias("error_message"))
     return E.classify_errors(docs).groupBy("error_category").agg(F.count("*").alias("n"))
 
 

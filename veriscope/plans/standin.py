@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from veriscope.operators import scoring as G
 from veriscope.operators.drift import drift_class
-from veriscope.sources.files import read_table
+from veriscope.sources.files import read_table, spread
 
 AS_OF = datetime(2024, 1, 31)
 AS_OF_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -79,7 +79,7 @@ def _pick(options, n: Column) -> Column:
 
 def queries(spark: SparkSession, folder: str) -> DataFrame:
     """Telemetry log."""
-    e = read_table(spark, folder, "events")
+    e = spread(read_table(spark, folder, "events"))
     n = F.floor("value").cast("string")
     failed = F.col("event_type") == "error"
     return e.select(

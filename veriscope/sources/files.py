@@ -23,6 +23,19 @@ def read_tables(spark: SparkSession, folder: str, names) -> dict[str, DataFrame]
     return {name: read_table(spark, folder, name) for name in names}
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal out a scan with far fewer splits than cores before costly work per row.
+
+    One file of one row group is read by a single task, however many cores
+    there are. Inputs with enough splits are left as they are. Only for plain
+    scans: their number of splits is known without running anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() * 4 <= cores:
+        return scan.repartition(cores)
+    return scan
+
+
 def snake(name: str) -> str:
     return re.sub(r"\W+", "_", name.strip()).lower()
 
