@@ -22,14 +22,18 @@ def bucket_of(value: Column, edges: Column, max_buckets: int = K.PSI_BUCKETS) ->
     return F.when(outside, -1).otherwise(F.least(passed - 1, last - 1))
 
 
-def shares(counts: Column, buckets: Column) -> Column:
-    """Share per bucket from a map bucket -> count; uniform when every value fell outside."""
-    index = F.sequence(F.lit(0), buckets - 1)
-    found = F.transform(index, lambda i: F.coalesce(F.try_element_at(counts, i), F.lit(0)))
-    total = F.aggregate(found, F.lit(0).cast("long"), lambda a, n: a + n)
-    return F.when(
-        total == 0, F.transform(index, lambda i: F.lit(1.0) / buckets)
-    ).otherwise(F.transform(found, lambda n: F.greatest(n / total, F.lit(K.PSI_FLOOR))))
+def shares(counts: Column, total: Column, buckets: Column) -> Column:
+    """Share per bucket from a map bucket -> count and their total; uniform when the total is 0.
+
+    Give columns, not expressions: a lambda would evaluate an expression again
+    for every bucket.
+    """
+
+    def share(i: Column) -> Column:
+        part = F.coalesce(F.try_element_at(counts, i), F.lit(0)) / total
+        return F.when(total == 0, 1.0 / buckets).otherwise(F.greatest(part, F.lit(K.PSI_FLOOR)))
+
+    return F.transform(F.sequence(F.lit(0), buckets - 1), share)
 
 
 def stability_index(expected: Column, actual: Column) -> Column:
@@ -39,9 +43,8 @@ def stability_index(expected: Column, actual: Column) -> Column:
         e, a = F.greatest(e, F.lit(K.PSI_FLOOR)), F.greatest(a, F.lit(K.PSI_FLOOR))
         return (a - e) * F.ln(a / e)
 
-    width = F.least(F.size(expected), F.size(actual))
-    terms = F.zip_with(F.slice(expected, 1, width), F.slice(actual, 1, width), term)
-    return F.aggregate(terms, F.lit(0.0), lambda total, t: total + t)
+    terms = F.zip_with(expected, actual, term)
+    return F.aggregate(terms, F.lit(0.0), lambda total, t: total + F.coalesce(t, F.lit(0.0)))
 
 
 def psi_class(psi: Column) -> Column:

@@ -96,10 +96,10 @@ def column_psi(values: DataFrame, baseline: DataFrame) -> DataFrame:
     """
     keys = ["query_id", "agent_type", "column_name"]
     on = ["agent_type", "column_name"]
-    known = measured(baseline)
+    # the name rule is applied to the few baseline columns, not to every value
+    known = measured(baseline.filter(P.is_metric_column(F.col("column_name"))))
     counted = (
-        values.filter(P.is_metric_column(F.col("column_name")))
-        .join(known.select(*on, "bucket_edges"), on)
+        values.join(known.select(*on, "bucket_edges"), on)
         .select(*keys, P.bucket_of(F.col("value"), F.col("bucket_edges")).alias("bucket"))
         .groupBy(*keys, "bucket")
         .agg(F.count("*").alias("n"))
@@ -107,20 +107,24 @@ def column_psi(values: DataFrame, baseline: DataFrame) -> DataFrame:
         .agg(
             F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("found"),
             F.sum("n").alias("value_count"),
+            F.coalesce(F.sum(F.when(F.col("bucket") >= 0, F.col("n"))), F.lit(0)).alias("in_range"),
         )
-        .join(known.select(*on, "expected_pct"), on)
+        .join(known.select(*on, "expected_pct", F.size("expected_pct").alias("buckets")), on)
     )
-    share = P.shares(F.col("found"), F.size("expected_pct"))
-    psi = F.round(P.stability_index(F.col("expected_pct"), share), K.PSI_DIGITS)
-    return counted.select(*keys, psi.alias("psi"), "value_count")
+    shared = counted.withColumn("share", P.shares(F.col("found"), F.col("in_range"), F.col("buckets")))
+    psi = F.round(P.stability_index(F.col("expected_pct"), F.col("share")), K.PSI_DIGITS)
+    return shared.select(*keys, psi.alias("psi"), "value_count")
 
 
 def overall_psi(by_column: DataFrame) -> DataFrame:
     """One row per query: highest column PSI, class, anomaly flag."""
     scored = by_column.groupBy("query_id", "agent_type").agg(
-        F.max("psi").alias("overall_psi"),
-        F.count("*").cast("int").alias("columns_analyzed"),
-        F.map_from_entries(F.collect_list(F.struct("column_name", "psi"))).alias("psi_scores"),
+        F.map_from_entries(F.collect_list(F.struct("column_name", "psi"))).alias("psi_scores")
+    ).withColumns(
+        {
+            "overall_psi": F.array_max(F.map_values("psi_scores")),
+            "columns_analyzed": F.size("psi_scores"),
+        }
     )
     return scored.withColumns(
         {

@@ -12,6 +12,7 @@ from veriscope import schemas as S
 from veriscope.operators.drift import score_drift
 from veriscope.operators.errors import classify_errors
 from veriscope.operators.scoring import text_scores
+from veriscope.sources.files import spread
 from veriscope.sources.stores import register_telemetry
 
 
@@ -107,7 +108,7 @@ def scoring_batch(path: str, measures, dimensions,
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+        batch = spread(batch).persist()
         try:
             live = batch.filter((F.col("status") == "success") & F.col("generated_sql").isNotNull())
             scored = text_scores(live, measures, dimensions).select(
