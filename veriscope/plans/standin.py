@@ -115,8 +115,6 @@ QUERIES_SQL = f"""queries AS (
          value AS execution_time_ms, ts AS created_at, user_id
   FROM events)"""
 
-_RESULT = (F.col("query_id") * 53 % 101) / 100.0
-
 
 def evaluations(spark: SparkSession, folder: str) -> DataFrame:
     """Evaluations of the successful queries slower than 5 ms, with their JSON."""
@@ -127,7 +125,7 @@ def evaluations(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(1.0).alias("structural_score"),
         ((F.col("query_id") * 37 % 101) / 100.0).alias("semantic_score"),
         F.when(F.col("query_id") % 3 == 0, 0.0).otherwise(1.0).alias("llm_score"),
-        F.when(F.col("query_id") % 7 != 0, _RESULT).alias("result_score"),
+        F.when(F.col("query_id") % 7 != 0, (F.col("query_id") * 53 % 101) / 100.0).alias("result_score"),
         F.when(F.col("execution_time_ms") < 20, "simple").when(F.col("execution_time_ms") < 60, "medium")
         .otherwise("complex").alias("complexity"),
     )

@@ -129,7 +129,7 @@ def read_supply(spark: SparkSession, path: str) -> DataFrame:
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """Entries of ground-truth files: `{queries: [...]}` or a bare list."""
     text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("doc"))
-    listed = F.from_json("doc", F.lit(f"array<{S.GROUND_TRUTH_ENTRY.simpleString()}>"))
+    listed = F.from_json("doc", f"array<{S.GROUND_TRUTH_ENTRY}>")
     inside = F.from_json("doc", S.GROUND_TRUTH_DOCUMENT)["queries"]
     queries = F.when(F.col("doc").startswith("["), listed).otherwise(inside)
     return text.select(F.posexplode(queries).alias("position", "entry")).select("position", "entry.*")

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veriscope.operators.ordering import latest_per_key
 from veriscope.session import shared_dir
@@ -36,7 +37,7 @@ def run_to_end(stream: DataFrame, path: str, mode: str = "append",
 
 def newest(spark: SparkSession, path: str, schema, keys: Sequence[str]) -> DataFrame:
     """Newest version per key of what `versioned_sink` wrote."""
-    rows = spark.read.schema(schema.add("batch_id", "long")).parquet(f"{path}/rows")
+    rows = spark.read.schema(T.StructType(schema.fields + [T.StructField("batch_id", T.LongType())])).parquet(f"{path}/rows")
     return latest_per_key(rows, keys, ["batch_id"]).drop("batch_id")
 
 
