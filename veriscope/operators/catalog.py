@@ -260,12 +260,19 @@ def key_columns_text(columns: DataFrame, by: Sequence[str], position: str, name:
 def value_profile(df: DataFrame, most: int = 10, shown: int = 5) -> DataFrame:
     """Columns with 2 to `most` distinct values and their first values in order.
 
-    A column's distinct values are collected only once they are known to be few.
+    A sketch per column, from one scan, leaves out the columns with many
+    values; only those with few are counted exactly.
     """
+    simple = [
+        f.name for f in df.schema.fields
+        if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
+    ]
+    about = df.agg(*[F.approx_count_distinct(f"`{c}`").alias(c) for c in simple]).first()
+    few_valued = [c for c in simple if about[c] <= 10 * most] or simple[:1]
     cells = F.array(
         *[
-            F.struct(F.lit(f.name).alias("column_name"), F.col(f"`{f.name}`").cast("string").alias("v"))
-            for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
+            F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("v"))
+            for c in few_valued
         ]
     )
     values = (

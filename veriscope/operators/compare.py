@@ -80,10 +80,10 @@ def match_rate(
     if position is None:
         position = "__position"
         actual = rank_within(
-            actual.select(*keys, *[n for n, _ in left]), keys, V.sort_columns(left), position
+            actual.select(*keys, *[n for n, _ in left]), keys, V.sort_columns(left), position, True
         )
         expected = rank_within(
-            expected.select(*keys, *[n for n, _ in right]), keys, V.sort_columns(right), position
+            expected.select(*keys, *[n for n, _ in right]), keys, V.sort_columns(right), position, True
         )
     matched = _paired(actual, expected, keys, position, left, right)
     sizes = (

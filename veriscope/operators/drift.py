@@ -124,7 +124,7 @@ def baseline_questions(
         )
         tagged = part if tagged is None else tagged.unionByName(part)
     best = tagged.groupBy(agent).agg(F.min("__priority").alias("__priority"))
-    chosen = tagged.join(best, [agent, "__priority"]).drop("__priority")
+    chosen = lookup_join(tagged, best, [agent, "__priority"], "inner").drop("__priority")
     return top_per_key(chosen, [agent], [F.col(position)], K.BASELINE_QUESTIONS)
 
 

@@ -7,29 +7,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriscope.operators.lookup import lookup_join
-from veriscope.session import shared_dir
+from veriscope.operators.lookup import lookup_join, measured
+from veriscope.session import written
 
-_SEQ, _PART = "__seq", "__part"
+_SEQ, _PART, _TIE = "__seq", "__part", "__tie"
 _SLOTS = 64
 
 
 def rank_within(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence[Column], rank: str = "rank"
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[Column], rank: str = "rank",
+    equal_rows: bool = False,
 ) -> DataFrame:
     """1-based row number per key without gathering a key in one task.
 
     A range sort spreads every key, however large, over many partitions. Row
-    ids of the sorted (checkpointed) rows are consecutive inside a partition,
+    ids of the sorted, written rows are consecutive inside a partition,
     so only one small row per key and partition is needed to turn them into
-    ranks. `order_by` must be a total order for a repeatable result.
+    ranks. `order_by` must be a total order for a repeatable result; say
+    `equal_rows` when rows that tie are equal in every column, so that masses of
+    them are spread over partitions as well.
     """
-    shared_dir(df.sparkSession)
-    ordered = (
-        df.orderBy(*keys, *order_by)
+    source = df.withColumn(_TIE, F.monotonically_increasing_id()) if equal_rows else df
+    ties = [_TIE] if equal_rows else []
+    ordered = written(
+        source.orderBy(*keys, *order_by, *ties)
+        .drop(*ties)
         .withColumn(_SEQ, F.monotonically_increasing_id())
         .withColumn(_PART, F.shiftright(_SEQ, 33))
-        .checkpoint()
     )
     runs = ordered.groupBy(*keys, _PART).agg(
         F.min(_SEQ).alias("__first"), F.count("*").alias("__n")
@@ -122,8 +126,7 @@ def exact_percentiles(
     slots tell which of them hold the wanted ranks, and only the values of
     those slots are ordered.
     """
-    shared_dir(df.sparkSession)
-    counts = value_counts(df, keys, value).checkpoint()
+    counts = written(value_counts(df, keys, value))
     return percentiles_of_counts(counts, keys, value, probabilities)
 
 
@@ -148,9 +151,14 @@ def percentiles_of_counts(
     key is cheapest. Beyond that they are ordered slot by slot.
     """
     keys = list(keys)
-    widest = counts.groupBy(*keys).agg(F.count("*").alias("d")).agg(F.max("d")).first()[0] or 0
+    totals = measured(
+        counts.groupBy(*keys)
+        .agg(F.sum("n").alias("__total"), F.count("*").alias("__distinct"))
+        .withColumn("__ranks", _wanted_ranks(probabilities))
+    )
+    widest = totals.agg(F.max("__distinct")).first()[0] or 0
     locate = _ranks_by_key if widest <= one_task else _ranks_by_slot
-    at = locate(counts, keys, value, probabilities).groupBy(*keys).agg(
+    at = locate(counts, totals.drop("__distinct"), keys, value).groupBy(*keys).agg(
         F.first("__total").alias("sample_count"),
         F.map_from_entries(F.collect_list(F.struct("__rank", value))).alias("__at"),
     )
@@ -167,29 +175,31 @@ def percentiles_of_counts(
 
 
 def _wanted_ranks(probabilities: Sequence[float]) -> Column:
-    """0-based ranks next to each percentile of `__total` values."""
+    """0-based ranks on both sides of each percentile of `__total` values."""
     places = [F.lit(float(p)) * (F.col("__total") - 1) for p in probabilities]
     return F.array_distinct(F.array(*[f(p).cast("long") for p in places for f in (F.floor, F.ceil)]))
 
 
 def _explode_held(df: DataFrame) -> DataFrame:
     """Rows that hold wanted ranks, one per rank; `__end` is the running count."""
-    held = F.filter("__ranks", lambda r: (r >= F.col("__end") - F.col("n")) & (r < F.col("__end")))
-    return df.withColumn("__rank", F.explode(held))
+    start = F.col("__end") - F.col("n")
+    # values that occur once, usually nearly all, are tested without a lambda
+    single = F.array_contains("__ranks", start)
+    several = F.exists("__ranks", lambda r: (r >= start) & (r < F.col("__end")))
+    held = F.filter("__ranks", lambda r: (r >= start) & (r < F.col("__end")))
+    holders = df.filter(F.when(F.col("n") == 1, single).otherwise(several))
+    return holders.withColumn("__rank", F.explode(held))
 
 
-def _ranks_by_key(counts, keys, value, probabilities) -> DataFrame:
-    whole = Window.partitionBy(*keys)
-    running = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("__total"))
-    ranked = lookup_join(
-        counts.withColumn("__end", F.sum("n").over(running)),
-        totals.withColumn("__ranks", _wanted_ranks(probabilities)), keys, "inner",
+def _ranks_by_key(counts, totals, keys, value) -> DataFrame:
+    running = (
+        Window.partitionBy(*keys).orderBy(value)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return _explode_held(ranked)
+    return _explode_held(counts.withColumn("__end", F.sum("n").over(running)).join(totals, keys))
 
 
-def _ranks_by_slot(counts, keys, value, probabilities) -> DataFrame:
+def _ranks_by_slot(counts, totals, keys, value) -> DataFrame:
     cuts = [i / _SLOTS for i in range(1, _SLOTS)]
     splitters = counts.groupBy(*keys).agg(
         F.percentile_approx(value, cuts, F.lit(_SLOTS * 20)).alias("__cuts")
@@ -200,20 +210,15 @@ def _ranks_by_slot(counts, keys, value, probabilities) -> DataFrame:
         "n",
         F.size(F.filter("__cuts", lambda c: c <= F.col(value))).alias("__slot"),
     )
-    by_key = Window.partitionBy(*keys)
-    before = by_key.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = (
         slotted.groupBy(*keys, "__slot")
         .agg(F.sum("n").alias("__slot_n"))
-        .withColumns(
-            {
-                "__before": F.coalesce(F.sum("__slot_n").over(before), F.lit(0)),
-                "__total": F.sum("__slot_n").over(by_key),
-            }
-        )
+        .withColumn("__before", F.coalesce(F.sum("__slot_n").over(before), F.lit(0)))
+        .join(totals, keys)
     )
     inside = F.filter(
-        _wanted_ranks(probabilities),
+        "__ranks",
         lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__slot_n")),
     )
     wanted = slots.withColumn("__ranks", inside).filter(F.size("__ranks") > 0)

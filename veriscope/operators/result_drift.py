@@ -12,7 +12,7 @@ from veriscope import constants as K
 from veriscope.functions import psi as P
 from veriscope.operators.lookup import lookup_join, measured
 from veriscope.operators.ordering import percentiles_of_counts, value_counts
-from veriscope.session import shared_dir
+from veriscope.session import written
 
 _DECILES = [i / K.PSI_BUCKETS for i in range(K.PSI_BUCKETS + 1)]
 
@@ -47,8 +47,7 @@ def psi_baseline(values: DataFrame) -> DataFrame:
     with too few values, or with one distinct decile, get no baseline.
     """
     keys = ["agent_type", "column_name"]
-    shared_dir(values.sparkSession)
-    counts = value_counts(values, keys, "value").checkpoint()
+    counts = written(value_counts(values, keys, "value"))
     edges = (
         percentiles_of_counts(counts, keys, "value", _DECILES)
         .filter(F.col("sample_count") >= K.PSI_MIN_SAMPLES)

@@ -360,14 +360,11 @@ def profile(spark, d):
 
 
 @query("A17_key_columns_text", """
-SELECT o_orderkey, string_agg(l_linenumber::VARCHAR || '/' || l_partkey, ', ' ORDER BY l_linenumber, l_linenumber::VARCHAR || '/' || l_partkey) AS columns
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1""")
+SELECT c_nationkey, string_agg(c_mktsegment, ', ' ORDER BY n, c_mktsegment) AS columns
+FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2) GROUP BY 1""")
 def key_text(spark, d):
-    li = read_table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("o_orderkey"), "l_linenumber",
-        F.concat_ws("/", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("label"))
-    done = read_table(spark, d, "orders").filter(F.col("o_orderstatus") == "F").select("o_orderkey")
-    return C.key_columns_text(li.join(done, ["o_orderkey"]), ["o_orderkey"], "l_linenumber", "label")
+    segments = read_table(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
+    return C.key_columns_text(segments, ["c_nationkey"], "n", "c_mktsegment")
 
 
 @query("J10_constraint_join", """

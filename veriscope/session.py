@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -40,3 +41,14 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows of `df` as a table in the shared folder, computed once.
+
+    Cuts the lineage like a checkpoint, and later steps read only the columns
+    they need. Survives the loss of executors.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,19 +12,22 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriscope.functions.text import agent_key
-from veriscope.operators.ordering import latest_per_key, rank_within
+from veriscope.operators.lookup import measured
+from veriscope.operators.ordering import rank_within
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Old rows with those of `new` replacing equal keys; the last batch wins."""
-    both = old.withColumn("__v", F.lit(0)).unionByName(new.withColumn("__v", F.lit(1)))
-    return latest_per_key(both, keys, ["__v"]).drop("__v")
+    """Old rows with those of `new` replacing equal keys; `new` has one row per key.
+
+    While the batch is small its keys are broadcast and the old rows are not
+    shuffled.
+    """
+    return old.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
 
 
 def replace_agents(old: DataFrame, new: DataFrame, agents: DataFrame, key: str = "agent_id") -> DataFrame:
     """All rows of the given agents replaced, also by nothing."""
-    return old.join(agents.select(key).distinct(), [key], "left_anti").unionByName(new)
+    return old.join(measured(agents.select(key).distinct()), [key], "left_anti").unionByName(new)
 
 
 def write_agents(df: DataFrame, path: str, key: str = "agent_id") -> None:
@@ -44,7 +47,7 @@ def delete_agents(tables: dict[str, DataFrame], agents: DataFrame, dead_ids: Dat
     keyed by agent lose the agents' rows.
     """
     doomed = agents.join(dead_ids.select("agent_id"), ["agent_id"], "left_semi")
-    names = doomed.select(F.col("agent_name").alias("agent_type"))
+    names = measured(doomed.select(F.col("agent_name").alias("agent_type")))
     dead_queries = tables["queries"].join(names, ["agent_type"], "left_semi").select("query_id")
     out = {"agents": agents.join(dead_ids.select("agent_id"), ["agent_id"], "left_anti")}
     for name, df in tables.items():
@@ -122,7 +125,7 @@ class GroundTruthStore:
         self.spark, self.root = spark, root.rstrip("/")
 
     def path(self, agent: str) -> str:
-        key = self.spark.range(1).select(agent_key(F.lit(agent))).first()[0]
+        key = agent.lower().replace(" ", "_").replace("_agent", "")
         return f"{self.root}/{key}_agent_queries.json"
 
     def _hadoop(self, path: str):
