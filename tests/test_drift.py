@@ -136,3 +136,19 @@ def test_ground_truth_match_both_ways(spark, max_bytes):
             assert got[q].is_match == (not clash) and got[q].trusted == (best >= 0.8 and not clash)
         else:
             assert not got[q].is_match
+
+
+def test_stream_uses_the_baseline_of_the_moment(spark, tmp_path):
+    """A baseline replaced between two batches is used from the second batch on."""
+    from veriscope.streaming.telemetry import scoring_batch
+
+    table, out = str(tmp_path / "baseline"), str(tmp_path / "out")
+    schema = "query_id long, agent_type string, embedding array<float>, status string, query_text string, generated_sql string, error string, created_at timestamp_ntz"
+    batch = spark.createDataFrame([(1, "a", [1.0, 0.0], "success", "q", "SELECT 1", None, None)], schema)
+    write = scoring_batch(out, [], [], lambda s: s.read.parquet(table))
+    for batch_id, centroid in enumerate(([1.0, 0.0], [0.0, 1.0])):
+        spark.createDataFrame([("a", centroid)], "agent_type string, centroid array<double>").write.mode("overwrite").parquet(table)
+        write(batch, batch_id)
+        write(batch, batch_id)  # a repeated batch replaces its rows
+    got = {r.batch_id: r.drift_classification for r in spark.read.parquet(f"{out}/drift").collect()}
+    assert got == {0: "normal", 1: "high"} and spark.read.parquet(f"{out}/drift").count() == 2

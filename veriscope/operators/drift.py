@@ -65,16 +65,17 @@ def score_drift(
     baselines: DataFrame,
     agent: str = "agent_type",
     vector: str = "embedding",
+    keep_baselines: bool = True,
 ) -> DataFrame:
     """Drift of each query vector from its agent's centroid.
 
     Adds similarity_to_baseline, drift_score, drift_classification, is_anomaly
-    and `stored`: false for the skip states, which score 0.
+    and `stored`: false for the skip states, which score 0. Streams pass
+    `keep_baselines=False`, as a kept table would hide later baselines.
     """
     table = baselines.select(F.col(agent), F.col("centroid").alias("__centroid"))
-    joined = lookup_join(
-        queries.withColumn(agent, F.col(agent).cast("string")), table, [agent]
-    )
+    named = queries.withColumn(agent, F.col(agent).cast("string"))
+    joined = lookup_join(named, table, [agent]) if keep_baselines else named.join(table, [agent], "left")
     measured = joined.withColumns(
         {"__norm": V.norm(vector), "__cos": V.cosine(vector, "__centroid")}
     )

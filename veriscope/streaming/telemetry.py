@@ -121,7 +121,7 @@ def scoring_batch(path: str, measures, dimensions,
             ).write.mode("overwrite").parquet(f"{path}/errors/batch_id={batch_id}")
             if baselines is not None:
                 table = baselines(batch.sparkSession)
-                score_drift(live, table).filter("stored").select(
+                score_drift(live, table, keep_baselines=False).filter("stored").select(
                     "query_id", "agent_type", "created_at", "similarity_to_baseline", "drift_score",
                     "drift_classification", "is_anomaly",
                 ).write.mode("overwrite").parquet(f"{path}/drift/batch_id={batch_id}")
