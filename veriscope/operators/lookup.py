@@ -14,7 +14,11 @@ def measured(table: DataFrame) -> DataFrame:
     here. Spark then knows the table's true size when it plans joins with it:
     below `spark.sql.autoBroadcastJoinThreshold` it is broadcast, above that
     the join shuffles. Lost parts are recomputed from their lineage.
+
+    An earlier result of the same plan is dropped first, so that a table whose
+    files have changed meanwhile is read again.
     """
+    table.unpersist()
     kept = table.cache()
     kept.count()
     return kept
