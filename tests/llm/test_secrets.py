@@ -1,0 +1,48 @@
+from pyspark.sql import functions as F
+
+from llm.brute import base_digest, base_secrets, rows
+from veriscope.llm import secrets as sec
+
+
+def test_base_spans_equal_brute_force(spark, small):
+    got = {r.doc_id: r for r in sec.op10_secret_ownership(spark, small).collect()}
+    found = 0
+    for doc_id, text in rows(small, "SELECT doc_id, text FROM documents"):
+        want = base_secrets(text)
+        found += len(want)
+        assert got[doc_id].base_sha256 == base_digest(want)
+        assert (got[doc_id].n_assign, got[doc_id].n_access, got[doc_id].n_hex) == tuple(sum(k == j for _, k, _ in want) for j in range(3))
+        names = {f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in want}
+        assert names <= set(got[doc_id].spans.split(","))
+    assert found > 10
+
+
+def test_leftmost_rules():
+    assert sec.scan("secret=password = abcdefghijklmnop") == []
+    assert [c[:3] for c in sec.scan("API_KEY: 'abcdefghijkl'")] == [(0, 0, 22)]
+    assert [c[:3] for c in sec.scan("é AKIA1234567890ABCD")] == [(1, 2, 20)]
+    assert [c[0] for c in sec.scan("0123456789abcdef0")] == [2]
+
+
+def test_ownership_separates_examples_from_live_values(spark):
+    live, example = "Zx9" + "aB3dE5fG7hJ9kL1m", "Qw8" + "rT6yU4iO2pA0sD9f"
+    docs = [(1, f"see {live}tail", "a"), (2, f"{live}tail again", "a")]
+    docs += [(10 + i, f"sample {example}tail", f"o{i}") for i in range(5)]
+    docs += [(30, None, None), (31, "", "a"), (31, "", "a"), (40, "token=abcdefabcdef12 " * 3, None)]
+    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, source string, spans int")
+    got = sec.find_secrets(df).collect()
+    assert len(got) == len(docs)
+    by_id = {r.doc_id: r for r in got}
+    assert [s.kind for s in by_id[1].spans] == [5] and by_id[1].spans[0].live
+    assert by_id[10].spans == [] and by_id[30].spans == [] and by_id[31].spans == []
+    assert [(s.kind, s.live) for s in by_id[40].spans] == [(0, True)] * 3
+    clean = df.join(sec.find_secrets(df).withColumnRenamed("spans", "found"), "doc_id").select(
+        "doc_id", sec.redact(F.col("text"), sec.live_ranges(F.col("found"))).alias("t")
+    )
+    texts = {r.doc_id: r.t for r in clean.collect()}
+    assert texts[1] == "see <SECRET>" and texts[40] == "token=<SECRET> " * 3 and texts[30] is None
+    assert texts[10] == f"sample {example}tail"
+
+
+def test_empty_table(spark):
+    assert sec.find_secrets(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
