@@ -8,11 +8,12 @@ elements of a batch of texts step together. The permutation is affine modulo a p
 
 Texts with equal sets are one node. Nodes that share a band of the signature are candidates:
 
-1. in every band bucket all members are compared with a few pivots, so a group of n near copies
-   costs n comparisons a pivot and not n * n / 2;
+1. in every band bucket all members are compared with a few central pivots (the nodes that share
+   bands with most others), so a group of n near copies costs n comparisons a pivot and not n * n / 2;
 2. verified links are joined to components;
-3. where a bucket still holds several components, each member outside the bucket's largest one is
-   compared with the members of other components. No link inside a bucket is lost by the pivots.
+3. where a bucket still holds several components, the members outside its largest one look for
+   partners by an exact prefix filter: both must hold one of each other's rarest shingles, early enough
+   that a link is still possible. No link inside a bucket is lost by the pivots.
 
 Every comparison uses the full shingle sets. With 56 bands of 6 slots a pair at similarity 0.8 shares no
 bucket with a probability of 4e-8. Shingle sets are made for nodes with a candidate only.
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veriscope.llm.components import components
@@ -112,23 +113,47 @@ def _described(width: int, text: str, chunk: int = 1 << 18):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
 
-    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            ok = []
+            linked = []
             for x, y in zip(f["xs"], f["ys"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]))
+                both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
                 common = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * common >= percent * (len(both) - common))
-            yield f.loc[ok, ["a", "b"]]
+                linked.append(100 * common >= percent * (len(both) - common))
+            yield f.loc[linked, ["a", "b"]]
 
     return (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xs")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("ys")), "b")
-        .mapInPandas(keep, "a long, b long")
+        .mapInPandas(meet, "a long, b long")
+    )
+
+
+def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, n, shingle, remaining): the rarest shingles of every set, as many as any linked partner must share one of.
+
+    All sets are ordered alike, by how many of these sets hold a shingle. A set of n shingles shares at least
+    percent / 100 * n with a partner, so one of its first n - that + 1. `remaining` counts the
+    set from that place on. Shingles that no other set holds take their place but are left out.
+    """
+
+    def exploded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for i, x in zip(f["id"], f["shingles"], strict=True):
+                x = np.frombuffer(x, np.int64)
+                yield pd.DataFrame({"id": i, "n": len(x), "shingle": x})
+
+    rows = staged(sets.mapInPandas(exploded, "id long, n long, shingle long"), "shingles")
+    held = rows.groupBy("shingle").agg(F.count("*").alias("holders"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("holders", "shingle"))
+    least = F.ceil(F.col("n") * F.lit(percent) / 100)
+    return (
+        rows.join(held, "shingle").withColumn("place", place)
+        .filter((F.col("place") <= F.col("n") - least + 1) & (F.col("holders") > 1))
+        .select("id", "n", "shingle", (F.col("n") - F.col("place") + 1).alias("remaining"))
     )
 
 
@@ -162,16 +187,20 @@ def near_duplicates(
         "nodes",
     )
     buckets = nodes.select("id", "n", F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(
-        F.count("*").alias("members"), *[F.min_by(F.struct("id", "n"), F.xxhash64("id", F.lit(t))).alias(f"p{t}") for t in range(PIVOTS)]
-    ).filter("members > 1")
+    shared = buckets.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
     members = staged(buckets.join(shared, "band"), "buckets")
 
-    close = lambda n, m: (100 * F.least(n, m) >= percent * F.greatest(n, m))
+    # central nodes share bands with most others; few compare as well with all of a group as they do
+    central = members.groupBy("id").agg(F.sum("members").alias("weight"))
+    order = Window.partitionBy("band").orderBy(F.col("weight").desc(), "id")
+    chosen = (
+        members.select("band", "id").join(central, "id").withColumn("place", F.row_number().over(order))
+        .filter(F.col("place") <= PIVOTS).select("band", "place", F.col("id").alias("p_id"))
+    )
+    chosen = staged(chosen, "pivots")
     pivots = (
-        members.select("id", "n", F.explode(F.array_distinct(F.array(*[f"p{t}" for t in range(PIVOTS)]))).alias("p"))
-        .filter((F.col("p.id") != F.col("id")) & close(F.col("n"), F.col("p.n")))
-        .select(*_pair("id", "p.id")).distinct()
+        members.select("band", "id").join(chosen, "band").filter("p_id <> id")
+        .select(*_pair("id", "p_id")).distinct()
     )
     first_pairs = staged(pivots, "pairs")
 
@@ -191,7 +220,7 @@ def near_duplicates(
         wanted.join(made, F.col("w_node") == F.col("s_node")).groupBy("id").agg(F.first("shingles").alias("shingles")), "sets"
     )
 
-    links = staged(_verified(first_pairs, sets, percent), "links")
+    links = staged(_compared(first_pairs, sets, percent), "links")
     roots = components(links)
     placed = staged(
         members.select("band", "id", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "placed"
@@ -201,13 +230,16 @@ def near_duplicates(
         .groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
     )
     open_rows = placed.join(main, "band")
-    outside = open_rows.filter("root <> main").select("band", F.col("id").alias("o_id"), F.col("n").alias("o_n"), F.col("root").alias("o_root"))
+    outside = staged(open_rows.groupBy("id", "root").agg(F.max(F.col("root") != F.col("main")).alias("outside")), "open")
+    prefix = staged(_rare_first(sets.join(outside.select("id"), "id"), percent).join(outside, "id"), "prefixes")
+    other = prefix.filter("outside").select(*[F.col(c).alias(f"o_{c}") for c in ("id", "n", "shingle", "remaining", "root")])
+    # counted from a first common shingle on, both must still hold what a link needs
+    enough = (100 + percent) * F.least("remaining", "o_remaining") >= percent * (F.col("n") + F.col("o_n"))
     rest = (
-        open_rows.join(outside, "band")
-        .filter((F.col("root") != F.col("o_root")) & close(F.col("n"), F.col("o_n")))
+        prefix.join(other, F.col("shingle") == F.col("o_shingle")).filter((F.col("root") != F.col("o_root")) & enough)
         .select(*_pair("id", "o_id")).distinct().join(first_pairs, ["a", "b"], "left_anti")
     )
-    more = staged(_verified(staged(rest, "pairs"), sets, percent), "links")
+    more = staged(_compared(staged(rest, "pairs"), sets, percent), "links")
     if more.isEmpty():
         final = roots
     else:
