@@ -4,9 +4,10 @@ A store is a folder of three Parquet tables, so that Spark's committer makes wri
 file system holds them:
 
 - `dictionary`: one row (hash, tokenizer, width, dictionary). The zstandard dictionary is trained on
-  serialized id arrays of at most `sample` documents, the first in a hash order of their texts;
+  serialized id arrays of at most `sample` distinct texts, the first in a hash order;
   it decides how small frames get, never what they hold.
-- `blocks`: (part, block, data) with frames one after another, about `block_bytes` each.
+- `blocks`: (part, block, data, entries) with frames one after another, about `block_bytes` each, and what
+  the index says of them.
 - `index`: (part, seq, doc_id, block, offset, length, n_tokens, part_start, dictionary_hash), an entry per
   document. One short document is an index row, one block and one slice. `bases` has the ids before a part.
 
@@ -67,8 +68,10 @@ def write_store(
 
     to_ids = F.pandas_udf(ids, "binary")
     rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    chosen = rows.select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(sample).select(F.substring(to_ids("text"), 1, 16 << 10).alias("x"))
-    dictionary = train_dictionary([bytes(r.x) for r in chosen.collect()])
+    hashed = rows.select("text", F.xxhash64("text").alias("h"))
+    least = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(sample).collect()]
+    chosen = hashed.filter(F.col("h") <= max(least, default=0)).dropDuplicates(["h"]).select(F.substring(to_ids("text"), 1, 16 << 10).alias("x"))
+    dictionary = train_dictionary(sorted(bytes(r.x) for r in chosen.collect()))
     digest = hashlib.sha256(dictionary).hexdigest()
 
     def frames_of(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -103,17 +106,16 @@ def write_store(
             yield flush()
 
     order = ["doc_id", "tie", "row"]
-    written = staged(
+    (
         made.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "frame")
         .mapInPandas(
             blocks,
             "part int, block int, data binary, "
             "entries array<struct<seq:long,doc_id:long,offset:int,length:int,n_tokens:long,part_start:long>>",
-        ),
-        "blocks",
+        )
+        .write.option("compression", "none").parquet(f"{folder}/blocks")
     )
-    written.select("part", "block", "data").write.option("compression", "none").parquet(f"{folder}/blocks")
-    index = written.select("part", "block", F.explode("entries").alias("e")).select("part", "block", "e.*")
+    index = spark.read.parquet(f"{folder}/blocks").select("part", "block", F.explode("entries").alias("e")).select("part", "block", "e.*")
     index.withColumn("dictionary_hash", F.lit(digest)).write.parquet(f"{folder}/index")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     (
@@ -141,18 +143,15 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     Fails if the dictionary, or the one an index entry was written with, is not the store's own.
     """
     digest, dictionary = _opened(spark, folder)
-    entries = (
-        spark.read.parquet(f"{folder}/index").groupBy("part", "block", "dictionary_hash")
-        .agg(F.sort_array(F.collect_list(F.struct("seq", "doc_id", "offset", "length", "n_tokens", "part_start"))).alias("entries"))
-    )
     data = spark.read.parquet(f"{folder}/blocks")
+    foreign = spark.read.parquet(f"{folder}/index").filter(F.col("dictionary_hash") != digest)
+    if not foreign.isEmpty():
+        raise ValueError("entries of this store were written with another dictionary")
 
     def frames(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         inflate = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary)).decompress
         for f in parts:
-            for part, block, of, es in zip(f["part"], f["data"], f["dictionary_hash"], f["entries"], strict=True):
-                if of != digest:
-                    raise ValueError(f"part {part} was written with dictionary {of}")
+            for part, block, es in zip(f["part"], f["data"], f["entries"], strict=True):
                 yield pd.DataFrame({
                     "part": part, "doc_id": pd.array([e["doc_id"] for e in es], dtype="Int64"),
                     "part_start": [e["part_start"] for e in es], "n_tokens": [e["n_tokens"] for e in es],
@@ -160,8 +159,7 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
                 })
 
     return (
-        data.join(entries, ["part", "block"]).select("part", "data", "dictionary_hash", "entries")
-        .mapInPandas(frames, "part int, doc_id long, part_start long, n_tokens long, ids binary")
+        data.select("part", "data", "entries").mapInPandas(frames, "part int, doc_id long, part_start long, n_tokens long, ids binary")
         .join(spark.read.parquet(f"{folder}/bases"), "part")
         .select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids")
     )
