@@ -22,7 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
         sym = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large-star: larger neighbours move below the least of the neighbourhood
-        large = sym.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        up = pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        large = up.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small-star: smaller neighbours and the node itself move below the least of them
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
