@@ -24,7 +24,7 @@ _RUNS = ("  ", " \n", "\n ", "\n\n")
 #: Separators that Python splits at and the vocabularies take for symbols.
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Pieces that a worker remembers in each of two generations: bounds its memory, not what is encoded.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 def _byte_letters() -> dict[int, int]:
@@ -53,7 +53,8 @@ class _Pieces(dict):
 
     def age(self) -> None:
         if len(self) > REMEMBERED:
-            self.before = dict(self)
+            self.before.clear()
+            self.before.update(self)
             self.clear()
 
 
