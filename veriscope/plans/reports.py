@@ -564,12 +564,12 @@ def advice(spark, d):
 @query("E3_errors_to_classify", with_tables("""
 SELECT origin, count(*) AS n FROM (
   SELECT 'agent' AS origin FROM queries WHERE status = 'error' AND error <> ''
-  UNION ALL SELECT 'structural' FROM queries WHERE contains(generated_sql, 'magic')
+  UNION ALL SELECT 'structural' FROM queries WHERE contains(generated_sql, 'unlisted_table')
   UNION ALL SELECT 'evaluation' FROM queries WHERE execution_time_ms > 200) GROUP BY 1""", "queries"))
 def to_classify(spark, d):
     q = T.queries(spark, d)
     failed = q.withColumns(
-        {"requires_classification": F.coalesce(F.contains("generated_sql", F.lit("magic")), F.lit(False)),
+        {"requires_classification": F.coalesce(F.contains("generated_sql", F.lit("unlisted_table")), F.lit(False)),
          "error_message": F.lit("table not found")})
     crashed = q.filter(F.col("execution_time_ms") > 200).withColumn("error_message", F.lit("timeout"))
     return E.errors_to_classify(q, failed, crashed).groupBy("origin").agg(F.count("*").alias("n"))

@@ -290,7 +290,7 @@ def schema_refs(spark, d):
     return G.schema_errors(_live(spark, d), _catalog(spark, d), "cleaned_sql")
 
 
-_ENGINE_SQL = """CASE WHEN contains(generated_sql, 'magic') THEN 'UNDEFINED_TABLE' WHEN contains(generated_sql, 'vendor_rating') THEN 'UNDEFINED_COLUMN'
+_ENGINE_SQL = """CASE WHEN contains(generated_sql, 'unlisted_table') THEN 'UNDEFINED_TABLE' WHEN contains(generated_sql, 'unlisted_column') THEN 'UNDEFINED_COLUMN'
    WHEN contains(generated_sql, 'not a database') THEN 'SYNTAX_ERROR' END"""
 _STRUCT_SQL = f"""structural AS (SELECT l.*, coalesce(n, 0) AS schema_error_count, {_ENGINE_SQL} AS engine_error_type,
    CASE WHEN {_ENGINE_SQL} IS NOT NULL OR execution_time_ms > 200 THEN 0.0 WHEN coalesce(n, 0) > 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS structural_score
@@ -301,8 +301,8 @@ def _structural(spark, d, live=None):
     live = _live(spark, d) if live is None else live
     sql = F.col("generated_sql")
     kind = (
-        F.when(F.contains(sql, F.lit("magic")), "UNDEFINED_TABLE")
-        .when(F.contains(sql, F.lit("vendor_rating")), "UNDEFINED_COLUMN")
+        F.when(F.contains(sql, F.lit("unlisted_table")), "UNDEFINED_TABLE")
+        .when(F.contains(sql, F.lit("unlisted_column")), "UNDEFINED_COLUMN")
         .when(F.contains(sql, F.lit("not a database")), "SYNTAX_ERROR")
     )
     reported = live.withColumn("engine_error_type", kind).withColumn(

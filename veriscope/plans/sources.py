@@ -271,9 +271,9 @@ def rules(spark, d):
     return S.apply_rules(q, _RULES).select("query_id", "generated_sql")
 
 
-@query("S24_delete_entries", with_tables("SELECT query_id FROM queries WHERE query_text <> 'tell me a joke'", "queries"))
+@query("S24_delete_entries", with_tables("SELECT query_id FROM queries WHERE query_text <> 'write a poem about part'", "queries"))
 def delete_entries(spark, d):
-    return S.drop_entries(T.queries(spark, d), "tell me a joke").select("query_id")
+    return S.drop_entries(T.queries(spark, d), "write a poem about part").select("query_id")
 
 
 @query("S25_append_entries", """

@@ -1,8 +1,8 @@
 """Telemetry tables derived from the driver's event table, in Spark and in SQL.
 
 The event table plays the telemetry log: its type is the agent, its value the
-latency. Questions, statements and error messages come from the small corpus
-below, filled with the event's own value; scores are arithmetic over id and
+latency. Questions and statements are templates over the driver's tables, error messages hold
+the categories' own patterns, all filled with the event's own value; scores are arithmetic over id and
 value. Every frame has a SQL twin for the comparison queries.
 """
 
@@ -13,6 +13,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veriscope.constants import ERROR_PATTERNS
 from veriscope.operators import scoring as G
 from veriscope.operators.drift import drift_class
 from veriscope.sources.files import read_table, spread
@@ -20,55 +21,67 @@ from veriscope.sources.files import read_table, spread
 AS_OF = datetime(2024, 1, 31)
 AS_OF_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
 
+# table, key, measure, dimension of the driver's tables; every template is filled with each
+SUBJECTS = (
+    ("lineitem", "l_orderkey", "l_extendedprice", "l_returnflag"),
+    ("lineitem", "l_partkey", "l_quantity", "l_linestatus"),
+    ("lineitem", "l_suppkey", "l_discount", "l_returnflag"),
+    ("lineitem", "l_orderkey", "l_tax", "l_shipdate"),
+    ("orders", "o_orderkey", "o_totalprice", "o_orderpriority"),
+    ("orders", "o_custkey", "o_totalprice", "o_orderstatus"),
+    ("customer", "c_custkey", "c_acctbal", "c_mktsegment"),
+    ("customer", "c_nationkey", "c_acctbal", "c_name"),
+    ("supplier", "s_suppkey", "s_acctbal", "s_nationkey"),
+    ("part", "p_partkey", "p_retailprice", "p_brand"),
+    ("part", "p_partkey", "p_size", "p_type"),
+)
 # question, statement, reference statement (None: no reference); {n} is a number of the event
-CORPUS = (
-    ("Show me the top {n} parts by l_extendedprice",
-     "SELECT l_partkey, SUM(l_extendedprice) AS sales FROM public.lineitem GROUP BY l_partkey ORDER BY sales DESC LIMIT {n}",
-     "SELECT l.l_partkey, SUM(l.l_extendedprice) AS total FROM public.lineitem l GROUP BY l.l_partkey ORDER BY total DESC LIMIT 5"),
-    ("List all customer segments",
-     "SELECT DISTINCT c_mktsegment FROM public.customer",
-     "SELECT DISTINCT c.c_mktsegment FROM public.customer c"),
-    ("Show me magic data", "SELECT * FROM public.magic_table", None),
-    ("Show me the vendor rating", "SELECT orders.vendor_rating FROM orders", None),
-    ("What is the maximum o_totalprice?",
-     "SELECT MAX(o_totalprice) FROM public.orders",
-     "SELECT MAX(o.o_totalprice) AS max_price FROM public.orders o;"),
-    ("Download all orders", "SELECT * FROM public.orders", None),
-    ("Give me any {n} orders", "SELECT * FROM public.orders LIMIT {n}", None),
-    ("Show total l_quantity per l_returnflag for more than {n} units",
-     "SELECT l.l_returnflag, SUM(l.l_quantity) AS qty FROM public.lineitem l JOIN public.orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_quantity > {n} GROUP BY l.l_returnflag HAVING SUM(l.l_quantity) > {n} ORDER BY qty",
-     "SELECT l_returnflag, SUM(l_quantity) FROM lineitem INNER JOIN public.orders ON l_orderkey = o_orderkey WHERE l_quantity > 40 AND o_orderstatus = 'F' GROUP BY l_returnflag ORDER BY l_returnflag"),
-    ("Average o_totalprice by o_orderpriority",
-     "SELECT o_orderpriority, AVG(o_totalprice) FROM orders WHERE o_totalprice BETWEEN {n} AND 90000 GROUP BY o_orderpriority",
-     "SELECT o_orderpriority, AVG(o_totalprice) FROM orders WHERE o_totalprice BETWEEN 10 AND 20 GROUP BY o_orderpriority"),
-    ("Which suppliers and nations are there", "SELECT s_name, n_name FROM supplier, nation", None),
-    ("tell me a joke", "SELECT 'joke' AS joke", None),
-    ("hello!", "This is not a database question", None),
-    ("asdf jkl;", "```sql\nSELECT p_name FROM part LIMIT 1\n```", None),
-    ("Find orders with o_totalprice less than {n}",
-     "SELECT o_orderkey FROM orders WHERE o_totalprice < {n} AND o_orderstatus IN ('F','O') AND o_orderpriority LIKE '%HIGH%'",
-     "SELECT o_orderkey FROM orders WHERE o_totalprice < 100 AND o_orderstatus IN ('F') ORDER BY o_orderkey"),
+_TEMPLATES = (
+    ("Top {n} {k} of {t} ordered by {m}",
+     "SELECT {k}, SUM({m}) AS s FROM public.{t} GROUP BY {k} ORDER BY s DESC LIMIT {n}",
+     "SELECT x.{k}, SUM(x.{m}) AS s2 FROM public.{t} x GROUP BY x.{k} ORDER BY s2 DESC LIMIT 5"),
+    ("List each {d} found in {t}", "SELECT DISTINCT {d} FROM public.{t}", "SELECT DISTINCT x.{d} FROM public.{t} x"),
+    ("Compare {t} with the unlisted table", "SELECT * FROM public.unlisted_table", None),
+    ("Read the unlisted column of {t}", "SELECT {t}.unlisted_column FROM {t}", None),
+    ("Maximum {m} in {t}?", "SELECT MAX({m}) FROM public.{t}", "SELECT MAX(x.{m}) AS most FROM public.{t} x;"),
+    ("Export {t} whole", "SELECT * FROM public.{t}", None),
+    ("A sample of {n} from {t}", "SELECT * FROM public.{t} LIMIT {n}", None),
+    ("Total {m} per {d} for more than {n}",
+     "SELECT a.{d}, SUM(a.{m}) AS s FROM public.{t} a JOIN public.{t} b ON a.{k} = b.{k} WHERE a.{m} > {n} GROUP BY a.{d} HAVING SUM(a.{m}) > {n} ORDER BY s",
+     "SELECT {d}, SUM({m}) FROM {t} WHERE {m} > 40 AND {d} = 'F' GROUP BY {d} ORDER BY {d}"),
+    ("Average {m} by {d}",
+     "SELECT {d}, AVG({m}) FROM {t} WHERE {m} BETWEEN {n} AND 90000 GROUP BY {d}",
+     "SELECT {d}, AVG({m}) FROM {t} WHERE {m} BETWEEN 10 AND 20 GROUP BY {d}"),
+    ("Pair {t} with every nation", "SELECT {k}, n_name FROM {t}, nation", None),
+    ("write a poem about {t}", "SELECT 'poem' AS poem", None),
+    ("ok", "No statement was made for {t}", None),
+    ("xyzzy {t};", "```sql\nSELECT {d} FROM {t} LIMIT 1\n```", None),
+    ("Find {k} of {t} with {m} less than {n}",
+     "SELECT {k} FROM {t} WHERE {m} < {n} AND {d} IN ('F','O') AND {d} LIKE '%HIGH%'",
+     "SELECT {k} FROM {t} WHERE {m} < 100 AND {d} IN ('F') ORDER BY {k}"),
 )
 
-MESSAGES = (
-    "syntax error at or near 'FROM' ({n})",
-    "Invalid SQL statement: SELECT * FROM WHERE",
-    "could not parse generated SQL of {n} characters",
-    "relation 'public.users' does not exist",
-    "column 'profit_margin' does not exist",
-    "schema 'finance' does not exist",
-    "Connection refused to agent on try {n}",
-    "timeout waiting for agent response after {n} ms",
-    "http error 503 service unavailable",
-    "no rows returned for query {n}",
-    "empty result set",
-    "incorrect logic detected in join",
-    "missing filter condition",
-    "unexpected token 'LIMIT'",
-    "max retries exceeded for url",
-    "something else went wrong with {n}",
-    "",
-)
+
+def _filled(text: str | None, subject: tuple[str, str, str, str]) -> str | None:
+    for mark, name in zip(("{t}", "{k}", "{m}", "{d}"), subject, strict=True):
+        text = text and text.replace(mark, name)
+    return text
+
+
+CORPUS = tuple(tuple(_filled(x, subject) for x in t) for subject in SUBJECTS for t in _TEMPLATES)
+
+
+def _messages() -> tuple[str, ...]:
+    """Messages that hold a pattern of a category each, on a table, and some that hold none."""
+    out = [""]
+    for subject in SUBJECTS[:1]:
+        for patterns in ERROR_PATTERNS.values():
+            out += [f"[{subject[0]}] step {{n}}: {p.replace('.*', subject[2])}" for p in patterns]
+        out.append(f"[{subject[0]}] step {{n}}: gave up on {subject[2]}")
+    return tuple(out)
+
+
+MESSAGES = _messages()
 
 
 def _pick(options, n: Column) -> Column:
