@@ -76,7 +76,8 @@ def _messages() -> tuple[str, ...]:
     out = [""]
     for subject in SUBJECTS[:1]:
         for patterns in ERROR_PATTERNS.values():
-            out += [f"[{subject[0]}] step {{n}}: {p.replace('.*', subject[2])}" for p in patterns]
+            for i, p in enumerate(patterns):
+                out.append(f"[{subject[0]}] {'step {n}: ' * (i % 2)}{p.replace('.*', subject[2])}")
         out.append(f"[{subject[0]}] step {{n}}: gave up on {subject[2]}")
     return tuple(out)
 
