@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from veriscope.functions import text as X
 
-_SCHEMA_NAMES = 20  # fixed value: names per alternation
 _LOOK_BACK = 30  # fixed value: characters read before a measure name
 
 # fixed values: phrases that reveal a comparison
@@ -72,7 +71,7 @@ INTENTS = (
 
 
 def _alternatives(names: Sequence[str]) -> str:
-    return "|".join(re.escape(n) for n in names[:_SCHEMA_NAMES])
+    return "|".join(re.escape(n) for n in names)
 
 
 def _flags_to_array(flags: dict[str, Column]) -> Column:
