@@ -99,6 +99,14 @@ def test_last_edge_is_inside_the_last_bucket(spark):
     assert got == [-1, 0, 0, 1, 1, -1]
 
 
+def test_long_edge_arrays_need_their_length(spark):
+    edges = F.array(*[F.lit(float(x)) for x in range(21)])
+    df = spark.createDataFrame([(10.5,), (15.5,), (20.0,), (20.5,)], "v double")
+    assert [r[0] for r in df.select(P.bucket_of(F.col("v"), edges, 20)).collect()] == [10, 15, 19, -1]
+    with pytest.raises(Exception, match="more than 10 buckets"):
+        df.select(P.bucket_of(F.col("v"), edges)).collect()
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.integers(-50, 50), min_size=25, max_size=60), st.lists(st.integers(-60, 60), min_size=1, max_size=30))
 def test_psi_is_never_negative(spark, base_values, values):
@@ -113,9 +121,9 @@ def test_metric_names(spark):
     assert [n for n in names if P.is_metric_name(n)] == ["revenue", "codes"]
 
 
-@pytest.mark.parametrize("max_bytes", [10**9, 0])
-def test_ground_truth_match_both_ways(spark, max_bytes):
-    """The matrix scan and the cell scan agree with a brute force search."""
+@pytest.mark.parametrize("block_bytes", [2**24, 1024])
+def test_ground_truth_match_in_blocks(spark, block_bytes):
+    """One block or many give the rows of a brute force search, also below the threshold."""
     rng = np.random.default_rng(5)
     gt = rng.normal(size=(60, 6))
     asked = np.concatenate([gt[:30] + rng.normal(scale=0.3, size=(30, 6)), rng.normal(size=(20, 6)), gt[:1]])
@@ -125,19 +133,33 @@ def test_ground_truth_match_both_ways(spark, max_bytes):
     questions = spark.createDataFrame(
         [(i, "rows below 5" if i == 1 else "rows", v.tolist()) for i, v in enumerate(asked)],
         "query_id long, query_text string, embedding array<double>")
-    got = {r.query_id: r for r in M.match_ground_truth(questions, entries, max_bytes=max_bytes).collect()}
+    got = {r.query_id: r for r in M.match_ground_truth(questions, entries, block_bytes=block_bytes).collect()}
     cos = (asked @ gt.T) / np.linalg.norm(asked, axis=1)[:, None] / np.linalg.norm(gt, axis=1)[None, :]
     assert len(got) == len(asked)
     for q in range(len(asked)):
         best = cos[q].max()
+        assert got[q].position == cos[q].argmax() and got[q].match_score == pytest.approx(best)
         if best >= 0.7:
-            assert got[q].position == cos[q].argmax() and got[q].match_score == pytest.approx(best)
             clash = q == 1 and got[q].position < 3
             assert got[q].is_match == (not clash) and got[q].trusted == (best >= 0.8 and not clash)
         else:
             assert not got[q].is_match
 
 
+@pytest.mark.parametrize("block_bytes", [2**24, 32])
+def test_ground_truth_odd_vectors(spark, block_bytes):
+    """Ties go to the first entry; null, empty and non-finite vectors take no part; a zero vector scores 0."""
+    entries = spark.createDataFrame(
+        [(4, [1.0, 1.0]), (2, [2.0, 2.0]), (7, [1.0, None]), (8, None), (1, [0.0, -1.0]), (9, [1.0, 0.0, 0.0])],
+        "position long, gt_embedding array<double>")
+    questions = spark.createDataFrame(
+        [(1, [3.0, 3.0]), (2, [0.0, 0.0]), (3, None), (4, []), (5, [float("nan"), 1.0]), (6, [1.0] * 4), (7, [5.0, 0.0, 0.0])],
+        "query_id long, embedding array<double>")
+    got = {r[0]: (r[1], round(r[2], 9)) for r in M.best_entries(questions, entries, block_bytes).collect()}
+    assert got == {1: (2, 1.0), 2: (1, 0.0), 7: (9, 1.0)}
+    assert M.best_entries(questions, entries.limit(0), block_bytes).count() == 0
+
+
 def test_stream_uses_the_baseline_of_the_moment(spark, tmp_path):
     """A baseline replaced between two batches is used from the second batch on."""
     from veriscope.streaming.telemetry import scoring_batch

@@ -65,6 +65,24 @@ def cosine(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array(out)
 
 
+def unit_rows(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per dimension the row numbers and the vectors at length 1; a zero vector stays zero.
+
+    Null and empty vectors and those with a null or non-finite element are left out.
+    """
+    flat, starts, lengths = _flat(vectors)
+    out = {}
+    for size in np.unique(lengths[lengths > 0]):
+        rows = np.flatnonzero(lengths == size)
+        values = flat[starts[rows][:, None] + np.arange(size)]
+        usable = np.isfinite(values).all(axis=1)
+        rows, values = rows[usable], values[usable]
+        if len(rows):
+            length = np.sqrt((values * values).sum(axis=1))[:, None]
+            out[int(size)] = rows, np.divide(values, length, out=np.zeros_like(values), where=length != 0)
+    return out
+
+
 def partial_sums(key: str, vector: str, zero_norm: float):
     """For `mapInArrow`: per batch and key, the count and element sums of its usable vectors.
 

@@ -2,124 +2,88 @@
 
 from __future__ import annotations
 
-import math
 import sys
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriscope import constants as K
-from veriscope.functions import vectors as V
 from veriscope.functions.text import polarity_conflict
-from veriscope.operators.lookup import measured
+from veriscope.functions.vectors import unit_rows
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_MAX_MATRIX_BYTES = 64 * 1024 * 1024
-_PIVOTS = 32
-_SLACK = 1e-6
-
-
-def _matrix_scan(questions: DataFrame, entries: DataFrame, rows: int) -> DataFrame:
-    """Best entry by one matrix product per Arrow batch; `entries` was measured to fit."""
-    table = entries.orderBy("position").limit(rows).toPandas()
-    dims = table["gt_embedding"].map(len)
-    blocks = []
-    for size, part in table.groupby(dims):
-        matrix = np.asarray(part["gt_embedding"].tolist(), dtype="float64").reshape(len(part), size)
-        length = np.sqrt((matrix * matrix).sum(axis=1))
-        unit = np.divide(matrix, length[:, None], out=np.zeros_like(matrix), where=length[:, None] != 0)
-        blocks.append((int(size), unit, part["position"].to_numpy()))
-    shared = questions.sparkSession.sparkContext.broadcast(blocks)
-
-    def run(batches):
-        for batch in batches:
-            score = np.full(len(batch), -1.0)
-            place = np.full(len(batch), -1, dtype="int64")
-            sizes = batch["embedding"].map(len).to_numpy()
-            for size, unit, positions in shared.value:
-                mine = np.flatnonzero(sizes == size)
-                if not len(mine):
-                    continue
-                q = np.asarray(batch["embedding"].iloc[mine].tolist(), dtype="float64")
-                length = np.sqrt((q * q).sum(axis=1))
-                q = np.divide(q, length[:, None], out=np.zeros_like(q), where=length[:, None] != 0)
-                cos = q @ unit.T
-                best = cos.argmax(axis=1)
-                score[mine] = cos[np.arange(len(mine)), best]
-                place[mine] = positions[best]
-            yield pd.DataFrame(
-                {"query_id": batch["query_id"], "position": place, "match_score": score}
-            )
-
-    return questions.select("query_id", "embedding").mapInPandas(
-        run, "query_id long, position long, match_score double"
-    ).filter("position >= 0")
-
-
-def _cell_scan(questions: DataFrame, entries: DataFrame, threshold: float) -> DataFrame:
-    """Best entry at or above the threshold when the entries do not fit in memory.
-
-    Entries are grouped around pivots. The angle between vectors obeys the
-    triangle inequality, so a question can only match inside cells whose reach
-    covers its own angle to the pivot; it is sent to those cells alone. Cells
-    and questions are salted by row, so neither side gathers in one task.
-    """
-    theta = math.acos(threshold) + _SLACK
-    pivots = measured(
-        entries.orderBy(F.xxhash64("position")).limit(_PIVOTS)
-        .select(F.col("position").alias("cell"), F.col("gt_embedding").alias("pivot"))
-    )
-    as_list = pivots.agg(F.collect_list(F.struct("cell", "pivot")).alias("pivots"))
-
-    def angles(df: DataFrame, vector: str) -> DataFrame:
-        spread = df.join(F.broadcast(as_list)).select("*", F.explode("pivots").alias("p")).drop("pivots")
-        cos = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), V.cosine(vector, "p.pivot")))
-        return spread.select(*df.columns, F.col("p.cell").alias("cell"), F.acos(cos).alias("angle"))
+_BLOCK_BYTES = 16 * 1024 * 1024
+_PRODUCT_CELLS = 4_000_000
+_TIE = 12
+_FOUND = "query_id long, position long, match_score double"
+
+
+def _best_in_block(asked: pa.Table, entries: pa.Table) -> pa.Table:
+    """Best entry of one block for each question of one slice, by matrix products."""
+    ids = asked["query_id"].to_numpy()
+    positions = entries["position"].to_numpy()
+    homes = unit_rows(entries["gt_embedding"].combine_chunks())
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for size, (rows, unit) in unit_rows(asked["embedding"].combine_chunks()).items():
+        if size not in homes:
+            continue
+        order = np.argsort(positions[homes[size][0]], kind="stable")
+        place, against = positions[homes[size][0]][order], homes[size][1][order]
+        step = max(1, _PRODUCT_CELLS // len(against))
+        for start in range(0, len(rows), step):
+            q = unit[start : start + step]
+            cos = q @ against.T
+            # the first entry within rounding of the best, then its score by a plain sum: no block shape changes it
+            best = (cos >= cos.max(axis=1)[:, None] - 10.0**-_TIE).argmax(axis=1)
+            out.append((ids[rows[start : start + step]], place[best], (q * against[best]).sum(axis=1)))
+    columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, int), np.empty(0, int), np.empty(0)]
+    kinds = (pa.int64(), pa.int64(), pa.float64())
+    return pa.table(dict(zip(("query_id", "position", "match_score"), map(pa.array, columns, kinds))))
+
+
+def _parts(df: DataFrame, vector: str, block_bytes: int) -> int:
+    """How many parts of `block_bytes` the vectors of a table make."""
+    cells = df.agg(F.sum(F.greatest(F.size(vector), F.lit(0)).cast("long"))).first()[0] or 0
+    return max(1, -(-cells * 8 // block_bytes))
+
+
+def _numbered(parts: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+
+
+def best_entries(questions: DataFrame, entries: DataFrame, block_bytes: int = _BLOCK_BYTES) -> DataFrame:
+    """(query_id, position, match_score): most similar entry, the first one on ties.
 
-    nearest = angles(entries.select("position", "gt_embedding"), "gt_embedding").groupBy("position").agg(
-        F.min_by(F.struct("cell", "angle"), F.struct("angle", "cell")).alias("n")
+    `entries` has (position, gt_embedding). Both sides are cut by hash into parts of about `block_bytes`; every
+    slice of questions meets every block of entries in one group, as matrices, and a group gives one row per
+    question. So the output is questions x blocks, no group grows with the tables and the method is the same at
+    every size. Every question with a vector gets a row if any entry has its dimension, however low
+    the score; vectors that are null, empty or not finite take no part.
+    """
+    blocks = _parts(entries, "gt_embedding", block_bytes)
+    slices = _parts(questions, "embedding", block_bytes)
+    asked = questions.select(
+        F.col("query_id").cast("long"), "embedding", F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int").alias("slice"),
+        _numbered(blocks).alias("block"),
     )
-    homes = entries.join(nearest.select("position", "n.cell", "n.angle"), ["position"])
-    reach = measured(
-        homes.groupBy("cell").agg(F.max("angle").alias("far"), F.min("angle").alias("near"))
+    known = entries.select(
+        F.col("position").cast("long"), "gt_embedding", F.pmod(F.xxhash64("position"), F.lit(blocks)).cast("int").alias("block"),
+        _numbered(slices).alias("slice"),
     )
-    visits = (
-        angles(questions.select("query_id", "embedding"), "embedding")
-        .join(reach, ["cell"])
-        .filter(
-            (F.col("angle") <= F.col("far") + theta) & (F.col("angle") >= F.col("near") - theta)
-        )
-        .select("query_id", "embedding", "cell", F.col("angle").alias("asked"))
+    cut = ["slice", "block"]
+    found = asked.groupBy(*cut).cogroup(known.groupBy(*cut)).applyInArrow(_best_in_block, _FOUND)
+    rank = F.struct(F.round("match_score", _TIE), -F.col("position"))
+    return found.groupBy("query_id").agg(F.max_by(F.struct("position", "match_score"), rank).alias("best")).select(
+        "query_id", "best.*"
     )
-    pairs = visits.join(homes, ["cell"]).filter(F.abs(F.col("asked") - F.col("angle")) <= theta)
-    return pairs.groupBy("query_id").agg(
-        F.max_by(
-            F.struct("position", V.cosine("embedding", "gt_embedding").alias("match_score")),
-            F.struct(V.cosine("embedding", "gt_embedding"), -F.col("position")),
-        ).alias("best")
-    ).select("query_id", "best.*")
-
-
-def best_entries(questions: DataFrame, entries: DataFrame, threshold: float = K.GT_MATCH,
-                 max_bytes: int = _MAX_MATRIX_BYTES) -> DataFrame:
-    """(query_id, position, match_score): most similar entry, the first one on ties.
-
-    `entries` has (position, gt_embedding). Its size is measured first.
-    """
-    size = entries.agg(
-        F.count("*").alias("n"), F.coalesce(F.sum(F.size("gt_embedding")), F.lit(0)).alias("cells")
-    ).first()
-    if size["cells"] * 8 <= max_bytes:
-        return _matrix_scan(questions, entries, size["n"])
-    return _cell_scan(questions, entries, threshold)
 
 
 def match_ground_truth(questions: DataFrame, entries: DataFrame, threshold: float = K.GT_MATCH,
-                       max_bytes: int = _MAX_MATRIX_BYTES) -> DataFrame:
+                       block_bytes: int = _BLOCK_BYTES) -> DataFrame:
     """Matched entry per question, with `is_match` and `trusted`.
 
     Only the most similar entry is looked at: if it asks for the opposite
@@ -127,10 +91,9 @@ def match_ground_truth(questions: DataFrame, entries: DataFrame, threshold: floa
     `questions` has (query_id, query_text, embedding), `entries` has
     (position, gt_text, gt_embedding, ...).
     """
-    best = best_entries(questions, entries, threshold, max_bytes)
-    detail = entries.drop("gt_embedding")
+    best = best_entries(questions, entries, block_bytes)
     joined = questions.drop("embedding").join(best, ["query_id"], "left").join(
-        measured(detail), ["position"], "left"
+        entries.drop("gt_embedding"), ["position"], "left"
     )
     near = F.coalesce(F.col("match_score") >= threshold, F.lit(False))
     clash = F.coalesce(polarity_conflict(F.col("query_text"), F.col("gt_text")), F.lit(False))
@@ -138,4 +101,3 @@ def match_ground_truth(questions: DataFrame, entries: DataFrame, threshold: floa
     return joined.withColumns(
         {"is_match": matched, "trusted": matched & (F.col("match_score") >= K.GT_TRUST)}
     )
-

@@ -87,11 +87,11 @@ def pooled_values(tables: Sequence[DataFrame], agent: str, exclude: Sequence[str
     return pooled
 
 
-def column_psi(values: DataFrame, baseline: DataFrame) -> DataFrame:
+def column_psi(values: DataFrame, baseline: DataFrame, max_buckets: int = K.PSI_BUCKETS) -> DataFrame:
     """PSI per (query_id, agent_type, column_name), rounded to 4 digits.
 
     Rows are reduced to at most one count per query, column and bucket before
-    the shuffle.
+    the shuffle. A stored baseline with more buckets than usual needs `max_buckets`.
     """
     keys = ["query_id", "agent_type", "column_name"]
     on = ["agent_type", "column_name"]
@@ -99,7 +99,7 @@ def column_psi(values: DataFrame, baseline: DataFrame) -> DataFrame:
     known = measured(baseline.filter(P.is_metric_column(F.col("column_name"))))
     counted = (
         values.join(known.select(*on, "bucket_edges"), on)
-        .select(*keys, P.bucket_of(F.col("value"), F.col("bucket_edges")).alias("bucket"))
+        .select(*keys, P.bucket_of(F.col("value"), F.col("bucket_edges"), max_buckets).alias("bucket"))
         .groupBy(*keys, "bucket")
         .agg(F.count("*").alias("n"))
         .groupBy(*keys)
