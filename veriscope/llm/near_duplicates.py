@@ -114,7 +114,8 @@ def _described(width: int, text: str, chunk: int = 1 << 18):
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """The rows of `pairs` (a, b, ...) whose full sets have 100 * intersection >= percent * union."""
+    columns = pairs.columns
 
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -123,15 +124,27 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
                 common = int((both[1:] == both[:-1]).sum())
                 linked.append(100 * common >= percent * (len(both) - common))
-            yield f.loc[linked, ["a", "b"]]
+            yield f.loc[linked, columns]
 
     return (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xs")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("ys")), "b")
-        .mapInPandas(meet, "a long, b long")
+        .mapInPandas(meet, pairs.schema)
     )
 
 
+def _thinned(links: DataFrame) -> DataFrame:
+    """Links (a, b, pivot) as fewer edges with the same components.
+
+    Every member hangs on the least pivot it is linked with, and its other pivots, at most PIVOTS * BANDS, hang
+    on that one too. The latter repeat from member to member, so about one edge a member is left.
+    """
+    member = F.when(F.col("pivot") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    held = links.groupBy(member.alias("member")).agg(F.collect_list("pivot").alias("pivots"))
+    ends = F.explode(F.array_append("pivots", F.col("member")))
+    return held.select(ends.alias("a"), F.array_min("pivots").alias("b")).filter("a <> b").distinct()
+
+
 def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
     """(id, n, shingle, remaining): the rarest shingles of every set, as many as any linked partner must share one of.
 
@@ -200,7 +213,7 @@ def near_duplicates(
     chosen = staged(chosen, "pivots")
     pivots = (
         members.select("band", "id").join(chosen, "band").filter("p_id <> id")
-        .select(*_pair("id", "p_id")).distinct()
+        .groupBy(*_pair("id", "p_id")).agg(F.min("p_id").alias("pivot"))
     )
     first_pairs = staged(pivots, "pairs")
 
@@ -221,7 +234,7 @@ def near_duplicates(
     )
 
     links = staged(_compared(first_pairs, sets, percent), "links")
-    roots = components(links)
+    roots = staged(components(staged(_thinned(links), "edges")), "roots")
     placed = staged(
         members.select("band", "id", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "placed"
     )
@@ -240,11 +253,13 @@ def near_duplicates(
         .select(*_pair("id", "o_id")).distinct().join(first_pairs, ["a", "b"], "left_anti")
     )
     more = staged(_compared(staged(rest, "pairs"), sets, percent), "links")
-    if more.isEmpty():
-        final = roots
-    else:
-        final = components(links.union(more))
-    named = nodes.select("id", "node", "least_key").join(final, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = nodes.select("id", "node", "least_key").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    if not more.isEmpty():
+        # links between components: only their roots are joined anew
+        root_of = outside.select("id", "root").distinct()
+        between = more.join(root_of.toDF("a", "ra"), "a").join(root_of.toDF("b", "rb"), "b")
+        above = components(between.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).toDF("root", "top")
+        named = named.join(above, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
     least = named.groupBy("root").agg(F.min("least_key").alias("component_id"))
     by_node = named.join(least, "root").select(F.col("node").alias("m_node"), "component_id")
     joined = rows.drop("bands").join(by_node, F.col("node") == F.col("m_node"), "left")
