@@ -18,11 +18,12 @@ def test_null_share_must_exceed_the_limit(spark):
     assert issues[0].details == {"null_count": "2", "total_rows": "5"}
 
 
-def test_duplicates_look_at_ten_columns(spark):
+def test_duplicates_look_at_all_columns(spark):
     names = [f"c{i}" for i in range(11)]
     same = [tuple(range(11)), tuple(range(10)) + (99,)]
     df = spark.createDataFrame(same, ", ".join(f"{n} int" for n in names))
-    assert Q.duplicate_groups(df).first().duplicate_groups == 1
+    assert Q.duplicate_groups(df).first().duplicate_groups == 0
+    assert Q.duplicate_groups(df, limit=10).first().duplicate_groups == 1
     assert Q.duplicate_groups(df, names[5:]).first().duplicate_groups == 0
 
 
@@ -41,11 +42,11 @@ def test_large_tables_and_empty_report(spark):
     assert report.count() == 0
 
 
-def test_failing_checks_are_skipped(spark):
+def test_failing_checks_are_reported_as_skipped(spark):
     from pyspark.sql import functions as F
 
     report = Q.issue_report({"t": spark.range(3)}, {"t": []}, extra=[lambda d, s, t: d.select(F.col("missing"))])
-    assert [r.issue_type for r in report.collect()] == ["missing_primary_key"]
+    assert [r.issue_type for r in report.collect()] == ["missing_primary_key", "check_skipped"]
 
 
 def _catalog(spark, rows):
@@ -86,6 +87,8 @@ def test_value_profile(spark):
     rows = [("a" if i % 2 else "b", str(i), "same") for i in range(12)]
     out = C.value_profile(spark.createDataFrame(rows, "two string, many string, one string")).collect()
     assert [(r.column_name, r.distinct_values, r.sample_values) for r in out] == [("two", 2, "a, b")]
+    many = spark.range(1000).selectExpr("cast(id as string) AS a", "id AS b")
+    assert C.value_profile(many).collect() == []
 
 
 def test_nested_catalog_round_trip(spark):

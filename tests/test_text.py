@@ -72,6 +72,15 @@ def test_bare_reference(spark, item, bare):
     assert one(spark, item, S.bare_reference) == bare
 
 
+def test_prefixes_go_in_calls_of_any_length(spark):
+    call = "f({})"
+    names = [f"c{i}" for i in range(1500)]
+    prefixed = call.format(", ".join(f"t.{n}" for n in names))
+    assert len(prefixed) > 9000
+    assert one(spark, prefixed, S.bare_reference) == call.format(", ".join(names))
+    assert one(spark, "g(a.b, h(c.d.e)) x.y f(p.q r.s", S.bare_reference) == "g(b, h(d.e)) x.y f(p.q r.s"
+
+
 def test_known_columns_limit_the_prefix_rule(spark):
     assert one(spark, "a.b c.d", lambda c: S.bare_reference(c, ["z"])) == "a.b c.d"
 

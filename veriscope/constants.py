@@ -133,8 +133,6 @@ CLASSIFIABLE_ERRORS = ("SYNTAX_ERROR", "UNDEFINED_TABLE", "UNDEFINED_COLUMN")
 
 # --- data quality ---------------------------------------------------------
 NULL_SHARE_LIMIT = 20
-DUPLICATE_COLUMNS = 10
-DUPLICATE_COLUMNS_DOCUMENTS = 5
 LARGE_TABLE_ROWS = 100_000
 
 # --- alerts and health ----------------------------------------------------

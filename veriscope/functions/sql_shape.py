@@ -76,7 +76,8 @@ def bare_reference(item: Column, known_columns: Iterable[str] = ()) -> Column:
     c = F.regexp_replace(c, X.UNICODE + r"^([\w\.]+)\s+\w+$", "$1")
     c = F.regexp_replace(c, X.UNICODE + r"^\w+\.(\w+)$", "$1")
     # a prefix is dropped only between "name(" and the next ")"
-    c = F.regexp_replace(c, X.UNICODE + r"(?<=\w\([^)]{0,4000})\w+\.(\w+)(?=[^)]*\))", "$1")
+    # (a match goes on where the one before it ended, so a call may be of any length)
+    c = F.regexp_replace(c, X.UNICODE + r"(\G(?!^)|\w\()([^)]*?)\w+\.(\w+)(?=[^)]*\))", "$1$2$3")
     parts = F.split(c, r"\.")
     column = X.strip(F.get(parts, F.lit(1)))
     known = [k.lower() for k in known_columns]

@@ -261,14 +261,16 @@ def value_profile(df: DataFrame, most: int = 10, shown: int = 5) -> DataFrame:
     """Columns with 2 to `most` distinct values and their first values in order.
 
     A sketch per column, from one scan, leaves out the columns with many
-    values; only those with few are counted exactly.
+    values; only those with few are counted exactly. A table without such a column gives no row.
     """
     simple = [
         f.name for f in df.schema.fields
         if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
     ]
     about = df.agg(*[F.approx_count_distinct(f"`{c}`").alias(c) for c in simple]).first()
-    few_valued = [c for c in simple if about[c] <= 10 * most] or simple[:1]
+    few_valued = [c for c in simple if about[c] <= 10 * most]
+    if not few_valued:
+        return df.sparkSession.createDataFrame([], "column_name string, distinct_values int, sample_values string")
     cells = F.array(
         *[
             F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("v"))

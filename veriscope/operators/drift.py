@@ -112,9 +112,9 @@ def agents_without_baseline(
 
 
 def baseline_questions(
-    sources: list[DataFrame], agent: str = "agent_type", position: str = "position"
+    sources: list[DataFrame], agent: str = "agent_type", position: str = "position", most: int = K.BASELINE_QUESTIONS,
 ) -> DataFrame:
-    """First questions per agent from the first source that knows the agent.
+    """First `most` questions per agent from the first source that knows the agent.
 
     `sources` come in order of preference, each with (agent, position, query_text).
     """
@@ -126,7 +126,7 @@ def baseline_questions(
         tagged = part if tagged is None else tagged.unionByName(part)
     best = tagged.groupBy(agent).agg(F.min("__priority").alias("__priority"))
     chosen = lookup_join(tagged, best, [agent, "__priority"], "inner").drop("__priority")
-    return top_per_key(chosen, [agent], [F.col(position)], K.BASELINE_QUESTIONS)
+    return top_per_key(chosen, [agent], [F.col(position)], most)
 
 
 def unscored(queries: DataFrame, drift: DataFrame, key: str = "query_id") -> DataFrame:

@@ -49,8 +49,11 @@ def null_shares(df: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(df: DataFrame, columns: Sequence[str] | None = None,
-                     limit: int = K.DUPLICATE_COLUMNS) -> DataFrame:
-    """Number of groups of equal rows on the first columns: (duplicate_groups, total_rows)."""
+                     limit: int | None = None) -> DataFrame:
+    """Number of groups of equal rows: (duplicate_groups, total_rows).
+
+    Rows are equal if they agree in all (given) columns that can be grouped; `limit` looks at the first of them only.
+    """
     groupable = [
         f.name for f in df.schema.fields
         if (columns is None or f.name in columns) and not isinstance(f.dataType, _NOT_GROUPABLE)
@@ -65,10 +68,10 @@ def table_size(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("row_count"))
 
 
-def document_duplicates(df: DataFrame) -> DataFrame:
-    """As `duplicate_groups` for documents: five fields, the document id left out."""
+def document_duplicates(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """As `duplicate_groups` for documents, the document id left out."""
     fields = [c for c in df.columns if c != "_id"]
-    return duplicate_groups(df, fields, K.DUPLICATE_COLUMNS_DOCUMENTS)
+    return duplicate_groups(df, fields, limit)
 
 
 def _issue(schema: str, table: str, kind: str, severity: str, message: Column, details: Column | None = None,
@@ -146,7 +149,7 @@ def issue_report(tables: dict[str, DataFrame], keys: dict[str, Sequence[str]], s
                  partitioned: Sequence[str] = (), extra: Sequence[Check] = ()) -> DataFrame:
     """Issues of all tables and checks in one frame; `extra` plugs in further checks.
 
-    A check that cannot be planned for a table is left out, the others go on.
+    A check that cannot be planned for a table is reported as `check_skipped`, the others go on.
     """
     from pyspark.errors import AnalysisException
 
@@ -162,7 +165,9 @@ def issue_report(tables: dict[str, DataFrame], keys: dict[str, Sequence[str]], s
         for check in checks:
             try:
                 found = check(df, schema, name)
-            except AnalysisException:
-                continue
+            except AnalysisException as failed:
+                reason = F.lit(f"A check of {schema}.{name} could not be planned")
+                details = F.create_map(F.lit("error"), F.lit(failed.getCondition() or str(failed)))
+                found = df.sparkSession.range(1).select(*_issue(schema, name, "check_skipped", "warning", reason, details))
             report = found if report is None else report.unionByName(found)
     return report

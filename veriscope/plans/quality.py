@@ -76,7 +76,7 @@ def missing_fields(spark, d):
 
 @query("D4_duplicate_groups", """
 SELECT 'lineitem' AS table_name, count(*) FILTER (WHERE n > 1) AS duplicate_groups, sum(n)::BIGINT AS total_rows FROM
-  (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus)
+  (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)
 UNION ALL SELECT 'order lines', count(*) FILTER (WHERE n > 1), sum(n)::BIGINT FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)
 UNION ALL SELECT 'documents', count(*) FILTER (WHERE n > 1), sum(n)::BIGINT FROM (SELECT count(*) AS n FROM documents GROUP BY text, lang, source, n_chars)""")
 def duplicates(spark, d):
@@ -131,7 +131,7 @@ SELECT 'lineitem' AS table_name, NULL AS column_name, 'missing_primary_key' AS i
 UNION ALL SELECT 'sparse', column_name, 'high_null_percentage', 'warning', 'Column ''' || column_name || ''' has ' || printf('%.1f', percentage) || '% NULL values', null_count, percentage
   FROM shares WHERE percentage > 20
 UNION ALL SELECT 'lineitem', NULL, 'duplicate_rows', 'info', n || ' duplicate row groups found', n, NULL FROM (SELECT count(*) AS n FROM
-  (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus HAVING count(*) > 1)) WHERE n > 0)"""
+  (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate HAVING count(*) > 1)) WHERE n > 0)"""
 
 
 @query("D7_issue_report", f"{_ISSUES_SQL} SELECT * FROM issues")

@@ -244,14 +244,14 @@ def ratio(spark, d):
 
 @query("B14_big_spenders", f"""
 SELECT c_custkey, c_name, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS spent FROM orders JOIN ({_PLACES_SQL}) ON o_custkey = c_custkey
-WHERE r_name = 'EUROPE' AND o_orderdate >= DATE '1996-04-01' AND o_orderdate < DATE '1997-01-01' AND o_totalprice > 100000 GROUP BY 1, 2 ORDER BY spent DESC, c_custkey LIMIT 20""")
+WHERE r_name = 'EUROPE' AND o_orderdate >= DATE '1996-04-01' AND o_orderdate < DATE '1997-01-01' AND o_totalprice > 100000 GROUP BY 1, 2 ORDER BY spent DESC, c_custkey""")
 def big_spenders(spark, d):
     o = read_table(spark, d, "orders").filter(
         (F.col("o_orderdate") >= F.lit("1996-04-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz"))
         & (F.col("o_totalprice") > 100000))
     europe = _places(spark, d).filter(F.col("r_name") == "EUROPE")
     return o.join(europe, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_custkey", "c_name").agg(
-        _total(_money("o_totalprice"), "spent")).orderBy(F.col("spent").desc(), "c_custkey").limit(20)
+        _total(_money("o_totalprice"), "spent")).orderBy(F.col("spent").desc(), "c_custkey")
 
 
 _STOCK_SQL = """demand AS (SELECT l_partkey, sum(l_quantity)::DOUBLE AS sold FROM lineitem GROUP BY 1),
@@ -286,14 +286,14 @@ def turnover(spark, d):
 WITH s AS (SELECT l_suppkey, avg(l_quantity) AS lead, count(*) FILTER (WHERE l_returnflag = 'R')::DOUBLE / count(*) AS defects FROM lineitem GROUP BY 1),
 b AS (SELECT min(lead) AS l0, max(lead) AS l1, min(defects) AS d0, max(defects) AS d1 FROM s),
 n AS (SELECT l_suppkey, round(1 - 0.5::DOUBLE * (lead - l0) / (l1 - l0) - 0.5::DOUBLE * (defects - d0) / (d1 - d0), 8) AS score FROM s, b)
-SELECT l_suppkey, score FROM n ORDER BY score DESC, l_suppkey LIMIT 25""")
+SELECT l_suppkey, score FROM n ORDER BY score DESC, l_suppkey""")
 def supplier_scores(spark, d):
     s = _lines(spark, d).groupBy("l_suppkey").agg(
         F.avg("l_quantity").alias("lead"), (F.count_if(F.col("l_returnflag") == "R") / F.count("*")).alias("defects"))
     b = s.agg(F.min("lead").alias("l0"), F.max("lead").alias("l1"), F.min("defects").alias("d0"), F.max("defects").alias("d1"))
     score = (1 - 0.5 * (F.col("lead") - F.col("l0")) / (F.col("l1") - F.col("l0"))
              - 0.5 * (F.col("defects") - F.col("d0")) / (F.col("d1") - F.col("d0")))
-    return s.join(F.broadcast(b)).select("l_suppkey", F.round(score, 8).alias("score")).orderBy(F.col("score").desc(), "l_suppkey").limit(25)
+    return s.join(F.broadcast(b)).select("l_suppkey", F.round(score, 8).alias("score")).orderBy(F.col("score").desc(), "l_suppkey")
 
 
 @query("B18_cost_breakdown", f"""
