@@ -25,11 +25,20 @@ def test_score_is_the_sum_of_feature_weights(spark, small):
     for _, text in rows(small, "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 50"):
         odds = []
         for j in range(2):
-            z = chain.biases[j] + sum(weights.get(int(f), (0, 0))[j] for f in tx.text_features(text)) + sum(np.array(odds) * chain.links[j, : len(odds)])
+            z = chain.biases[j] + sum(weights.get(int(f), (0, 0))[j] for f in tx.text_features(text)) + sum(chain.links[j, : len(odds)] / (1 + np.exp(-np.array(odds))))
             odds.append(float(np.clip(z, -tx.CLIP, tx.CLIP)))
         assert np.allclose(odds, tx.score_text(text, chain, adds), atol=1e-3)
 
 
+def test_low_quality_alone_is_not_toxic(spark, small):
+    """The earlier category enters as a probability, so no clean label is called toxic for its junk."""
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    documents = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    chain = tx.train_chain(documents, labels, tx.label_categories())
+    clean = documents.join(labels.filter("toxic = 0").select("doc_id"), "doc_id")
+    assert tx.score_documents(clean, chain).filter("is_toxic").count() == 0
+
+
 def test_chain_uses_earlier_categories():
     rng = np.random.default_rng(0)
     features = [np.array([rng.integers(0, 2), 2 + rng.integers(0, 2)], dtype=np.int32) for _ in range(400)]

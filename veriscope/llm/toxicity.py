@@ -1,6 +1,6 @@
 r"""Toxicity by a chain of linear classifiers.
 
-Categories are predicted in a fixed order; the model of a category sees the words of a text and the log-odds
+Categories are predicted in a fixed order; the model of a category sees the words of a text and the probability
 of every earlier category. In training those are out-of-fold predictions (a model never feeds a later one
 with what it has learnt by heart), in scoring the predictions of models fitted on all folds.
 
@@ -13,6 +13,7 @@ texts without a shuffle; a worker remembers what each word adds to each category
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -111,9 +112,13 @@ def _odds(rows: list[np.ndarray], dense: np.ndarray, w: np.ndarray, size: int) -
     return np.clip(z, -CLIP, CLIP)
 
 
+def _probability(odds):
+    return 1 / (1 + np.exp(-odds))
+
+
 @dataclass(frozen=True)
 class Chain:
-    """Fitted chain: feature numbers in use, their weights [feature, category], links [category, earlier], biases."""
+    """Fitted chain: feature numbers in use, their weights [feature, category], links [category, earlier probability], biases."""
 
     categories: tuple[str, ...]
     features: np.ndarray
@@ -146,7 +151,7 @@ def fit_chain(features: list[np.ndarray], labels: np.ndarray, folds: np.ndarray,
         if not 0 < y.sum() < len(y):
             if len(y):
                 biases[j] = CLIP if y.sum() else -CLIP
-            earlier = np.column_stack([earlier, np.full(len(rows), biases[j])])
+            earlier = np.column_stack([earlier, np.full(len(rows), _probability(biases[j]))])
             continue
         w = fit_logistic(rows, earlier, y, size)
         weights[:, j], links[j, :j], biases[j] = w[:size], w[size : size + j], w[-1]
@@ -156,7 +161,7 @@ def fit_chain(features: list[np.ndarray], labels: np.ndarray, folds: np.ndarray,
             if len(inside) and 0 < y[inside].sum() < len(inside):
                 v = fit_logistic([rows[i] for i in inside], earlier[inside], y[inside], size)
                 held_out[outside] = _odds([rows[i] for i in outside], earlier[outside], v, size)
-        earlier = np.column_stack([earlier, held_out])
+        earlier = np.column_stack([earlier, _probability(held_out)])
     return Chain(categories, numbers, weights.astype(np.float32), links, biases)
 
 
@@ -189,9 +194,11 @@ def score_text(text: str | None, chain: Chain, adds: _Adds) -> list[float]:
     at = np.fromiter(map(adds.__getitem__, words), np.int64, len(words))
     total = adds.rows[at].sum(axis=0)
     out: list[float] = []
+    earlier: list[float] = []
     for j in range(len(chain.categories)):
-        z = float(total[j] + chain.biases[j] + sum(a * b for a, b in zip(chain.links[j], out, strict=False)))
+        z = float(total[j] + chain.biases[j] + sum(a * b for a, b in zip(chain.links[j], earlier, strict=False)))
         out.append(min(CLIP, max(-CLIP, z)))
+        earlier.append(1 / (1 + math.exp(-out[-1])))
     return out
 
 
@@ -238,7 +245,7 @@ def probabilities(text: Column, chain: Chain) -> Column:
                     adds = _Adds(chain)
                 out.append(score_text(t, chain, adds))
             odds = np.array(out, dtype=float).reshape(len(out), len(chain.categories))
-            yield pd.DataFrame(1 / (1 + np.exp(-odds)), columns=list(chain.categories))
+            yield pd.DataFrame(_probability(odds), columns=list(chain.categories))
 
     return F.pandas_udf(run, ", ".join(f"`{c}` double" for c in chain.categories))(text)
 
