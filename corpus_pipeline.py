@@ -30,13 +30,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document per group of near duplicates (5 words, 0.8); documents without words stay.
 
-    Of repeated rows with the smallest id of a group one stays.
+    Of repeated rows with the smallest id of a group one stays. Groups are told apart by their texts, so unrelated
+    documents without an id or with the same id all stay.
     """
     rows = docs.withColumn("__digest", _digest())
-    judged = near_duplicates.near_duplicates(rows.select("doc_id", "text", "__digest"), width=5, percent=80, keep=("__digest",))
+    judged = near_duplicates.near_duplicates(
+        rows.select("doc_id", "text", "__digest"), width=5, percent=80, keep=("__digest",), identity="__group"
+    )
     kept = (
-        judged.filter("kept AND n_shingles > 0").groupBy("component_id").agg(F.min("__digest").alias("k_digest"))
-        .select(F.col("component_id").alias("k_id"), "k_digest")
+        judged.filter("kept AND n_shingles > 0").groupBy("__group")
+        .agg(F.first("component_id").alias("k_id"), F.min("__digest").alias("k_digest")).select("k_id", "k_digest")
     )
     same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("__digest") == F.col("k_digest"))
     copy = F.struct(*[c for c in docs.columns])

@@ -70,3 +70,15 @@ def test_odd_rows_through_all_stages(spark, small):
     empty = spark.createDataFrame([], schema)
     for _, stage in cp.STAGES:
         assert stage(spark, empty, small).count() == 0
+
+
+def test_unrelated_texts_without_id_or_with_equal_ids_all_stay(spark, small):
+    schema = spark.read.parquet(f"{small}/documents.parquet").schema
+    text = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    docs = [(None, text(f"n{k}x"), "en", "a", 9) for k in range(5)]
+    docs += [(3, text(f"t{k}x"), "en", "a", 9) for k in range(4)] + [(4, text("t0x") + " more", "en", "a", 9)]
+    # near copies: of two without id one stays, of an id and none the id; repeated rows once
+    docs += [(None, text("n0x") + " more", "en", "a", 9), (8, text("n1x") + " more", "en", "a", 9), (3, text("t1x"), "en", "a", 9)]
+    got = cp.one_of_each_group(spark, spark.createDataFrame(docs, schema), small).collect()
+    assert collections.Counter(r.doc_id for r in got) == {None: 4, 3: 4, 8: 1}
+    assert {r.text.split()[0] for r in got} == {f"n{k}x0" for k in range(5)} | {f"t{k}x0" for k in range(4)}

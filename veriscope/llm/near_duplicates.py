@@ -176,6 +176,7 @@ def _pair(x: str, y: str) -> list[Column]:
 
 def near_duplicates(
     documents: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, keep: tuple[str, ...] = (),
+    identity: str | None = None,
 ) -> DataFrame:
     """One row per document: key, the `keep` columns, n_shingles, component_id, kept.
 
@@ -184,6 +185,9 @@ def near_duplicates(
     links and `kept` marks the document that carries it. A document without words (or null) is linked with
     nothing. Rows with equal texts are linked, also repeated rows; a null key is reachable from no
     other (component_id is the smallest key that is not null). An empty table gives no row.
+
+    component_id is a key, and components share it where keys repeat or are all null. With `identity` a column
+    of that name tells components apart: the smallest 128-bit hash of their shingle sets, null without words.
     """
     rows = staged(
         documents.select(F.col(key).alias("key"), *keep, F.col(text).alias("__text")).mapInPandas(
@@ -260,13 +264,14 @@ def near_duplicates(
         between = more.join(root_of.toDF("a", "ra"), "a").join(root_of.toDF("b", "rb"), "b")
         above = components(between.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).toDF("root", "top")
         named = named.join(above, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
-    least = named.groupBy("root").agg(F.min("least_key").alias("component_id"))
-    by_node = named.join(least, "root").select(F.col("node").alias("m_node"), "component_id")
+    own = [F.min("node").alias("m_identity")] if identity else []
+    least = named.groupBy("root").agg(F.min("least_key").alias("component_id"), *own)
+    by_node = named.join(least, "root").select(F.col("node").alias("m_node"), *least.columns[1:])
     joined = rows.drop("bands").join(by_node, F.col("node") == F.col("m_node"), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("key"))
     return joined.select(
         F.col("key").alias(key), *keep, "n_shingles", component.alias("component_id"),
-        F.col("key").eqNullSafe(component).alias("kept"),
+        F.col("key").eqNullSafe(component).alias("kept"), *[F.col("m_identity").alias(x) for x in (identity,) if x],
     )
 
 
