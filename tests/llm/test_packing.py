@@ -3,11 +3,12 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from llm.brute import rows
 from veriscope.llm import packing as p
-from veriscope.llm.tokens import PieceEncoder
+from veriscope.llm.tokens import PieceEncoder, encoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -75,3 +76,18 @@ def test_pieces_give_the_ids_of_the_whole_text():
         whole.encode_special_tokens = True
         for text, got in zip(texts, PieceEncoder(path, 4, words).encode(texts), strict=True):
             assert np.frombuffer(got, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_special_tokens_in_a_text_are_those_of_the_loaded_tokenizer(spark):
+    strings = ("<|endoftext|>", "<|startoftext|>")
+    texts = [t.replace("#", s) for s in strings for t in ("#", "x # y", "x#y", "##", "# # #", "a\n#\nb", " # ", "it's#, a  b")]
+    texts += ["<|EndOfText|> x", "<|endoftext|", "<|startoftext|><|endoftext|> b", "no such string"]
+    for name, words in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        path = public_tokenizers.path(name)
+        whole = Tokenizer.from_file(path)
+        for text, got in zip(texts, encoder(path, 4, words).encode(texts), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    whole = Tokenizer.from_file(PATH)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = {i: [*whole.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    check(p.pack(df, tokenizer=PATH, words=True, end_id=1).withColumn("ids_crc32", F.crc32("ids")).collect(), ids)

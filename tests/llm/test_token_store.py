@@ -46,3 +46,15 @@ def test_empty_table_and_foreign_dictionary(spark):
     ).parquet(f"{store}/dictionary")
     with pytest.raises(ValueError, match="does not have the hash"):
         ts.read_store(spark, store)
+
+
+def test_special_tokens_in_a_text_shift_later_documents(spark):
+    whole = Tokenizer.from_file(PATH)
+    docs = [(1, "x <|endoftext|> y"), (2, "x<|endoftext|><|endoftext|>y"), (3, "a few words")]
+    store = fresh_folder(spark, "store")
+    ts.write_store(spark.createDataFrame(docs, "doc_id long, text string"), store, tokenizer=PATH, end_id=2)
+    got, start = {r.doc_id: r for r in ts.read_store(spark, store).collect()}, 0
+    for doc_id, text in docs:
+        n = len(whole.encode(text, add_special_tokens=False).ids) + 1
+        assert (got[doc_id].start, got[doc_id].n_tokens) == (start, n)
+        start += n

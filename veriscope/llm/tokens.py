@@ -61,15 +61,17 @@ class _Pieces(dict):
 class PieceEncoder:
     """Encodes texts to little-endian ids of `width` bytes (2 or 4), no special tokens added.
 
-    The strings of special tokens in a text are ordinary text. `words` says that the vocabulary drops white
-    space and case; otherwise a blank before letters belongs to their pre-token and a line feed is its own.
+    With `literal` the strings of special tokens in a text are ordinary text; without, they are those tokens, as
+    in the tokenizer as loaded, and a text that holds one is encoded whole. `words` says that the vocabulary drops
+    white space and case; otherwise a blank before letters belongs to their pre-token and a line feed is its own.
     """
 
-    def __init__(self, path: str, width: int, words: bool):
+    def __init__(self, path: str, width: int, words: bool, literal: bool = True):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = literal
+        self.added = () if literal else tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
         self.model = self.whole.model
         self.dtype, self.words = f"<u{width}", words
         self.cores = _Pieces(self._core)
@@ -99,6 +101,8 @@ class PieceEncoder:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def _cut(self, text: str) -> bytes | None:
+        if any(x in text for x in self.added):
+            return None
         if self.words:
             return None if any(x in text for x in _SEPARATORS) else b"".join(map(self.known.__getitem__, text.split()))
         if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _RUNS):
@@ -120,5 +124,5 @@ class PieceEncoder:
 
 @lru_cache(maxsize=4)
 def encoder(path: str, width: int, words: bool = False) -> PieceEncoder:
-    """One encoder per worker process and vocabulary, kept between tasks."""
-    return PieceEncoder(path, width, words)
+    """One encoder per worker process and vocabulary, kept between tasks; the tokenizer stays as loaded."""
+    return PieceEncoder(path, width, words, literal=False)
