@@ -97,3 +97,19 @@ def test_bit_slices(spark):
             want = sorted((-int(q @ v), j) for j, v in rows if j != i and len(v) == len(q))[:5]
             assert [got[i][k] for k in sorted(got[i])] == want
     assert bit_slices.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_bit_slices_keep_every_finite_vector(spark):
+    rng = np.random.default_rng(1)
+    vectors = [(i, rng.normal(size=16).round(2).tolist()) for i in range(200)]
+    for at, (i, x) in enumerate([(10, 1e6), (50, -3e6), (77, 2.7e5), (100, 1e12), (120, -4e13), (150, 3.6e16), (160, -3.6e16)]):
+        vectors[i][1][at % 3] = x
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    exact = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in vectors]
+    for block in (64, 65_536):
+        got = {}
+        for r in bit_slices.top_k(df, F.col("vec_id") % 10 == 0, 5, block_rows=block, batch_queries=3).collect():
+            got.setdefault(r.query_id, {})[r.rank] = (-int(r.score), r.vec_id)
+        for i, q in exact[::10]:
+            want = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in exact if j != i)[:5]
+            assert [got[i][k] for k in sorted(got[i])] == want

@@ -15,6 +15,7 @@ all rows, in blocks); each meeting returns at most k rows per query and Spark ke
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -24,17 +25,18 @@ from pyspark.sql import functions as F
 from veriscope.llm.registry import query
 from veriscope.llm.shared import staged, table
 
-LIMIT = 1 << 26  # components beyond +-LIMIT take no part: their sums could leave 64 bits
+SCORE = "decimal(38,0)"
+LIMIT = float(1 << 63)  # quantised components are 64-bit integers, as in the SQL; sums of products may be longer
 
 
 def quantised(vector: Column, scale: float) -> Column:
     """floor(scale * x) of each component as long; null for a vector that takes no part.
 
     Null vectors, vectors without components and vectors with a null or non-finite component, or one
-    whose quantised value is beyond 2**26, take no part.
+    whose quantised value is no 64-bit integer, take no part.
     """
     wide = F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
-    odd = lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double") * F.lit(float(scale))) > LIMIT)
+    odd = lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double") * F.lit(float(scale))) >= LIMIT)
     return F.when(vector.isNotNull() & (F.size(vector) > 0) & ~F.coalesce(F.exists(vector, odd), F.lit(True)), wide)
 
 
@@ -129,14 +131,17 @@ def _search(block: pd.DataFrame, queries: pd.DataFrame, k: int) -> Iterator[tupl
                 candidates = everyone & ~np.packbits(own, bitorder="little").view(np.uint64)
             score = score_slices(slices, q)
             best = top_rows(score, candidates, k)
-            total = np.zeros(len(best), dtype=np.int64)
-            for b, plane in enumerate(score):
-                total += ((plane[best >> 6] >> (best & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << b
             # from sums of shifted or flipped values back to the inner product
             ceiling = (1 << row.bits) - 1
-            total += int(q[q > 0].sum()) * row.low + int(q[q < 0].sum()) * (ceiling + row.low)
+            back = sum(q[q > 0].tolist()) * row.low + sum(q[q < 0].tolist()) * (ceiling + row.low)
+            # sums that could leave 64 bits are added as Python integers
+            kind = np.int64 if len(score) <= 62 and abs(back) < 1 << 62 else object
+            total = np.zeros(len(best), dtype=kind)
+            for b, plane in enumerate(score):
+                total += ((plane[best >> 6] >> (best & 63).astype(np.uint64)) & np.uint64(1)).astype(kind) << b
+            total += back
             for at, value in zip(best, total, strict=True):
-                yield item.query_id, int(ids[at]), int(value)
+                yield item.query_id, int(ids[at]), Decimal(int(value))
 
 
 def top_k(
@@ -148,7 +153,8 @@ def top_k(
     Candidates are all rows but those with the query's own key; ties go to the smaller key; a query
     with fewer candidates returns all. Vectors that take no part (see `quantised`) and rows with a null key
     are neither queries nor candidates. Only vectors of equal length meet. Rows repeated with one
-    key are candidates each; as queries they count once (the first by its components).
+    key are candidates each; as queries they count once (the first by its components). A score is an
+    exact integer of up to 38 digits; a longer one is an error.
     """
     rows = staged(
         vectors.select(F.col(key).cast("long").alias("id"), quantised(F.col(vector), scale).alias("v"), is_query.alias("is_query"))
@@ -158,7 +164,7 @@ def top_k(
     )
     per_dims = {r.dims: r.n for r in rows.groupBy("dims").agg(F.count("*").alias("n")).collect()}
     parts = [_top_k_of(rows.filter(F.col("dims") == d), d, n, k, block_rows, batch_queries) for d, n in sorted(per_dims.items())]
-    found = parts[0] if parts else rows.select(F.col("id").alias("query_id"), "id", F.lit(0).cast("long").alias("score")).limit(0)
+    found = parts[0] if parts else rows.select(F.col("id").alias("query_id"), "id", F.lit(0).cast(SCORE).alias("score")).limit(0)
     for part in parts[1:]:
         found = found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
@@ -205,10 +211,11 @@ def _top_k_of(rows: DataFrame, dims: int, n: int, k: int, block_rows: int, batch
     right = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def meet(block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(_search(block, asked, k)), columns=["query_id", "id", "score"]).astype("int64")
+        found = pd.DataFrame(list(_search(block, asked, k)), columns=["query_id", "id", "score"])
+        return found.astype({"query_id": "int64", "id": "int64", "score": "object"})
 
     return left.groupBy("block", "batch").cogroup(right.groupBy("block", "batch")).applyInPandas(
-        meet, "query_id long, id long, score long"
+        meet, f"query_id long, id long, score {SCORE}"
     )
 
 
@@ -227,4 +234,8 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= {K}""")
 def op9_bit_sliced_top_k(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
-    return top_k(vectors, F.col("vec_id") % EVERY == 0, K, scale=SCALE)
+    found = top_k(vectors, F.col("vec_id") % EVERY == 0, K, scale=SCALE)
+    # as in the SQL, a score beyond 64 bits is an error
+    fits = F.abs("score") < F.lit(str(1 << 63)).cast(SCORE)
+    score = F.when(fits, F.col("score").cast("long")).otherwise(F.raise_error(F.lit("op9: a score is beyond 64 bits")).cast("long"))
+    return found.withColumn("score", score)
