@@ -113,3 +113,15 @@ def test_bit_slices_keep_every_finite_vector(spark):
         for i, q in exact[::10]:
             want = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in exact if j != i)[:5]
             assert [got[i][k] for k in sorted(got[i])] == want
+
+
+def test_mix_takes_a_repetition_that_a_target_rounds_up_to(spark):
+    docs = [(1, "w", "s"), *[(i, "w", "t") for i in range(2, 6)], (6, "", "s"), (7, "w", "t")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    for weight, want in ((0.45, {"s": 3, "t": 3}), (0.15, {"s": 1, "t": 5})):  # targets 2.7 and 3.3, 0.9 and 5.1
+        weights = spark.createDataFrame([("s", weight), ("t", 1 - weight)], "source string, weight double")
+        for cut in (True, False):
+            got = {"s": 0, "t": 0}
+            for r in mixing.mix(df, weights, size=word_count(F.col("text")), cut=cut).collect():
+                got[r.source] += r.taken
+            assert got == want

@@ -95,9 +95,10 @@ def mix(
     total = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).first().n * budget
     poured = staged(
         water_fill(weighed, F.lit(float(total)), max_epochs)
-        .withColumn("epochs", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-        .withColumn("whole", F.floor("epochs"))
-        .withColumn("part", F.greatest(F.round(F.col("target")).cast("long") - F.col("whole") * F.col("source_size"), F.lit(0))),
+        # words are whole before they are divided: a target just below a repetition is that repetition
+        .withColumn("due", F.round("target").cast("long"))
+        .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("due") / F.col("source_size"))).otherwise(0))
+        .withColumn("part", F.col("due") - F.col("whole") * F.col("source_size")),
         "mix",
     )
 
