@@ -3,11 +3,15 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from llm.brute import rows
 from veriscope.llm import packing as p
+from veriscope.llm import tokens
 from veriscope.llm.tokens import PieceEncoder, encoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -41,7 +45,6 @@ def check(pieces, ids):
 
 def test_query_packs_every_id_once(spark, small):
     whole = Tokenizer.from_file(PATH)
-    whole.encode_special_tokens = True
     ids = {d: [*whole.encode(t or "", add_special_tokens=False).ids, 1] for d, t in rows(small, "SELECT doc_id, text FROM documents")}
     assert check(p.op4_cutting_stock(spark, small).collect(), ids) < 0.005
 
@@ -91,3 +94,32 @@ def test_special_tokens_in_a_text_are_those_of_the_loaded_tokenizer(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     ids = {i: [*whole.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
     check(p.pack(df, tokenizer=PATH, words=True, end_id=1).withColumn("ids_crc32", F.crc32("ids")).collect(), ids)
+
+
+PIECES = st.sampled_from(["word", "Word,", "Élan", "ñ.", "it's", "12", "a***", "<|endoftext|>", "\u00a0", "\x1c", "\x01", "\t", "é", "ﬁ", "中文", "x\x01y", "!?", "", "\r"])
+GAPS = st.sampled_from([" ", " ", " ", "\n", "  ", " \n", "\n\n"])
+
+
+@pytest.mark.parametrize("name, words", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.tuples(PIECES, GAPS), max_size=8), min_size=1, max_size=6))
+def test_random_texts_give_the_ids_of_the_plain_tokenizer(name, words, texts):
+    path = public_tokenizers.path(name)
+    made = encoder(path, 4, words)
+    whole = made.whole
+    strings = ["".join(p + g for p, g in t) for t in texts] + [None, ""]
+    for after_blank, run in ((False, made.encode), (True, made.encode_after_blank)):
+        for text, got in zip(strings, run(strings), strict=True):
+            want = whole.encode((" " if after_blank else "") + text, add_special_tokens=False).ids if text else []
+            assert np.frombuffer(got, "<u4").tolist() == want, (after_blank, text)
+
+
+def test_remembered_pieces_age(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    made, whole = PieceEncoder(path, 4, False, literal=False), Tokenizer.from_file(path)
+    monkeypatch.setattr(tokens, "REMEMBERED", 40)
+    for i in range(30):
+        texts = [f"the old word{chr(97 + i)} and, new{chr(97 + i)}{j} xy{chr(97 + j)}. the old" for j in range(20)]
+        got = made.encode(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(made.pieces.number) <= 40

@@ -14,7 +14,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def test_store_gives_back_every_id(spark, small):
     whole = Tokenizer.from_file(PATH)
-    whole.encode_special_tokens = True
     got = {r.doc_id: r for r in ts.op3_token_store(spark, small).collect()}
     start = 0
     for doc_id, text in rows(small, "SELECT doc_id, text FROM documents ORDER BY doc_id"):

@@ -14,7 +14,7 @@ ORACLES: dict[str, str] = {}
 
 _MODULES = (
     "mixing", "url_rules", "token_store", "packing", "tool_calls",
-    "near_duplicates", "toxicity", "quality_ledger", "bit_slices", "secrets", "bisectors", "languages",
+    "near_duplicates", "toxicity", "quality_ledger", "bit_slices", "secrets", "bisectors", "languages", "alignment",
 )
 
 

@@ -2,60 +2,108 @@ r"""Token ids by the tokenizers library, with the pieces of a text remembered.
 
 White space starts a new pre-token in both vocabularies, so a text may be cut before every blank or line
 feed that follows another character; the ids of a text are those of its pieces in turn. A worker
-encodes each piece once and joins remembered bytes from then on. A piece of Latin letters and closing
-punctuation goes to the vocabulary's merges directly (`model.tokenize`), any other piece through
-the whole tokenizer; texts with runs of white space or unusual white space are encoded whole.
+numbers the pieces it meets and keeps the ids of all of them in one array; the ids of many texts are then
+one gather by piece numbers. A new piece of Latin letters and closing punctuation goes to the vocabulary's
+merges directly (`model.tokenize`), any other piece through the whole tokenizer; texts with runs of white
+space or unusual white space are encoded whole.
 """
 
 from __future__ import annotations
 
+import gc
 import os
-import re
+from array import array
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Letters, then ASCII punctuation without the apostrophe.
-_SIMPLE = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+#: Letters that need no care, ASCII punctuation without the apostrophe, and a piece of the former and then the latter.
+_LATIN = "".join(chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)) if c not in (0xD7, 0xF7))
+_MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and c != 0x27)
+_SIMPLE = rf"\A[\x01\n]?[A-Za-zÀ-ÖØ-öø-ÿ]+[!-&(-/:-@\[-`{{-~]*\z"
+#: Stands before the first piece of a text; a text that holds it is encoded whole.
+_FIRST = "\x01"
 _RUNS = ("  ", " \n", "\n ", "\n\n")
 #: Separators that Python splits at and the vocabularies take for symbols.
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
-#: Pieces that a worker remembers in each of two generations: bounds its memory, not what is encoded.
-REMEMBERED = 200_000
+#: Pieces that a worker remembers at once: bounds its memory, not what is encoded.
+REMEMBERED = 400_000
+#: Characters of texts that are gathered at once.
+STEP = 1 << 22
 
 
-def _byte_letters() -> dict[int, int]:
+def byte_letters() -> dict[int, int]:
     """Byte to code point in byte-level vocabularies: printable bytes stay, the rest follow from 256 in order."""
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     rest = iter(range(256, 512))
     return {b: b if b in printable else next(rest) for b in range(256)}
 
 
-_LETTERS = _byte_letters()
+_LETTERS = byte_letters()
+_BLANK = chr(_LETTERS[0x20])
 
 
-class _Pieces(dict):
-    """Piece to ids; a missing piece is looked up in the generation before, else encoded."""
+def _strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
 
-    def __init__(self, encode):
-        super().__init__()
-        self.encode, self.before = encode, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        got = self.before.get(piece)
-        if got is None:
-            got = self.encode(piece)
-        self[piece] = got
-        return got
+class _Pieces:
+    """Numbers of pieces; the ids of all pieces lie one after another in `ids`. Number -1: the cut is unsafe."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.ids, self.starts = array("I"), array("q", [0])
+        self.used = np.zeros(0, dtype=np.int64)
+
+    def add(self, piece: str, ids: list[int] | None) -> int:
+        if ids is None:
+            self.number[piece] = -1
+            return -1
+        self.ids.extend(ids)
+        self.number[piece] = number = len(self.starts) - 1
+        self.starts.append(len(self.ids))
+        return number
+
+    def add_composed(self, names: list[str], parts: np.ndarray) -> None:
+        """Pieces that are the given parts (numbers, a row per piece) in turn."""
+        ids, ends = self.gather(parts.ravel())
+        base, first = len(self.ids), len(self.starts) - 1
+        self.ids.frombytes(ids.tobytes())
+        self.starts.frombytes((ends[parts.shape[1] - 1 :: parts.shape[1]] + base).tobytes())
+        self.number.update(zip(names, range(first, first + len(names)), strict=True))
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after another, and where each piece ends in them."""
+        if not len(numbers) or not len(self.ids):
+            return np.empty(0, dtype=np.uint32), np.zeros(len(numbers), dtype=np.int64)
+        starts = np.frombuffer(self.starts, dtype=np.int64)
+        lengths = (starts[1:] - starts[:-1])[numbers]
+        ends = np.cumsum(lengths)
+        at = np.repeat(starts[numbers] - (ends - lengths), lengths)
+        at += np.arange(len(at))
+        if len(self.used) < len(starts) - 1:
+            self.used = np.append(self.used, np.zeros(max(len(starts), 1 << 16), dtype=np.int64))
+        np.add.at(self.used, numbers, 1)
+        return np.frombuffer(self.ids, dtype=np.uint32)[at], ends
 
     def age(self) -> None:
-        if len(self) > REMEMBERED:
-            self.before.clear()
-            self.before.update(self)
-            self.clear()
+        """Once too many pieces are held, only those met twice since the last time stay."""
+        if len(self.number) <= REMEMBERED:
+            return
+        names = [p for p, number in self.number.items() if number >= 0 and self.used[number] > 1]
+        if len(names) > REMEMBERED // 2:
+            names = []
+        ids, ends = self.gather(np.fromiter(map(self.number.__getitem__, names), np.int64, len(names)))
+        self.number = dict(zip(names, range(len(names)), strict=True))
+        self.ids, self.starts = array("I", ids.tobytes()), array("q", [0])
+        self.starts.frombytes(ends.astype(np.int64).tobytes())
+        self.used = np.zeros(len(names), dtype=np.int64)
 
 
 class PieceEncoder:
@@ -74,53 +122,142 @@ class PieceEncoder:
         self.added = () if literal else tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
         self.model = self.whole.model
         self.dtype, self.words = f"<u{width}", words
-        self.cores = _Pieces(self._core)
-        self.known = _Pieces(self._piece)
-
-    def _core(self, pretoken: str) -> bytes:
-        mapped = pretoken.encode().decode("latin-1").translate(_LETTERS)
-        return np.array([t.id for t in self.model.tokenize(mapped)], dtype=self.dtype).tobytes()
-
-    def _piece(self, piece: str) -> bytes | None:
-        """Ids of a piece between blanks; None if its ends make the cut unsafe."""
-        m = _SIMPLE(piece)
-        if m is None:
-            if piece[-1:].isspace() or piece[1:2].isspace() or piece[:1] != "\n" and piece[:1].isspace():
-                return None
-            return self._whole(piece if self.words or piece[0] == "\n" else " " + piece)
-        lead, letters, tail = m.groups()
+        self.pieces = _Pieces()
+
+    def _core(self, key: str) -> list[int]:
+        """Ids of one pre-token; outside vocabularies of words a blank goes before it unless the key begins with _FIRST."""
+        if key[0] != _FIRST and key.isascii():  # letters alone, which stand for themselves
+            mapped = key if self.words else _BLANK + key
+        else:
+            plain = key[1:] if key[0] == _FIRST else key if self.words else " " + key
+            mapped = plain.encode().decode("latin-1").translate(_LETTERS)
+        return [t.id for t in self.model.tokenize(mapped)]
+
+    def _piece(self, piece: str) -> list[int] | None:
+        """Ids of any piece between blanks; None if its ends make the cut unsafe."""
+        if not piece:
+            return []
+        if piece[0] == _FIRST:
+            return None if piece[-1].isspace() else self._whole(piece[1:])
+        if piece[-1:].isspace() or piece[1:2].isspace() or piece[:1] != "\n" and piece[:1].isspace():
+            return None
+        return self._whole(piece if self.words or piece[0] == "\n" else " " + piece)
+
+    def _part_numbers(self, keys: pa.Array) -> np.ndarray:
+        """Numbers of pre-tokens (see `_core`); an empty key is a piece without ids."""
+        coded, get = keys.dictionary_encode(), self.pieces.number.get
+        found = []
+        for key in _strings(coded.dictionary):
+            number = get(key)
+            found.append(self.pieces.add(key, self._core(key) if key else []) if number is None else number)
+        return np.array(found, dtype=np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def _numbers(self, distinct: pa.Array) -> np.ndarray:
+        """Numbers of distinct pieces; new ones are encoded first."""
+        names, get = _strings(distinct), self.pieces.number.get
+        numbers = np.fromiter(map(get, names, repeat(-2)), np.int64, len(names))
+        missing = np.flatnonzero(numbers == -2)
+        if not len(missing):
+            return numbers
+        words = distinct.take(pa.array(missing))
+        simple = pc.match_substring_regex(words, _SIMPLE).to_numpy(zero_copy_only=False)
+        for at in missing[~simple].tolist():
+            numbers[at] = self.pieces.add(names[at], self._piece(names[at]))
+        at = missing[simple]
+        words = words.filter(pa.array(simple))
+        body = pc.utf8_ltrim(words, "\n" + _FIRST)
+        letters, marks = pc.utf8_rtrim(body, _MARKS), pc.utf8_ltrim(body, _LATIN)
+        head = lambda x: pc.binary_join_element_wise(pa.scalar(_FIRST, x.type), x, pa.scalar("", x.type))
+        line, none = pc.starts_with(words, "\n"), pa.scalar("", words.type)
         if self.words:
-            out = self.cores[letters.lower()]
-        elif lead:
-            out = self.cores[lead] + self.cores[letters]
+            cores = self._part_numbers(pc.utf8_lower(letters))
         else:
-            out = self.cores[" " + letters]
-        return out + self.cores[tail] if tail else out
+            cores = self._part_numbers(pc.if_else(pc.or_(line, pc.starts_with(words, _FIRST)), head(letters), letters))
+        plain = pc.equal(pc.binary_length(marks), 0)
+        tails = self._part_numbers(pc.if_else(plain, none, head(marks)))
+        lines = self._part_numbers(pc.if_else(line, pa.scalar(_FIRST + "\n", words.type), none))
+        alone = pc.and_not(plain, line).to_numpy(zero_copy_only=False)
+        self.pieces.number.update(zip(map(names.__getitem__, at[alone].tolist()), cores[alone].tolist(), strict=True))
+        joined = np.stack([lines, cores, tails], axis=1)[~alone]
+        self.pieces.add_composed([names[i] for i in at[~alone].tolist()], joined)
+        numbers[at] = np.fromiter(map(get, map(names.__getitem__, at.tolist())), np.int64, len(at))
+        return numbers
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+    def _whole(self, text: str) -> list[int]:
+        return self.whole.encode(text, add_special_tokens=False).ids
 
-    def _cut(self, text: str) -> bytes | None:
-        if any(x in text for x in self.added):
-            return None
+    def _cut_apart(self, texts: pa.Array, after_blank: bool) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """Which texts may be cut, the pieces of those one after another, and how many each has.
+
+        Pieces stand behind a blank or begin with a line feed; a first piece without a blank before it begins with _FIRST.
+        """
+        bad = [*self.added, _FIRST]
         if self.words:
-            return None if any(x in text for x in _SEPARATORS) else b"".join(map(self.known.__getitem__, text.split()))
-        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _RUNS):
-            return None
-        # a line feed stays at the head of its piece; a piece without one follows a blank
-        first, *rest = text.replace("\n", " \n").split(" ")
-        found = list(map(self.known.__getitem__, rest))
-        return None if first[-1].isspace() or None in found else self._whole(first) + b"".join(found)
+            bad += _SEPARATORS
+            whole = pa.array([False]).take(pa.array(np.zeros(len(texts), dtype=np.int64)))
+        else:
+            bad += _RUNS
+            ends = [f(texts, x) for f in (pc.starts_with, pc.ends_with) for x in " \n"]
+            whole = pc.or_(pc.or_(ends[0], ends[1]), pc.or_(ends[2], ends[3]))
+        for x in bad:
+            whole = pc.or_(whole, pc.match_substring(texts, x))
+        cut = pc.and_not(pc.greater(pc.binary_length(texts), 0), whole)
+        fast = texts.filter(cut)
+        if self.words:
+            pieces = pc.utf8_split_whitespace(fast)
+        else:
+            if not after_blank:
+                fast = pc.binary_join_element_wise(pa.scalar(_FIRST, fast.type), fast, pa.scalar("", fast.type))
+            pieces = pc.split_pattern(pc.replace_substring(fast, "\n", " \n"), " ")
+        return cut.to_numpy(zero_copy_only=False), pieces.flatten(), pc.list_value_length(pieces).to_numpy(zero_copy_only=False)
 
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        out = []
-        for text in texts:
-            got = self._cut(text) if text else b""
-            out.append(self._whole(text) if got is None else got)
-            self.known.age()
-            self.cores.age()
+    def _encode(self, texts: list[str | None], after_blank: bool) -> list[bytes]:
+        strings = pa.array([t or "" for t in texts], pa.large_string())
+        cut, pieces, counts = self._cut_apart(strings, after_blank)
+        coded = pieces.dictionary_encode()
+        codes = self._numbers(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+        borders = np.append(0, np.cumsum(counts)).astype(np.int64)
+        places = np.flatnonzero(cut)
+        unsafe = np.flatnonzero(codes < 0)
+        if len(unsafe):
+            cut[places[np.searchsorted(borders, unsafe, "right") - 1]] = False
+            codes = np.where(codes < 0, 0, codes)
+        data, ends = self.pieces.gather(codes)
+        data, size = data.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
+        borders = (np.append(0, ends)[borders] * size).tolist()
+        out = [b""] * len(texts)
+        for at, start, end in zip(places.tolist(), borders[:-1], borders[1:], strict=True):
+            out[at] = data[start:end]
+        for at in np.flatnonzero(~cut).tolist():
+            if texts[at]:
+                out[at] = np.array(self._whole(" " + texts[at] if after_blank else texts[at]), dtype=self.dtype).tobytes()
+        self.pieces.age()
         return out
 
+    def _in_steps(self, texts: Iterable[str | None], after_blank: bool) -> list[bytes]:
+        out, step, size = [], [], 0
+        collects = gc.isenabled()
+        gc.disable()  # a step makes many objects and no cycles
+        try:
+            for text in texts:
+                step.append(text)
+                size += len(text or "")
+                if size >= STEP:
+                    out += self._encode(step, after_blank)
+                    step, size = [], 0
+            return out + self._encode(step, after_blank)
+        finally:
+            if collects:
+                gc.enable()
+
+    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
+        """Ids of every text; null and empty texts have none."""
+        return self._in_steps(texts, False)
+
+    def encode_after_blank(self, texts: Iterable[str | None]) -> list[bytes]:
+        """Ids of a blank and the text, for every text; null and empty texts have none."""
+        return self._in_steps(texts, True)
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str, width: int, words: bool = False) -> PieceEncoder:
