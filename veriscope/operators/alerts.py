@@ -38,19 +38,24 @@ def high_drift_alert(drift: DataFrame, queries: DataFrame, as_of: datetime, hour
     return count.select(*_alert("high_drift", severity, message), "n")
 
 
-def query_drift_alerts(scored: DataFrame) -> DataFrame:
-    """A row per strongly drifted query; also usable on a stream."""
-    message = shorten(F.col("query_text"), 100)
+def query_drift_alerts(scored: DataFrame, shown: int | None = None) -> DataFrame:
+    """A row per strongly drifted query with its whole text; also usable on a stream.
+
+    `shown` shortens the message to so many characters where a display needs it.
+    """
+    message = F.col("query_text") if shown is None else shorten(F.col("query_text"), shown)
     return scored.filter(F.col("drift_classification") == "high").select(
         "query_id", "agent_type", "drift_score",
         *_alert("query_high_drift", F.lit("high"), message),
     )
 
 
-def critical_error_alerts(errors: DataFrame) -> DataFrame:
+def critical_error_alerts(errors: DataFrame, shown: int | None = None) -> DataFrame:
+    """A row per critical error with its whole message, or its first `shown` characters."""
+    message = F.col("error_message") if shown is None else F.substring("error_message", 1, shown)
     return errors.filter(F.col("severity") == "critical").select(
         "query_id", "error_category",
-        *_alert("critical_error", F.lit("critical"), F.substring("error_message", 1, 200)),
+        *_alert("critical_error", F.lit("critical"), message),
     )
 
 

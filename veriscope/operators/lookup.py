@@ -1,4 +1,4 @@
-"""Joins to reference tables that are broadcast only after their size was measured."""
+"""Joins to reference tables whose size is known when the join is planned."""
 
 from __future__ import annotations
 
@@ -6,22 +6,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from veriscope.session import written
 
-def measured(table: DataFrame) -> DataFrame:
-    """Compute a reference table once and keep it.
 
-    Only tables with a row per agent, per agent and column or the like belong
-    here. Spark then knows the table's true size when it plans joins with it:
-    below `spark.sql.autoBroadcastJoinThreshold` it is broadcast, above that
-    the join shuffles. Lost parts are recomputed from their lineage.
+def measured(table: DataFrame) -> DataFrame:
+    """A reference table computed once, as a table in the shared folder.
 
-    An earlier result of the same plan is dropped first, so that a table whose
-    files have changed meanwhile is read again.
+    Spark knows the size of its files when it plans joins with it: below
+    `spark.sql.autoBroadcastJoinThreshold` it is broadcast, above that the join shuffles. Nothing is
+    held in executors' memory, a caller's cache is left alone, and lost executors cost nothing.
     """
-    table.unpersist()
-    kept = table.cache()
-    kept.count()
-    return kept
+    return written(table)
 
 
 def lookup_join(

@@ -10,9 +10,10 @@ from veriscope.functions import psi as P
 from veriscope.operators import catalog as C
 from veriscope.operators import quality as Q
 from veriscope.operators import reports as R
+from veriscope.operators.relationships import relationships
 from veriscope.operators.scoring import column_roles
 from veriscope.plans.registry import query
-from veriscope.sources.files import read_table, read_tables
+from veriscope.sources.files import folder_tables, read_table, read_tables
 
 _AT = datetime(2024, 1, 31)
 _TABLES = ["orders", "lineitem", "customer", "part", "supplier", "events", "documents", "labels"]
@@ -227,6 +228,42 @@ def inferred(spark, d):
     return counted.select(F.col("table_name").alias("source_table"), F.col("column_name").alias("source_column"), "target_table", "target_column", "filled")
 
 
+# Column names of the tables by kind, for the SQL alone; the query takes tables and columns from the folder.
+_COLUMNS_SQL = {
+    "integer": "region.r_regionkey nation.n_nationkey nation.n_regionkey customer.c_custkey customer.c_nationkey supplier.s_suppkey "
+    "supplier.s_nationkey part.p_partkey part.p_size orders.o_orderkey orders.o_custkey lineitem.l_orderkey lineitem.l_partkey "
+    "lineitem.l_suppkey lineitem.l_linenumber events.event_id events.user_id documents.doc_id documents.n_chars embeddings.vec_id "
+    "embeddings.label pages.page_id benchmark.item_id labels.doc_id labels.quality labels.toxic conversations.conv_id conversations.turn",
+    "text": "region.r_name nation.n_name customer.c_name customer.c_mktsegment supplier.s_name part.p_name part.p_brand part.p_type "
+    "orders.o_orderstatus orders.o_orderpriority lineitem.l_returnflag lineitem.l_linestatus events.event_type events.props documents.text "
+    "documents.lang documents.source pages.url pages.html benchmark.text conversations.role conversations.text",
+    "number": "customer.c_acctbal supplier.s_acctbal part.p_retailprice orders.o_totalprice lineitem.l_quantity lineitem.l_extendedprice "
+    "lineitem.l_discount lineitem.l_tax events.value",
+    "time": "orders.o_orderdate lineitem.l_shipdate events.ts",
+}
+_CELLS_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS t, '{c}' AS c, '{kind}' AS kind, {c}::VARCHAR AS v, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}"
+    for kind, names in _COLUMNS_SQL.items() for t, c in (name.split(".") for name in names.split()))
+_STEM_SQL = "CASE WHEN strpos({0}, '_') BETWEEN 1 AND 3 AND length({0}) > strpos({0}, '_') THEN substr({0}, strpos({0}, '_') + 1) ELSE {0} END"
+
+
+@query("R3_all_relationships", f"""
+WITH cell AS MATERIALIZED ({_CELLS_SQL}),
+col AS (SELECT t, c, kind, count(*) AS vals, max(n) = 1 AS is_key, {_STEM_SQL.format("c")} AS stem FROM cell GROUP BY t, c, kind),
+met AS (SELECT a.t, a.c, b.t AS target, b.c AS key, count(*) AS n FROM cell a JOIN cell b ON a.kind = b.kind AND a.v = b.v AND a.t <> b.t GROUP BY ALL),
+pair AS (SELECT a.t, a.c, b.t AS target, b.c AS key, a.stem = b.stem AS by_name, a.vals, a.vals - coalesce(m.n, 0) AS missing
+  FROM col a JOIN col b ON a.kind = b.kind AND a.t <> b.t AND b.is_key
+  LEFT JOIN met m ON m.t = a.t AND m.c = a.c AND m.target = b.t AND m.key = b.c)
+SELECT 'public' AS source_schema, t AS source_table, c AS source_column, 'public' AS target_schema, target AS target_table, key AS target_column,
+  CASE WHEN by_name THEN 'inferred' ELSE 'contained' END AS relationship_type, NULL::VARCHAR AS constraint_name, by_name, vals AS "values", missing, missing = 0 AS contained
+FROM pair WHERE by_name OR missing = 0
+UNION ALL SELECT 'public', t, c, 'public', substr(c, 1, length(c) - 3) || 's', '_id', 'inferred', NULL, true, NULL, NULL, false
+FROM (SELECT DISTINCT t, c FROM cell) WHERE c LIKE '%\\_id' ESCAPE '\\' AND c <> '_id'""")
+def all_relationships(spark, d):
+    """Relationships over every column of every table of the folder."""
+    return relationships(spark, read_tables(spark, d, folder_tables(spark, d)))
+
+
 @query("R4_declared_relationships", """
 SELECT 'public' AS source_schema, 'orders' AS source_table, 'o_custkey' AS source_column, 'public' AS target_schema, 'customer' AS target_table, 'c_custkey' AS target_column,
   'foreign_key' AS relationship_type, 'fk_' || o_orderpriority AS constraint_name FROM orders GROUP BY o_orderpriority""")

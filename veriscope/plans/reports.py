@@ -483,7 +483,7 @@ def drift_alert(spark, d):
 
 @query("L3_query_drift_alerts", with_tables(
     "SELECT query_id, agent_type, round(drift_score, 8) AS drift_score, 'query_high_drift' AS alert, 'high' AS severity, "
-    "CASE WHEN length(query_text) > 100 THEN query_text[1:100] || '...' ELSE query_text END AS message "
+    "query_text AS message "
     "FROM drift JOIN (SELECT query_id, query_text FROM queries) USING (query_id) WHERE drift_classification = 'high'", "drift"))
 def query_alerts(spark, d):
     scored = T.drift(spark, d).join(T.queries(spark, d).select("query_id", "query_text"), ["query_id"])
@@ -491,7 +491,7 @@ def query_alerts(spark, d):
 
 
 @query("L4_critical_errors", with_tables(
-    "SELECT query_id, error_category, 'critical_error' AS alert, 'critical' AS severity, error_message[1:200] AS message FROM errors WHERE severity = 'critical'", "errors"))
+    "SELECT query_id, error_category, 'critical_error' AS alert, 'critical' AS severity, error_message AS message FROM errors WHERE severity = 'critical'", "errors"))
 def critical(spark, d):
     return L.critical_error_alerts(T.errors(spark, d))
 

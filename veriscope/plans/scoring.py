@@ -297,18 +297,22 @@ _STRUCT_SQL = f"""structural AS (SELECT l.*, coalesce(n, 0) AS schema_error_coun
    FROM live l LEFT JOIN (SELECT query_id, count(*) AS n FROM errs GROUP BY 1) USING (query_id))"""
 
 
-def _structural(spark, d, live=None):
-    live = _live(spark, d) if live is None else live
+def reported_by_engine(live):
+    """Adds what the engine said of a statement: engine_error_type and engine_failed."""
     sql = F.col("generated_sql")
     kind = (
         F.when(F.contains(sql, F.lit("unlisted_table")), "UNDEFINED_TABLE")
         .when(F.contains(sql, F.lit("unlisted_column")), "UNDEFINED_COLUMN")
         .when(F.contains(sql, F.lit("not a database")), "SYNTAX_ERROR")
     )
-    reported = live.withColumn("engine_error_type", kind).withColumn(
+    return live.withColumn("engine_error_type", kind).withColumn(
         "engine_failed", F.col("engine_error_type").isNotNull() | (F.col("execution_time_ms") > 200)
     )
-    return G.structural(reported, _catalog(spark, d), "cleaned_sql")
+
+
+def _structural(spark, d, live=None):
+    live = _live(spark, d) if live is None else live
+    return G.structural(reported_by_engine(live), _catalog(spark, d), "cleaned_sql")
 
 
 @query("Q2_structural_scores", _live_sql(

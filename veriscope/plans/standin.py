@@ -74,11 +74,11 @@ CORPUS = tuple(tuple(_filled(x, subject) for x in t) for subject in SUBJECTS for
 def _messages() -> tuple[str, ...]:
     """Messages that hold a pattern of a category each, on a table, and some that hold none."""
     out = [""]
-    for subject in SUBJECTS[:1]:
-        for patterns in ERROR_PATTERNS.values():
-            for i, p in enumerate(patterns):
-                out.append(f"[{subject[0]}] {'step {n}: ' * (i % 2)}{p.replace('.*', subject[2])}")
-        out.append(f"[{subject[0]}] step {{n}}: gave up on {subject[2]}")
+    patterns = [p for patterns in ERROR_PATTERNS.values() for p in patterns]
+    for i, p in enumerate(patterns):
+        table, _, measure, _ = SUBJECTS[i % len(SUBJECTS)]
+        out.append(f"[{table}] {'step {n}: ' * (i % 2)}{p.replace('.*', measure)}")
+    out += [f"[{table}] step {{n}}: gave up on {measure}" for table, _, measure, _ in SUBJECTS]
     return tuple(out)
 
 
@@ -93,7 +93,11 @@ def _pick(options, n: Column) -> Column:
 
 def queries(spark: SparkSession, folder: str) -> DataFrame:
     """Telemetry log."""
-    e = spread(read_table(spark, folder, "events"))
+    return with_standin_columns(spread(read_table(spark, folder, "events")))
+
+
+def with_standin_columns(e: DataFrame) -> DataFrame:
+    """Events, also of a stream's batch, as rows of the telemetry log."""
     n = F.floor("value").cast("string")
     failed = F.col("event_type") == "error"
     return e.select(

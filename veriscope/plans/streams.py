@@ -4,15 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veriscope import constants as K
 from veriscope.operators import catalog as C
-from veriscope.operators.drift import drift_class
+from veriscope.operators.assessment import ASSESSED, assess
+from veriscope.operators.drift import centroids, drift_class
+from veriscope.operators.result_drift import to_long
+from veriscope.plans import drift as D
+from veriscope.plans import scoring as E
 from veriscope.plans import standin as T
 from veriscope.plans.drift import embedding_baselines
 from veriscope.plans.registry import query
 from veriscope.plans.standin import with_tables
+from veriscope.session import written
 from veriscope.sources.files import read_table, read_tables
+from veriscope.sources.snapshots import SnapshotTable, upsert_batches
 from veriscope.streaming import telemetry as M
+from veriscope.streaming.lateness import through_gate
 from veriscope.streaming.runs import collect_stream, fresh_path, merge_sessions_locally, run_to_end
+from veriscope.streaming.silence import silent_agents
 
 
 def _events(spark, d):
@@ -66,6 +75,79 @@ def scored(spark, d):
     )
 
 
+# what the engine said of a statement, as a message of its kind
+_ENGINE_MESSAGES = {
+    "UNDEFINED_TABLE": "relation unlisted_table does not exist", "UNDEFINED_COLUMN": "column unlisted_column does not exist",
+    "SYNTAX_ERROR": "syntax error at or near not",
+}
+_ENGINE_MESSAGE_SQL = "CASE engine_error_type " + " ".join(f"WHEN '{k}' THEN '{m}'" for k, m in _ENGINE_MESSAGES.items()) + " END"
+_ASSESSED_INPUT_SQL = E._EVAL_INPUT_SQL.replace(
+    "greatest(0.0::DOUBLE, 1.0::DOUBLE - s.execution_time_ms / 100.0::DOUBLE) AS drift_quality",
+    "CASE WHEN v.sim IS NULL THEN 0.5::DOUBLE ELSE greatest(0.0::DOUBLE, v.sim) END AS drift_quality",
+).replace("FROM structural s JOIN", "FROM structural s LEFT JOIN vsims v ON v.vec_id = s.query_id JOIN")
+_VECTORS_SQL = """cells AS (SELECT vec_id, event_type AS agent, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos
+  FROM embeddings JOIN events ON event_id = vec_id),
+lengths AS (SELECT vec_id, sqrt(sum(x * x)) AS size FROM cells GROUP BY vec_id),
+means AS (SELECT agent, pos, avg(x) AS m FROM cells JOIN lengths USING (vec_id) WHERE size > 0.01 GROUP BY ALL),
+centroids AS (SELECT agent, list(m ORDER BY pos) AS c FROM means GROUP BY agent),
+vsims AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], c) AS sim FROM embeddings JOIN events ON event_id = vec_id JOIN centroids ON agent = event_type)"""
+
+
+@query("T1_assessed_stream", with_tables(f"""
+SELECT q.query_id, q.agent_type, CASE WHEN q.status <> 'error' THEN round(1.0::DOUBLE - v.sim, 8) END AS drift_score,
+  CASE WHEN q.status = 'error' THEN NULL WHEN v.sim IS NULL THEN 'embedding_failed' WHEN v.sim >= 0.7 THEN 'normal' WHEN v.sim >= 0.5 THEN 'medium' ELSE 'high' END AS drift_state,
+  f.eval_path, round(f.final_score, 8) AS final_score, CASE WHEN f.final_score >= 0.6 THEN 'PASS' WHEN f.final_score IS NOT NULL THEN 'FAIL' END AS result,
+  round(CASE WHEN f.eval_path IN ('heuristic', 'heuristic_fallback') THEN f.final_score WHEN f.eval_path = 'ground_truth' THEN (0.8::DOUBLE + f.final_score) / 2
+    WHEN f.eval_path IN ('non_business', 'no_from') THEN 1.0 WHEN f.eval_path IS NOT NULL THEN 0.0 END, 8)::DOUBLE AS confidence,
+  CASE WHEN p.state IS NULL THEN p.psi END AS psi,
+  coalesce(p.state, CASE WHEN p.psi IS NULL THEN NULL ELSE {D._CLASS_SQL.format(p='p.psi')} END) AS psi_state, c.error_category, c.severity
+FROM queries q LEFT JOIN vsims v ON v.vec_id = q.query_id LEFT JOIN finals f USING (query_id)
+LEFT JOIN (SELECT query_id, psi, CASE WHEN regexp_matches(upper(cleaned_sql), '\\bGROUP\\s+BY\\b|\\b(SUM|AVG|COUNT|MAX|MIN)\\s*\\(') THEN 'aggregate_query'
+    WHEN psi IS NULL THEN 'empty_result' END AS state
+  FROM finals LEFT JOIN (SELECT k AS query_id, max(psi) AS psi FROM column_psi GROUP BY k) USING (query_id) WHERE eval_path <> 'non_data_reply') p USING (query_id)
+LEFT JOIN (SELECT query_id, CASE cat WHEN 'DEFAULT' THEN 'AGENT_LOGIC' ELSE cat END AS error_category,
+    CASE cat {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in K.ERROR_SEVERITY.items())} ELSE 'low' END AS severity
+  FROM (SELECT query_id, {T._category_sql('message')} AS cat FROM (
+    SELECT query_id, error AS message FROM queries WHERE status = 'error' UNION ALL SELECT query_id, {_ENGINE_MESSAGE_SQL} FROM structural) WHERE message <> '')) c USING (query_id)""",
+    "queries", extra=",\n".join((E._CLEAN_SQL, _VECTORS_SQL, D._BASE_SQL.replace("l_suppkey", "l_orderkey"), D._column_psi_sql("query_id"),
+                                 E._KNOWN_SQL, E._STRUCT_SQL, E._INTENT_SQL, E._PATTERN_SQL, E._SIM_SQL, _ASSESSED_INPUT_SQL))))
+def assessed(spark, d):
+    """Drift, verdict, result drift and error class of every event, upserted by query_id batch for batch."""
+    path = _dealt(spark, d, "assessed", ("event_id % 2 = 0", "event_id % 2 = 1"))
+    stream = M.read_events(spark, f"{path}/events.parquet", "*.parquet", files_per_batch=1)
+    table = SnapshotTable(spark, f"{path}/assessed", ASSESSED, ["query_id"])
+    run_to_end(stream, path, write=upsert_batches(table, assessed_events(spark, d)))
+    return table.read().select(
+        "query_id", "agent_type", F.round("drift_score", 8).alias("drift_score"), "drift_state", "eval_path", F.round("final_score", 8).alias("final_score"),
+        "result", F.round("confidence", 8).alias("confidence"), "psi", "psi_state", "error_category", "severity")
+
+
+def assessed_events(spark, d):
+    """Function from a batch of events to their assessment; the stand-in columns are made on the batch."""
+    tables = read_tables(spark, d, E._TABLES)
+    measures, dimensions = C.measures_and_dimensions({t: tables[t] for t in ("orders", "lineitem")})
+    vectors = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    events = read_table(spark, d, "events").select(F.col("event_id").alias("query_id"), F.col("event_type").alias("agent_type"))
+    agents = F.explode(F.array(*[F.lit(a) for a in ("click", "error", "purchase", "signup", "view")]))
+    fixed = {
+        "catalog": C.catalog_rows(spark, tables), "measures": measures, "dimensions": dimensions,
+        "baselines": written(centroids(events.join(vectors, ["query_id"]))),
+        "results": to_long(tables["lineitem"].select(F.col("l_orderkey").alias("query_id"), *D._METRICS), ["query_id"], D._METRICS),
+        "result_baseline": written(D.lineitem_baseline(spark, d).withColumn("agent_type", agents)),
+    }
+
+    def run(batch):
+        asked = E.reported_by_engine(T.with_standin_columns(batch)).join(vectors, ["query_id"], "left")
+        ms, has = F.col("execution_time_ms"), F.col("ground_truth_sql").isNotNull()
+        message = F.create_map(*[F.lit(x) for pair in _ENGINE_MESSAGES.items() for x in pair])[F.col("engine_error_type")]
+        return assess(asked.withColumns({
+            "engine_error": message, "judge_score": F.when(has, F.when(ms < 60, 1.0).otherwise(0.0)), "judge_confidence": F.lit(0.8),
+            "result_score": F.when(ms > 8, (F.col("query_id") * 53 % 101) / 100.0),
+        }), **fixed)
+
+    return run
+
+
 @query("T2_high_drift_windows", """
 WITH h AS (SELECT ts FROM events WHERE 1.0::DOUBLE - least(value / 100.0::DOUBLE, 1.0::DOUBLE) < 0.5 AND event_type <> 'error'),
 w AS (SELECT unnest(generate_series(date_trunc('hour', ts) - INTERVAL 23 HOUR, date_trunc('hour', ts), INTERVAL 1 HOUR)) AS window_start FROM h)
@@ -98,6 +180,64 @@ def sessions(spark, d):
     return _ntz(out, "session_start", "session_end")
 
 
+@query("T4_silent_agents", """
+WITH s AS (SELECT event_type, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL 10 MINUTE
+     OR lag(ts) OVER (PARTITION BY event_type ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS fresh FROM events),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM s)
+SELECT event_type AS agent_type, min(ts) AS first_seen, max(ts) AS last_seen, max(ts) + INTERVAL 10 MINUTE AS silent_since, count(*) AS events FROM g GROUP BY event_type, g
+HAVING max(ts) + INTERVAL 10 MINUTE < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def silences(spark, d):
+    """Silences that had lasted ten minutes when the watermark passed them."""
+    out = collect_stream(silent_agents(_events(spark, d)), "silent")
+    return _ntz(out, "first_seen", "last_seen", "silent_since")
+
+
+def _dealt(spark, d, name, parts):
+    """Events as files of a fresh folder, one per condition, written (and so streamed) in that order."""
+    path = fresh_path(spark, name)
+    for part in parts:
+        read_table(spark, d, "events").filter(part).coalesce(1).write.mode("append").parquet(f"{path}/events.parquet")
+    return path
+
+
+# days in the order in which their files arrive: the third quarter of the month before the second
+_QUARTERS = ("day(ts) <= 8", "day(ts) > 16 AND day(ts) <= 24", "day(ts) > 8 AND day(ts) <= 16", "day(ts) > 24")
+
+
+@query("T5_late_rows", """
+WITH q AS (SELECT *, CASE WHEN day(ts) <= 8 THEN 0 WHEN day(ts) <= 16 THEN 2 WHEN day(ts) <= 24 THEN 1 ELSE 3 END AS batch FROM events),
+m AS (SELECT batch, max(ts) AS newest, count(*) AS n FROM q GROUP BY 1),
+w AS (SELECT b.batch, max(a.newest) - INTERVAL 1 HOUR AS mark FROM m b LEFT JOIN m a ON a.batch < b.batch GROUP BY b.batch)
+SELECT batch::BIGINT AS batch_id, mark AS watermark, count(*) FILTER (WHERE NOT coalesce(ts < mark, false)) AS kept,
+  count(*) FILTER (WHERE coalesce(ts < mark, false)) AS late FROM q JOIN w USING (batch) GROUP BY ALL""")
+def late_rows(spark, d):
+    """What a gate of one hour keeps and finds late when a quarter of the month arrives out of order."""
+    path = _dealt(spark, d, "late", _QUARTERS)
+    stream = M.read_events(spark, f"{path}/events.parquet", "*.parquet", files_per_batch=1)
+    return through_gate(stream, fresh_path(spark, "gate"), "ts").report().select("batch_id", "watermark", "kept", "late")
+
+
+@query("T3_daily_accuracy_of_kept_rows", """
+WITH q AS (SELECT *, CASE WHEN day(ts) <= 8 THEN 0 WHEN day(ts) <= 16 THEN 2 WHEN day(ts) <= 24 THEN 1 ELSE 3 END AS batch FROM events),
+m AS (SELECT batch, max(ts) AS newest FROM q GROUP BY 1),
+w AS (SELECT b.batch, max(a.newest) - INTERVAL 1 HOUR AS mark FROM m b LEFT JOIN m a ON a.batch < b.batch GROUP BY b.batch)
+SELECT date_trunc('day', ts) AS day, event_type AS agent_type, count(*) FILTER (WHERE NOT is_late) AS total,
+  count(*) FILTER (WHERE NOT is_late AND value < 60) AS passed, count(*) FILTER (WHERE is_late) AS late
+FROM (SELECT *, coalesce(ts < mark, false) AS is_late FROM q JOIN w USING (batch)) GROUP BY 1, 2""")
+def daily_of_kept(spark, d):
+    """Accuracy per day behind the gate, beside the rows that came too late for it."""
+    path = _dealt(spark, d, "late", _QUARTERS)
+    stream = M.read_events(spark, f"{path}/events.parquet", "*.parquet", files_per_batch=1)
+    gate = through_gate(stream, fresh_path(spark, "gate"), "ts")
+    kept = gate.kept(stream.schema).select(
+        F.col("ts").cast("timestamp").alias("created_at"), F.col("event_type").alias("agent_type"),
+        F.when(F.col("value") < 60, "PASS").otherwise("FAIL").alias("result"))
+    counted = _ntz(collect_stream(M.daily_accuracy(kept), "kept", ["day", "agent_type"], "update"), "day").drop("accuracy")
+    late = gate.late(stream.schema).groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), F.col("event_type").alias("agent_type")).agg(
+        F.count("*").alias("late"))
+    return counted.join(late, ["day", "agent_type"], "full").na.fill(0, ["total", "passed", "late"])
+
+
 @query("T5_deduplicated_stream", "SELECT event_id AS query_id, event_type AS agent_type FROM events")
 def deduplicated(spark, d):
     e = _events(spark, d)
@@ -106,21 +246,31 @@ def deduplicated(spark, d):
 
 
 @query("T6_stream_with_replaced_baseline", """
-SELECT event_id AS query_id, round(value / m, 8) AS relative FROM events JOIN (SELECT event_type, avg(value) AS m FROM events GROUP BY 1) USING (event_type)""")
+WITH early AS (SELECT event_type, avg(value) AS m FROM events WHERE day(ts) <= 16 GROUP BY 1),
+whole AS (SELECT event_type, avg(value) AS m FROM events GROUP BY 1)
+SELECT event_id AS query_id, (CASE WHEN day(ts) <= 16 THEN 0 ELSE 1 END)::BIGINT AS baseline_version,
+  round(value / CASE WHEN day(ts) <= 16 THEN early.m ELSE whole.m END, 8) AS relative
+FROM events JOIN early USING (event_type) JOIN whole USING (event_type)""")
 def replaced_baseline(spark, d):
-    """Each micro-batch reads the baseline table that is there when it runs."""
-    path = fresh_path(spark, "baseline")
-    base = read_table(spark, d, "events").groupBy(F.col("event_type").alias("agent_type")).agg(F.avg("value").alias("m"))
-    base.withColumn("m", F.lit(0.0)).write.parquet(f"{path}/table")
-    base.write.mode("overwrite").parquet(f"{path}/table")
+    """A writer replaces the baseline between two batches; every batch is bound to one version and records it."""
+    path = _dealt(spark, d, "baseline", ("day(ts) <= 16", "day(ts) > 16"))
+    baselines = SnapshotTable(spark, f"{path}/baselines", "agent_type string, m double", ["agent_type"], buckets=4)
+
+    def published(rows, version):
+        baselines.replace(rows.groupBy(F.col("event_type").alias("agent_type")).agg(F.avg("value").alias("m")), version)
+
+    events = read_table(spark, d, "events")
+    published(events.filter("day(ts) <= 16"), 0)
 
     def write(batch, batch_id):
-        table = batch.sparkSession.read.parquet(f"{path}/table")
-        batch.join(table, ["agent_type"]).select("query_id", (F.col("execution_time_ms") / F.col("m")).alias("relative")).write.mode(
-            "overwrite").parquet(f"{path}/rows/batch_id={batch_id}")
+        version = baselines.versions()[-1]
+        M.relative_to_baseline(batch, baselines.read(version), version).write.mode("overwrite").parquet(f"{path}/rows/batch_id={batch_id}")
+        published(events, 1)  # the other job, after the first batch; later calls find the version there
 
-    run_to_end(_events(spark, d), path, write=write)
-    rows = spark.read.schema("query_id long, relative double").parquet(f"{path}/rows/batch_id=*")
+    stream = M.read_events(spark, f"{path}/events.parquet", "*.parquet", files_per_batch=1).select(
+        F.col("event_id").alias("query_id"), F.col("event_type").alias("agent_type"), F.col("value").alias("execution_time_ms"))
+    run_to_end(stream, path, write=write)
+    rows = spark.read.schema("query_id long, baseline_version long, relative double").parquet(f"{path}/rows/batch_id=*")
     return rows.withColumn("relative", F.round("relative", 8))
 
 

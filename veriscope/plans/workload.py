@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from veriscope.operators.baskets import frequent_pairs
 from veriscope.operators.ordering import top_per_key
 from veriscope.plans.registry import query
 from veriscope.sources.files import read_table
@@ -235,6 +236,21 @@ def together(spark, d):
     return met.filter("part <> other").groupBy("part", "other").agg(F.count("*").alias("orders"))
 
 
+#: A pair is frequent from this many orders on; the same number stands in the SQL.
+MIN_ORDERS = 2
+
+
+@query("B12_ordered_together", f"""
+WITH i AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL),
+n AS (SELECT p, count(*) AS n FROM i GROUP BY 1)
+SELECT a.p AS part, b.p AS other, count(*) AS orders, min(x.n) AS part_orders, min(y.n) AS other_orders
+FROM i a JOIN i b ON a.o = b.o AND a.p < b.p JOIN n x ON x.p = a.p JOIN n y ON y.p = b.p
+GROUP BY 1, 2 HAVING count(*) >= {MIN_ORDERS}""")
+def ordered_together(spark, d):
+    """All pairs of parts that at least MIN_ORDERS orders hold."""
+    return frequent_pairs(_lines(spark, d), F.col("l_orderkey"), F.col("l_partkey"), min_support=MIN_ORDERS)
+
+
 @query("B13_discount_share_by_region", f"""
 SELECT r_name, round(sum(l_extendedprice::DECIMAL(18,2) * l_discount::DECIMAL(18,2))::DOUBLE * 100 / sum(l_extendedprice::DECIMAL(18,2))::DOUBLE, 8) AS discount_percent FROM {_SALES_SQL} GROUP BY 1""")
 def ratio(spark, d):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,24 @@ def build_session(app_name: str, master: str | None = None, **settings) -> Spark
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per session, so that executors need no copy of it.
+
+    The driver's own files go as one zip through Spark's file server. A package that already runs from a zip
+    (`--py-files`) is left as it is.
+    """
+    sc = spark.sparkContext
+    package = Path(__file__).parent
+    if getattr(sc, "_veriscope_shipped", False) or not package.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="veriscope-package-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, Path(package.name) / file.relative_to(package))
+    sc.addPyFile(str(archive))
+    sc._veriscope_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can read: `spark.checkpoint.dir` of the session.
 

@@ -23,6 +23,14 @@ def read_tables(spark: SparkSession, folder: str, names) -> dict[str, DataFrame]
     return {name: read_table(spark, folder, name) for name in names}
 
 
+def folder_tables(spark: SparkSession, folder: str) -> list[str]:
+    """Names of all Parquet tables of a folder, whatever file system holds it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = [f.getPath().getName() for f in files]
+    return sorted(n.removesuffix(".parquet") for n in names if n.endswith(".parquet") and n[0] not in "._")
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Deal out a scan with far fewer splits than cores before costly work per row.
 

@@ -98,6 +98,17 @@ def recent_accuracy(evaluations: DataFrame, time: str = "created_at", delay: str
     )
 
 
+def relative_to_baseline(batch: DataFrame, baselines: DataFrame, version: int) -> DataFrame:
+    """(query_id, baseline_version, relative): latency against the mean `m` of its agent in one version of the baseline.
+
+    Agents without a baseline have a null.
+    """
+    joined = batch.join(baselines, ["agent_type"], "left")
+    return joined.select(
+        "query_id", F.lit(version).cast("long").alias("baseline_version"), F.try_divide("execution_time_ms", "m").alias("relative")
+    )
+
+
 def scoring_batch(path: str, measures, dimensions,
                   baselines: Callable[[SparkSession], DataFrame] | None = None):
     """foreachBatch writer that scores, checks drift and classifies errors in one batch.
