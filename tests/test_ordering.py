@@ -43,19 +43,52 @@ def test_rolling_last_n(skewed, block):
             assert got[(r[0], r[1])] == pytest.approx(sum(window) / len(window))
 
 
-@pytest.mark.parametrize("one_task", [1_000_000, 1])
-def test_percentiles_by_key_and_by_slot(spark, skewed, one_task):
-    rows, df = skewed
-    rows = [(k, i, v + i / 7) for k, i, v in rows]
-    df = df.withColumn("v", F.col("v") + F.col("i") / 7)
+def percentiles(spark, rows, cells):
+    """Percentiles by key of (key, value) rows, after a check of all keys and counts."""
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
     counts = O.value_counts(df, ["k"], "v").persist()
-    probabilities = [i / 10 for i in range(11)]
-    out = O.percentiles_of_counts(counts, ["k"], "v", probabilities, one_task=one_task).collect()
-    assert {r.k for r in out} == {r[0] for r in rows}
+    probabilities = [i / 10 for i in range(11)] + [0.123, 0.999]
+    out = O.percentiles_of_counts(counts, ["k"], "v", probabilities, cells=cells).collect()
+    assert {r.k for r in out} == {k for k, v in rows if v is not None}
     for r in out:
-        values = [x[2] for x in rows if x[0] == r.k]
+        values = [v for k, v in rows if k == r.k and v is not None]
         assert r.sample_count == len(values)
-        assert r.percentiles == pytest.approx(list(np.percentile(values, [100 * p for p in probabilities])), rel=1e-9)
+        yield r.percentiles, list(np.percentile(values, [100 * p for p in probabilities]))
+
+
+@pytest.mark.parametrize("cells", [4096, 16])
+def test_percentiles_at_every_depth_of_refinement(spark, skewed, cells):
+    rows = [(k, v + i / 7) for k, i, v in skewed[0]] + [(None, 1.0), (None, 4.0), ("one", 2.5), ("none", None)]
+    for got, want in percentiles(spark, rows, cells):
+        assert got == pytest.approx(want, rel=1e-9)
+
+
+@pytest.mark.parametrize("cells", [4096, 8])
+def test_percentiles_of_masses_of_equal_values(spark, cells):
+    rows = [("hot", 7.0)] * 2000 + [("hot", float(i)) for i in range(100)] + [("same", -1.5)] * 50
+    for got, want in percentiles(spark, rows, cells):
+        assert got == pytest.approx(want, rel=1e-12)
+
+
+def test_percentiles_of_values_of_all_magnitudes(spark):
+    rng = random.Random(3)
+    rows = [("spread", rng.choice((-1, 1)) * 10.0 ** rng.uniform(-300, 300)) for _ in range(400)]
+    rows += [("ends", x) for x in (-1.7e308, 1.7e308, 0.0, 1.0, -1.0) for _ in range(9)]
+    for got, want in percentiles(spark, rows, 150):
+        assert got == pytest.approx(want, rel=1e-6, abs=0)
+
+
+def test_percentiles_with_values_that_are_no_numbers(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [("k", float(i)) for i in range(40)] + [("k", inf), ("k", -inf), ("k", nan)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    out = O.percentiles_of_counts(O.value_counts(df, ["k"], "v"), ["k"], "v", [0.0, 0.5, 41 / 42], cells=8).first()
+    assert out.sample_count == 43 and out.percentiles[:2] == [-inf, 20.0] and out.percentiles[2] == inf
+
+
+def test_percentiles_of_nothing(spark):
+    counts = O.value_counts(spark.createDataFrame([], "k string, v double"), ["k"], "v")
+    assert O.percentiles_of_counts(counts, ["k"], "v", [0.5]).count() == 0
 
 
 def test_first_and_latest(skewed):

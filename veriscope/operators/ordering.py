@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriscope.operators.lookup import lookup_join, measured
+from veriscope.operators.lookup import measured
 from veriscope.session import written
 
 _SEQ, _PART, _TIE = "__seq", "__part", "__tie"
-_SLOTS = 64
 
 
 def rank_within(
@@ -121,10 +120,7 @@ def exact_percentiles(
 ) -> DataFrame:
     """Linear-interpolated percentiles per key: (keys, sample_count, percentiles).
 
-    Works on distinct values with their counts. For keys with very many values
-    a bounded sketch cuts the value range into slots; running counts over the
-    slots tell which of them hold the wanted ranks, and only the values of
-    those slots are ordered.
+    Works on distinct values with their counts (see `percentiles_of_counts`). Null values take no part.
     """
     counts = written(value_counts(df, keys, value))
     return percentiles_of_counts(counts, keys, value, probabilities)
@@ -143,37 +139,111 @@ def percentiles_of_counts(
     keys: Sequence[str],
     value: str,
     probabilities: Sequence[float],
-    one_task: int = 2_000_000,
+    cells: int = 4096,
 ) -> DataFrame:
-    """As `exact_percentiles`, from materialised (keys, value, n) rows.
-
-    While no key has more than `one_task` distinct values, ordering them per
-    key is cheapest. Beyond that they are ordered slot by slot.
+    """As `exact_percentiles`, from materialised (keys, value, n) rows with distinct values.
+
+    Ranks are found by refining histograms. Values of a range are counted in `cells` cells, combined before the shuffle;
+    running counts over the cells tell which of them hold wanted ranks, and only their values go on, each
+    cell a range of its own. A range with at most `cells` distinct values is ordered. So no task ever orders or gathers
+    more than `cells` rows of a key, whatever the key's share of all rows is, and the way is the same at every size:
+    a range of d distinct values takes about log(d) / log(cells) rounds. Cells are equally wide and, in every
+    second round, equally wide on a log scale, for values that differ by orders of magnitude.
     """
     keys = list(keys)
-    totals = measured(
-        counts.groupBy(*keys)
-        .agg(F.sum("n").alias("__total"), F.count("*").alias("__distinct"))
-        .withColumn("__ranks", _wanted_ranks(probabilities))
-    )
-    widest = totals.agg(F.max("__distinct")).first()[0] or 0
-    locate = _ranks_by_key if widest <= one_task else _ranks_by_slot
-    at = locate(counts, totals.drop("__distinct"), keys, value).groupBy(*keys).agg(
-        F.first("__total").alias("sample_count"),
-        F.map_from_entries(F.collect_list(F.struct("__rank", value))).alias("__at"),
+    group = [*keys, "__range"]
+    rows = counts.withColumn("__range", F.lit(""))
+    ranges = measured(
+        rows.groupBy(*group).agg(F.sum("n").alias("__total"), *_extent(value))
+        .withColumns({"__ranks": _wanted_ranks(probabilities), "__before": F.lit(0).cast("long")})
     )
+    totals = ranges.select(*keys, F.col("__total").alias("sample_count"))
+    ranges, found, step = ranges.drop("__total"), None, 0
+    while True:
+        part = _ranks_in_order(rows, ranges.filter(F.col("__distinct") <= cells), keys, value)
+        found = part if found is None else found.unionByName(part)
+        wide = ranges.filter(F.col("__distinct") > cells)
+        if wide.isEmpty():
+            break
+        rows, ranges = _refined(rows, wide, keys, value, cells, step)
+        step += 1
+    at = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__rank", value))).alias("__at"))
+    at = _matched(totals, at, keys)
 
     def interpolate(p: float) -> Column:
         place = F.lit(float(p)) * (F.col("sample_count") - 1)
         low = F.element_at("__at", F.floor(place).cast("long"))
         high = F.element_at("__at", F.ceil(place).cast("long"))
-        return low + (high - low) * (place - F.floor(place))
+        return F.when(low == high, low).otherwise(low + (high - low) * (place - F.floor(place)))
 
     return at.select(
         *keys, "sample_count", F.array(*[interpolate(p) for p in probabilities]).alias("percentiles")
     )
 
 
+def _matched(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Inner join on columns of the same names, nulls equal; the names stay once."""
+    renamed = right.withColumnsRenamed({n: f"__r_{i}" for i, n in enumerate(names)})
+    same = F.lit(True)
+    for i, n in enumerate(names):
+        same = same & F.col(n).eqNullSafe(F.col(f"__r_{i}"))
+    return left.join(renamed, same).drop(*[f"__r_{i}" for i in range(len(names))])
+
+
+def _finite(c: Column) -> Column:
+    return ~F.isnan(c) & (F.abs(c) < float("inf"))
+
+
+def _extent(value: str) -> list[Column]:
+    """Distinct values and the least and greatest finite one."""
+    finite = F.when(_finite(F.col(value)), F.col(value))
+    return [F.count("*").alias("__distinct"), F.min(finite).alias("__low"), F.max(finite).alias("__high")]
+
+
+def _cell(value: Column, low: Column, high: Column, cells: int, step: int) -> Column:
+    """Cell of a value of a range: never falls as the value rises; the range's ends lie in the first and the last."""
+    if step % 2 == 0:
+        # halves, so that the width of a range does not overflow
+        share = (value / 2 - low / 2) / (high / 2 - low / 2)
+    else:
+        above = (F.log(value) - F.log(low)) / (F.log(high) - F.log(low))
+        below = 1 - (F.log(-value) - F.log(-high)) / (F.log(-low) - F.log(-high))
+        # a range on both sides of zero is cut there first
+        sides = F.when(value < 0, 0.0).when(value == 0, 0.5).otherwise(1.0)
+        share = F.when(low > 0, above).when(high < 0, below).otherwise(sides)
+    inner = F.least(F.greatest(F.floor(F.nanvl(F.coalesce(share, F.lit(0.0)), F.lit(0.0)) * (cells - 1)), F.lit(0)), F.lit(cells - 1))
+    return (
+        F.when(F.isnan(value), cells + 1).when(value == float("inf"), cells).when(value == float("-inf"), -1)
+        .when(value >= high, cells - 1).otherwise(inner).cast("long")
+    )
+
+
+def _refined(rows, wide, keys, value, cells, step) -> tuple[DataFrame, DataFrame]:
+    """Values and ranges of the cells of wide ranges that hold wanted ranks."""
+    group = [*keys, "__range"]
+    cell = _cell(F.col(value), F.col("__low"), F.col("__high"), cells, step)
+    placed = _matched(rows, wide.select(*group, "__low", "__high"), group).select(*group, value, "n", cell.alias("__cell"))
+    before = Window.partitionBy(*group).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    filled = placed.groupBy(*group, "__cell").agg(F.sum("n").alias("__n"), *_extent(value)).withColumn(
+        "__sum", F.coalesce(F.sum("__n").over(before), F.lit(0))  # at most `cells` + 3 rows a range
+    )
+    start = F.col("__before") + F.col("__sum")
+    inside = F.filter("__ranks", lambda r: (r >= start) & (r < start + F.col("__n")))
+    name = F.concat_ws(".", "__range", F.col("__cell").cast("string"))
+    chosen = measured(
+        _matched(filled, wide.select(*group, "__before", "__ranks"), group)
+        .withColumns({"__inside": inside, "__next": name}).filter(F.size("__inside") > 0)
+        .select(*group, "__cell", "__next", "__distinct", "__low", "__high", start.alias("__start"), "__inside")
+    )
+    kept = _matched(placed, chosen.select(*group, "__cell", "__next"), [*group, "__cell"])
+    rows = written(kept.select(*keys, F.col("__next").alias("__range"), value, "n"))
+    ranges = chosen.select(
+        *keys, F.col("__next").alias("__range"), "__distinct", "__low", "__high",
+        F.col("__start").alias("__before"), F.col("__inside").alias("__ranks"),
+    )
+    return rows, ranges
+
+
 def _wanted_ranks(probabilities: Sequence[float]) -> Column:
     """0-based ranks on both sides of each percentile of `__total` values."""
     places = [F.lit(float(p)) * (F.col("__total") - 1) for p in probabilities]
@@ -191,42 +261,9 @@ def _explode_held(df: DataFrame) -> DataFrame:
     return holders.withColumn("__rank", F.explode(held))
 
 
-def _ranks_by_key(counts, totals, keys, value) -> DataFrame:
-    running = (
-        Window.partitionBy(*keys).orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return _explode_held(counts.withColumn("__end", F.sum("n").over(running)).join(totals, keys))
-
-
-def _ranks_by_slot(counts, totals, keys, value) -> DataFrame:
-    cuts = [i / _SLOTS for i in range(1, _SLOTS)]
-    splitters = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, cuts, F.lit(_SLOTS * 20)).alias("__cuts")
-    )
-    slotted = lookup_join(counts, splitters, keys, "inner").select(
-        *keys,
-        value,
-        "n",
-        F.size(F.filter("__cuts", lambda c: c <= F.col(value))).alias("__slot"),
-    )
-    before = Window.partitionBy(*keys).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = (
-        slotted.groupBy(*keys, "__slot")
-        .agg(F.sum("n").alias("__slot_n"))
-        .withColumn("__before", F.coalesce(F.sum("__slot_n").over(before), F.lit(0)))
-        .join(totals, keys)
-    )
-    inside = F.filter(
-        "__ranks",
-        lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__slot_n")),
-    )
-    wanted = slots.withColumn("__ranks", inside).filter(F.size("__ranks") > 0)
-    running = (
-        Window.partitionBy(*keys, "__slot").orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return _explode_held(
-        lookup_join(slotted, wanted, [*keys, "__slot"], "inner")
-        .withColumn("__end", F.col("__before") + F.sum("n").over(running))
-    )
+def _ranks_in_order(rows, ranges, keys, value) -> DataFrame:
+    """(keys, rank, value) of the wanted ranks of ranges that are small enough to be ordered."""
+    group = [*keys, "__range"]
+    small = _matched(rows, ranges.select(*group, "__before", "__ranks"), group)
+    running = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return _explode_held(small.withColumn("__end", F.col("__before") + F.sum("n").over(running))).select(*keys, "__rank", value)
