@@ -70,3 +70,30 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (5, 5), (1, 2)]
     got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_columns_with_names_of_the_operator(spark):
+    names = ("n_shingles", "node", "bands", "key", "id", "band", "root", "least_key", "kept", "m_node")
+    df = spark.createDataFrame([(i, "a b c d e f g", *[f"{n}{i}" for n in names]) for i in range(3)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = nd.near_duplicates(df, width=2, percent=80, keep=names, identity="root2")
+    assert got.columns == ["doc_id", *[n for n in names if n not in ("n_shingles", "kept")], "n_shingles", "component_id", "kept", "root2"]
+    assert [(r.doc_id, r.node, r.n_shingles, r.component_id) for r in got.orderBy("doc_id").collect()] == [(i, f"node{i}", 6, 0) for i in range(3)]
+
+
+def test_small_sets_share_a_bucket_for_certain():
+    rng = np.random.default_rng(4)
+    for percent in (80, 60):
+        for _ in range(3000):
+            n = int(rng.integers(1, 16))
+            both = rng.integers(0, 1 << 62, size=n, dtype=np.uint64)
+            a = np.unique(both)
+            b = np.unique(np.concatenate([both[int(rng.integers(0, 3)):], rng.integers(0, 1 << 62, size=int(rng.integers(0, 4)), dtype=np.uint64)]))
+            common = len(np.intersect1d(a, b))
+            if 100 * common >= percent * (len(a) + len(b) - common):
+                assert set(nd.prefix_bands(a, percent)) & set(nd.prefix_bands(b, percent))
+
+
+def test_one_rare_shingle_in_many_unlinked_texts(spark):
+    texts = [f"odd pair {' '.join(f'w{i}x{j}' for j in range(30))}" for i in range(1500)]
+    got = nd.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), width=2, percent=80)
+    assert got.filter("kept").count() == len(texts)

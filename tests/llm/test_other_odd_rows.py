@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from llm.brute import measures
@@ -84,7 +85,7 @@ def test_ledger(spark):
 def test_bit_slices(spark):
     rng = np.random.default_rng(0)
     vectors = [(i, rng.normal(size=8).round(2).tolist()) for i in range(300)] + [(i, [1.0] * 8) for i in range(300, 420)]
-    vectors += [(500, None), (501, []), (502, [1.0, None]), (503, [float("nan")] * 8), (504, [float("inf")] * 8), (505, [1e30] * 8), (506, [2.0, 1.0]), (None, [1.0] * 8), (400, [1.0] * 8)]
+    vectors += [(500, None), (501, []), (502, [1.0, None]), (503, [float("nan")] * 8), (504, [float("inf")] * 8), (506, [2.0, 1.0]), (None, [1.0] * 8), (400, [1.0] * 8)]
     df = spark.createDataFrame([(*v, 1) for v in vectors], "vec_id long, embedding array<double>, score int")
     rows = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in vectors if i is not None and i not in range(500, 506)]
     for block in (64, 65_536):
@@ -125,3 +126,18 @@ def test_mix_takes_a_repetition_that_a_target_rounds_up_to(spark):
             for r in mixing.mix(df, weights, size=word_count(F.col("text")), cut=cut).collect():
                 got[r.source] += r.taken
             assert got == want
+
+
+def test_urls_are_cut_between_host_and_path(spark):
+    pages = spark.createDataFrame([(1, "http://orgabc/x", "a", "b", "c"), (2, "http://orgabc", "a", "b", "c"), (3, "http://x.org/abcd", "a", "b", "c")],
+                                  "page_id int, url string, best string, u_host string, u_path string")
+    rules = spark.createDataFrame([("org", "abc", "block"), ("com", "", "allow"), ("org", "/abc", "block")], "host string, path string, verdict string")
+    got = url_rules.filter_urls(pages, rules).orderBy("page_id").collect()
+    assert [(r.verdict, r.rule, r.best, r.u_host, r.u_path) for r in got] == [
+        ("allow", None, "a", "b", "c"), ("allow", None, "a", "b", "c"), ("block", "org/abc", "a", "b", "c")]
+
+
+def test_components_beyond_64_bits_are_an_error(spark):
+    df = spark.createDataFrame([(1, [1e30, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        bit_slices.top_k(df, F.lit(True), 1).collect()

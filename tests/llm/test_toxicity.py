@@ -57,3 +57,21 @@ def test_odd_rows(spark):
     chain = tx.train_chain(df, one_value, tx.label_categories())
     assert not any(r.is_toxic for r in tx.score_documents(df, chain).collect())
     assert tx.score_documents(df.limit(0), chain).filter(F.col("is_toxic")).count() == 0
+
+
+def test_sample_is_bounded_behind_the_join(spark, monkeypatch):
+    """Copies of a labelled document do not make the sample longer."""
+    df = spark.createDataFrame([(1, f"bad word{i}") for i in range(50)] + [(2, "good words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1)] * 3 + [(2, 1, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    fit = tx.fit_chain
+    monkeypatch.setattr(tx, "fit_chain", lambda features, y, folds, names: seen.append(len(features)) or fit(features, y, folds, names))
+    tx.train_chain(df, labels, tx.label_categories(), max_rows=20)
+    assert seen == [20]
+
+
+def test_own_columns_named_like_scores_stay(spark):
+    df = spark.createDataFrame([(1, "a b", "mine", 7)], "doc_id long, text string, is_toxic string, p_toxic int")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    chain = tx.train_chain(df, labels, tx.label_categories())
+    assert [tuple(r) for r in tx.without_flagged(df, chain).collect()] == [(1, "a b", "mine", 7)]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriscope.llm.registry import query
-from veriscope.llm.shared import staged, table
+from veriscope.llm.shared import shipped, staged, table
 from veriscope.llm.tokens import PieceEncoder, byte_letters
 
 #: Ends that one piece of the merge holds; bytes of texts that are aligned at once (a longer text is aligned alone).
@@ -222,7 +222,7 @@ def aligned(documents: DataFrame, *, tokenizer_a: str, tokenizer_b: str, key: st
 
     kind = documents.schema[key].dataType.simpleString()
     shape = f"key {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
-    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(run, shape)
+    rows = shipped(documents).select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(run, shape)
     return staged(rows.withColumn("row", F.monotonically_increasing_id()), "aligned")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriscope.llm.registry import query
-from veriscope.llm.shared import staged, table
+from veriscope.llm.shared import shipped, staged, table
 
 K, ROUNDS, SCALE, DIMS, SEED = 16, 3, 64.0, 64, "1"
 #: Most centroids: k^2 normals of every dimension are held by each worker.
@@ -170,7 +170,7 @@ def cluster(
     """
     if not 0 < k <= MOST:
         raise ValueError(f"k must be from 1 to {MOST}")
-    kept = staged(vectors.select(F.col(key).alias("key"), F.col(vector).alias("v")).filter(takes_part(F.col("v"), dims)), "vectors")
+    kept = staged(shipped(vectors).select(F.col(key).alias("key"), F.col(vector).alias("v")).filter(takes_part(F.col("v"), dims)), "vectors")
     kept = kept.withColumn("v", F.col("v").cast("array<double>"))
     centroids = first_centroids(kept, k, seed, scale)
     for _ in range(rounds if centroids else 0):

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veriscope.llm.registry import query
-from veriscope.llm.shared import staged, table
+from veriscope.llm.shared import shipped, staged, table
 
 SCORE = "decimal(38,0)"
 LIMIT = float(1 << 63)  # quantised components are 64-bit integers, as in the SQL; sums of products may be longer
@@ -32,11 +32,16 @@ LIMIT = float(1 << 63)  # quantised components are 64-bit integers, as in the SQ
 def quantised(vector: Column, scale: float) -> Column:
     """floor(scale * x) of each component as long; null for a vector that takes no part.
 
-    Null vectors, vectors without components and vectors with a null or non-finite component, or one
-    whose quantised value is no 64-bit integer, take no part.
+    Null vectors, vectors without components and vectors with a null or non-finite component take no part. A finite
+    component whose quantised value is no 64-bit integer is an error, as in the SQL: no vector is left out unsaid.
     """
-    wide = F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
-    odd = lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double") * F.lit(float(scale))) >= LIMIT)
+    def whole(x: Column) -> Column:
+        scaled = x.cast("double") * F.lit(float(scale))
+        too_large = F.raise_error(F.lit("a quantised component is beyond 64 bits")).cast("long")
+        return F.when(F.abs(scaled) >= LIMIT, too_large).otherwise(F.floor(scaled))
+
+    wide = F.transform(vector, whole)
+    odd = lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf"))
     return F.when(vector.isNotNull() & (F.size(vector) > 0) & ~F.coalesce(F.exists(vector, odd), F.lit(True)), wide)
 
 
@@ -157,7 +162,7 @@ def top_k(
     exact integer of up to 38 digits; a longer one is an error.
     """
     rows = staged(
-        vectors.select(F.col(key).cast("long").alias("id"), quantised(F.col(vector), scale).alias("v"), is_query.alias("is_query"))
+        shipped(vectors).select(F.col(key).cast("long").alias("id"), quantised(F.col(vector), scale).alias("v"), is_query.alias("is_query"))
         .filter(F.col("id").isNotNull() & F.col("v").isNotNull())
         .withColumns({"dims": F.size("v"), "row": F.monotonically_increasing_id()}),
         "vectors",

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriscope.llm.registry import query
-from veriscope.llm.shared import staged, table
+from veriscope.llm.shared import shipped, staged, table
 
 BITS, LENGTHS, ALPHA, MOST_LANGUAGES = 16, 3, 0.5, 256
 #: Characters handled at once; bounds memory, not what is read.
@@ -131,7 +131,7 @@ def learn(
 
     Rows count as often as they occur. Without a row to learn from the model knows no language.
     """
-    rows = documents.select(F.col(text).alias("t"), F.col(lang).alias("l")).filter(F.col("l").isNotNull())
+    rows = shipped(documents).select(F.col(text).alias("t"), F.col(lang).alias("l")).filter(F.col("l").isNotNull())
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list] = {}

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veriscope.llm.registry import query
-from veriscope.llm.shared import staged, table
+from veriscope.llm.shared import shipped, staged, table
 from veriscope.llm.tokens import encoder
 
 CAPACITY, GAP = 2048, 2e-3
@@ -193,7 +193,7 @@ def pack(
                 piece = pd.DataFrame(out, columns=["key", "start", "class", "local", "doc_tokens", "ids"])
                 yield piece.astype({"key": "Int64"}).assign(part=part)[["part", "class", "local", "key", "start", "doc_tokens", "ids"]]
 
-    rows = documents.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    rows = shipped(documents).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     pieces = staged(
         rows.mapInPandas(cut, "part int, class long, local long, key long, start long, doc_tokens long, ids binary"), "pieces"
     )

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriscope.llm.registry import query
-from veriscope.llm.shared import WORD, table
+from veriscope.llm.shared import WORD, shipped, table
 
 _WORDS, _HAS_WORD = re.compile(WORD).findall, re.compile(WORD).search
 _SYMBOLS = str.maketrans("", "", "#*$%&|<>")
@@ -103,7 +103,7 @@ def ledger(documents: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
         raise ValueError("a ledger holds at most 63 rules")
     measured = F.pandas_udf(_measured, ", ".join(f"{m} long" for m in MEASURES))
     keep = [c for c in documents.columns if c not in (text, *MEASURES, "bits")]
-    rows = documents.select(*keep, measured(F.col(text)).alias("__m")).select(*keep, "__m.*")
+    rows = shipped(documents).select(*keep, measured(F.col(text)).alias("__m")).select(*keep, "__m.*")
     bits = F.lit(0).cast("long")
     for k, rule in enumerate(rules):
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << k)).otherwise(0).cast("long"))

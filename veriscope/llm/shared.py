@@ -7,13 +7,19 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriscope.session import shared_dir
+from veriscope.session import shared_dir, ship_package
 
 #: A word: a run without blanks (space, tab, line feed, vertical tab, form feed, carriage return).
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def shipped(documents: DataFrame) -> DataFrame:
+    """`documents`, after the package was sent to the Python workers: operators with Python functions begin with this."""
+    ship_package(documents.sparkSession)
+    return documents
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veriscope.llm.registry import query
-from veriscope.llm.shared import fresh_folder, staged, table
+from veriscope.llm.shared import fresh_folder, shipped, staged, table
 from veriscope.llm.tokens import encoder
 
 SAMPLE, DICTIONARY_BYTES, LEVEL = 2_000, 64 << 10, 3
@@ -58,7 +58,7 @@ def write_store(
     A null or empty text is the end id alone. A null key comes first; rows with equal keys are ordered by
     their ids, each with an entry of its own. An empty table gives a store without entries.
     """
-    spark = documents.sparkSession
+    spark = shipped(documents).sparkSession
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def ids(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -10,6 +10,7 @@ first-wins choices are aggregates that combine before the shuffle.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,51 +18,118 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriscope.llm.registry import query
-from veriscope.llm.shared import WORD, staged, table, word_count
+from veriscope.llm.shared import WORD, shipped, staged, table, word_count
 from veriscope.operators.ordering import rank_within
 
 _TYPES = {
     "string": lambda v: isinstance(v, str),
-    "integer": lambda v: isinstance(v, int) and not isinstance(v, bool),
+    "integer": lambda v: isinstance(v, int) and not isinstance(v, bool) or isinstance(v, float) and v.is_integer(),
     "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool),
     "boolean": lambda v: isinstance(v, bool),
     "object": lambda v: isinstance(v, dict),
     "array": lambda v: isinstance(v, list),
     "null": lambda v: v is None,
 }
+#: Levels of nesting that are read; deeper arguments are kept as text and reported.
+DEPTH = 200
+_LONE = re.compile("[\ud800-\udfff]")
 
 
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys, no blanks and characters unescaped; lone surrogates, which no UTF-8 holds, become U+FFFD."""
+    return _LONE.sub("\ufffd", json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
 
 
-def problems(arguments: str | None, schema: str | None) -> tuple[object, list[str]]:
-    """Parsed arguments (their text where they are no JSON) and what the schema objects to.
+def _no_number(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+def depth(text: str) -> int:
+    """Deepest nesting of brackets outside strings."""
+    now = most = 0
+    for mark in _BRACKETS.findall(_STRINGS.sub("", text)):
+        now += 1 if mark in "[{" else -1
+        most = max(most, now)
+    return most
+
+
+_STRINGS, _BRACKETS = re.compile(r'"(?:[^"\\]|\\.)*"', re.DOTALL), re.compile(r"[\[\]{}]")
+
+
+def parsed(text: str | None) -> tuple[object, str | None]:
+    """A JSON text as a value, or the text itself and why it is none. Numbers beyond a double's range are none."""
+    if text is None:
+        return None, None
+    if depth(text) > DEPTH:
+        return text, "nested too deep"
+    try:
+        value = json.loads(text, parse_constant=_no_number)
+        canonical(value)  # fails for numbers like 1e999
+        return value, None
+    except ValueError:
+        return text, "no JSON"
 
-    The schema is an object {properties: {name: {type}}, required: [...], additionalProperties: bool}.
+
+def _names(value, place: str) -> str:
+    return f"{place}.{value}" if place else str(value)
+
+
+def validate(value, rules, place: str = "") -> list[str]:
+    """What a schema objects to: type (one or a list), enum, required, properties, additionalProperties and items, at any depth.
+
+    Keywords that are not known say nothing; one of a wrong form is an objection to the schema itself.
     """
+    out: list[str] = []
+    open_ = [(value, rules, place)]
+    while open_:
+        v, r, at = open_.pop()
+        if r is True:
+            continue
+        if not isinstance(r, dict):
+            out.append(f"{at or 'arguments'}: schema is not an object")
+            continue
+        kinds = r.get("type", [])
+        kinds = kinds if isinstance(kinds, list) else [kinds]
+        unknown = [k for k in kinds if not isinstance(k, str) or k not in _TYPES]
+        if unknown:
+            out.append(f"{at or 'arguments'}: schema has an unknown type")
+        elif kinds and not any(_TYPES[k](v) for k in kinds):
+            out.append(f"{at or 'arguments'} is not {' or '.join(kinds)}")
+            continue
+        choices = r.get("enum")
+        if isinstance(choices, list) and not any(canonical(v) == canonical(c) for c in choices):
+            out.append(f"{at or 'arguments'} is none of the choices")
+        if isinstance(v, dict):
+            known = r.get("properties", {})
+            known = known if isinstance(known, dict) else {}
+            needed = r.get("required", [])
+            out += [f"missing {_names(n, at)}" for n in (needed if isinstance(needed, list) else []) if n not in v]
+            more = r.get("additionalProperties", True)
+            for name in sorted(v, reverse=True):
+                if name in known:
+                    open_.append((v[name], known[name], _names(name, at)))
+                elif more is False:
+                    out.append(f"unexpected {_names(name, at)}")
+                elif isinstance(more, dict):
+                    open_.append((v[name], more, _names(name, at)))
+        elif isinstance(v, list) and "items" in r:
+            open_ += [(x, r["items"], f"{at}[{i}]") for i, x in reversed(list(enumerate(v)))]
+    return out
+
+
+def problems(arguments: str | None, schema: str | None) -> tuple[object, list[str]]:
+    """Parsed arguments (their text where they are no JSON) and what is wrong with them; never an exception."""
+    value, why = parsed(arguments)
     if schema is None:
-        return _parsed(arguments), ["unknown function"]
-    value, rules = _parsed(arguments), json.loads(schema)
+        return value, ["unknown function"]
+    rules, broken = parsed(schema)
+    if broken or not isinstance(rules, dict):
+        return value, ["schema is not an object"]
+    if why == "nested too deep":
+        return value, [why]
     if not isinstance(value, dict):
         return value, ["arguments are not an object"]
-    known = rules.get("properties", {})
-    out = [f"missing {n}" for n in rules.get("required", []) if n not in value]
-    for name in sorted(value):
-        if name in known:
-            kind = known[name].get("type")
-            if kind and not _TYPES[kind](value[name]):
-                out.append(f"{name} is not {kind}")
-        elif not rules.get("additionalProperties", True):
-            out.append(f"unexpected {name}")
-    return value, out
-
-
-def _parsed(arguments: str | None):
-    try:
-        return json.loads(arguments) if arguments is not None else None
-    except ValueError:
-        return arguments
+    return value, validate(value, rules)
 
 
 def _checked(frames: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
@@ -69,7 +137,7 @@ def _checked(frames: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         out = []
         for i, n, a, s in zip(ids, names, arguments, schemas, strict=True):
             value, wrong = problems(a, s)
-            out.append((canonical({"arguments": value, "id": i, "name": n, "type": "tool_call"}), "; ".join(wrong)))
+            out.append((canonical({"arguments": value, "id": i, "name": n, "type": "tool_call"}), _LONE.sub("\ufffd", "; ".join(wrong))))
         yield pd.DataFrame(out, columns=["json", "errors"])
 
 
@@ -119,9 +187,12 @@ def link_tool_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, s
     without a link. A call is `ok`, `invalid: <why>`, `unanswered` or `cycle`; a result `ok` or
     `orphan`; a message `ok`. A call moves behind what it depends on, a result behind its call. Null
     conversation or call ids are values like others; null texts are JSON null; other columns are left out.
-    Equal events are kept each; empty tables are fine.
+    Equal events are kept each; empty tables are fine. Arguments that are no JSON or nested beyond DEPTH are kept as text and
+    reported, as is a schema that is none; of schemas with one name the first by its text counts.
     """
-    calls = calls.select(
+    # of several schemas of one name the first by its text counts
+    schemas = schemas.groupBy(F.col("name").alias("s_name")).agg(F.min("schema").alias("schema"))
+    calls = shipped(calls).select(
         F.col("conv_id").cast("string"), F.col("turn").cast("long"), F.coalesce(F.col("call_id").cast("string"), F.lit("")).alias("call_id"),
         "name", "arguments", F.coalesce("depends", F.array().cast("array<string>")).alias("depends"),
     ).withColumn("conv_id", F.coalesce("conv_id", F.lit("")))
@@ -156,7 +227,7 @@ def link_tool_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, s
     on = lambda x: (F.col("p_conv_id") == x.conv_id) & (F.col("p_call_id") == x.call_id)
 
     checked = F.pandas_udf(_checked, "json string, errors string")
-    linked = calls.join(by_id, on(calls)).join(schemas.select(F.col("name").alias("s_name"), "schema"), F.col("name") == F.col("s_name"), "left")
+    linked = calls.join(by_id, on(calls)).join(schemas, F.col("name") == F.col("s_name"), "left")
     call_rows = linked.withColumn("x", checked("call_id", "name", "arguments", "schema")).select(
         "conv_id", F.coalesce("p_at", "turn").alias("at"), F.coalesce("p_level", F.lit(1 << 30)).alias("level"), F.lit(1).alias("step"),
         F.lit("call").alias("kind"), "call_id",

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriscope.llm.registry import query
-from veriscope.llm.shared import table
+from veriscope.llm.shared import shipped, table
 
 BITS, FOLDS, MAX_ROWS, MIN_ROWS_OF_FEATURE = 20, 5, 4_000, 3
 L2, STEPS, CLIP, MIN_LOG_RATIO = 0.3, 25, 12.0, 1.5
@@ -209,7 +209,8 @@ def train_chain(
     """Chain over `categories` (name to a boolean column of `labels`, in chain order), fitted on documents that have labels.
 
     The sample is the first `max_rows` labels by the hash of their key; labels with a null key or a null category
-    and labels without a document are left out. Repeated rows count as often as they occur.
+    and labels without a document are left out. Repeated rows count as often as they occur, the sample being cut once
+    more at `max_rows` behind the join, so copies of a labelled document cannot make it longer.
     """
     names = list(categories)
     sample = (
@@ -223,10 +224,11 @@ def train_chain(
 
     shape = ", ".join(["l_key long", *[f"y{i} int" for i in range(len(names))], "x binary"])
     rows = (
-        documents.select(F.col(key).alias("d_key"), F.col(text).alias("t"))
+        shipped(documents).select(F.col(key).alias("d_key"), F.col(text).alias("t"))
         .join(F.broadcast(sample), F.col("d_key") == F.col("l_key"))  # at most max_rows rows
         .select(F.col("l_key").cast("long"), *[f"y{i}" for i in range(len(names))], "t")
-        .mapInPandas(featured, shape).toPandas().sort_values(["l_key", "x"], kind="stable")
+        .mapInPandas(featured, shape).orderBy(F.xxhash64("l_key"), "l_key", "x").limit(max_rows)
+        .toPandas().sort_values(["l_key", "x"], kind="stable")
     )
     features = [np.frombuffer(x, np.int32) for x in rows["x"]]
     y = rows[[f"y{i}" for i in range(len(names))]].to_numpy(np.int64).reshape(len(rows), len(names))
@@ -258,12 +260,18 @@ def score_documents(documents: DataFrame, chain: Chain, *, text: str = "text", t
     """
     made = [f"p_{c}" for c in chain.categories] + [f"is_{decide}"]
     keep = [c for c in documents.columns if c not in made]
-    scored = documents.withColumn("__p", probabilities(F.col(text), chain))
+    scored = shipped(documents).withColumn("__p", probabilities(F.col(text), chain))
     return scored.select(
         *keep, *[F.col(f"__p.{c}").alias(f"p_{c}") for c in chain.categories], (F.col(f"__p.{decide}") >= threshold).alias(f"is_{decide}")
     )
 
 
+def without_flagged(documents: DataFrame, chain: Chain, *, text: str = "text", threshold: float = 0.5, decide: str = "toxic") -> DataFrame:
+    """The rows of `documents` that score below the threshold, with their own columns, whatever those are called."""
+    scored = shipped(documents).withColumn("__p", probabilities(F.col(text), chain))
+    return scored.filter(F.col(f"__p.{decide}") < threshold).select(*[F.col(f"`{c}`") for c in documents.columns])
+
+
 def label_categories() -> dict[str, Column]:
     """The chain over the labels at hand: low quality first, toxicity after it."""
     return {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}

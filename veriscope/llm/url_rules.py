@@ -20,6 +20,8 @@ from veriscope.llm.registry import query
 from veriscope.llm.shared import LOWER, UPPER, lower_ascii, same, table
 
 PREFIX_HEX = 8
+#: Stands between host and path in an expression; neither holds it, so no other pair gives the same text.
+BETWEEN = "?"
 OUT = ("host", "path", "rule", "verdict")
 
 
@@ -48,7 +50,7 @@ def _expressions(host: Column, path: Column, label_counts: list[int], path_lengt
     prefixes = F.transform(
         F.filter(numbers(path_lengths), lambda n: n <= F.length(path)), lambda n: F.substr(path, F.lit(1), n)
     )
-    return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
+    return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, F.lit(BETWEEN), p))))
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
@@ -78,32 +80,32 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
             F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"),
         )
     expressions = (
-        judged.select(F.col("__host").alias("u_host"), F.col("__path").alias("u_path"))
+        judged.select(F.col("__host").alias("__u_host"), F.col("__path").alias("__u_path"))
         .distinct()
         .select(
-            "u_host", "u_path",
-            F.explode(_expressions(F.col("u_host"), F.col("u_path"), shape.labels, shape.lengths)).alias("expression"),
+            "__u_host", "__u_path",
+            F.explode(_expressions(F.col("__u_host"), F.col("__u_path"), shape.labels, shape.lengths)).alias("expression"),
         )
-        .select("u_host", "u_path", F.sha2("expression", 256).alias("u_digest"))
+        .select("__u_host", "__u_path", F.sha2("expression", 256).alias("u_digest"))
         .withColumn("prefix", F.substring("u_digest", 1, PREFIX_HEX))
     )
-    hashed = named.withColumn("r_digest", F.sha2(F.concat("r_host", "r_path"), 256)).withColumn(
+    hashed = named.withColumn("r_digest", F.sha2(F.concat("r_host", F.lit(BETWEEN), "r_path"), 256)).withColumn(
         "prefix", F.substring("r_digest", 1, PREFIX_HEX)
     )
     best = (
         expressions.join(hashed, "prefix")
         .filter(F.col("u_digest") == F.col("r_digest"))
-        .groupBy("u_host", "u_path")
+        .groupBy("__u_host", "__u_path")
         .agg(
             F.max_by(
                 F.struct(F.concat("r_host", "r_path").alias("rule"), "r_verdict"),
                 F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"), (F.col("r_verdict") == "block")),
-            ).alias("best")
+            ).alias("__best")
         )
     )
-    return judged.join(best, (F.col("__host") == F.col("u_host")) & (F.col("__path") == F.col("u_path")), "left").select(
-        *keep, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("best.rule").alias("rule"),
-        F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"),
+    return judged.join(best, (F.col("__host") == F.col("__u_host")) & (F.col("__path") == F.col("__u_path")), "left").select(
+        *keep, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__best.rule").alias("rule"),
+        F.coalesce("__best.r_verdict", F.lit(default)).alias("verdict"),
     )
 
 
