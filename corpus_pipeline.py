@@ -24,7 +24,7 @@ def _digest():
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain does not find toxic; fitted on those of them that have labels."""
     chain = toxicity.train_chain(docs, table(spark, sf_dir, "labels"), toxicity.label_categories())
-    return toxicity.score_documents(docs, chain).filter(~F.col("is_toxic")).select(*docs.columns)
+    return toxicity.without_flagged(docs, chain)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
