@@ -130,3 +130,30 @@ def test_empty_metrics_divide_safely(spark):
     empty = spark.createDataFrame([], "result string, final_score double, structural_score double, semantic_score double, llm_score double, evaluation_data string")
     r = R.overall_metrics(empty).first()
     assert (r.total, r.accuracy, r.avg_score) == (0, 0.0, None)
+
+
+def test_profile_of_odd_tables(spark):
+    rows = [(1, "a", [1], 0.5), (1, "a", [1], 0.5), (1, "a", [2], 0.5), (2, None, None, None), (None, None, [1], None), (None, "a", [1], None)]
+    df = spark.createDataFrame(rows, "`k 1` int, `v.2` string, x array<int>, n_rows double")
+    r = Q.table_profile(df, ["k 1"]).first()
+    assert (r.total_rows, r.distinct_keys, r.null_keys, r.duplicate_groups, r.nulls) == (6, 3, 2, 1, [2, 2, 1, 3])
+    r = Q.table_profile(df).first()
+    assert (r.total_rows, r.distinct_keys, r.null_keys, r.duplicate_groups) == (6, None, None, 1)
+    r = Q.table_profile(df.limit(0), ["k 1"]).first()
+    assert (r.total_rows, r.distinct_keys, r.null_keys, r.duplicate_groups, r.nulls) == (0, 0, 0, 0, [0, 0, 0, 0])
+
+
+def test_profile_tells_nulls_from_their_neighbours(spark):
+    """Rows that differ in where their null lies are no duplicates."""
+    df = spark.createDataFrame([(None, "a"), ("a", None), ("a", "a")], "x string, y string")
+    assert Q.table_profile(df).first().duplicate_groups == 0
+
+
+def test_report_from_profiles(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "k int, v string")
+    got = Q.issue_report({"t": df, "ok": spark.range(3)}, {"t": ["k"], "ok": ["id"]}).collect()
+    assert {(r.table_name, r.issue_type, r.column_name, r.affected_rows, r.percentage) for r in got} == {
+        ("t", "missing_primary_key", None, None, None), ("t", "high_null_percentage", "v", 1, 33.33), ("t", "duplicate_rows", None, 1, None)}
+    assert {r.message for r in got} >= {"Column 'v' has 33.3% NULL values", "1 duplicate row groups found"}
+    big = Q.profile_issues(Q.table_profile(spark.range(30), ["id"]), "p", "t", ["id"], True, large=29)
+    assert [(r.issue_type, r.message) for r in big.collect()] == [("large_table_no_index", "Large table (30 rows) with no indexes")]

@@ -145,24 +145,85 @@ def large_table_issues(df: DataFrame, schema: str, table: str, partitioned: bool
 Check = Callable[[DataFrame, str, str], DataFrame]
 
 
+def table_profile(df: DataFrame, key: Sequence[str] = ()) -> DataFrame:
+    """One row: total_rows, distinct_keys, null_keys, duplicate_groups and nulls (a count per column), from one scan.
+
+    Rows are counted by key, a 128-bit digest of the columns that can be grouped and the set of columns that are null, combined
+    before the shuffle, then by key; so a key or a row that repeats without end is a few rows for any task. Without a key
+    distinct_keys and null_keys are null.
+    """
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, _NOT_GROUPABLE)]
+    names = [F.col(f"`{c}`") for c in plain]
+    keys = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(key)]
+    held = [f"k{i}" for i in range(len(keys))]
+    empty = F.array(*[F.col(f"`{c}`").isNull() for c in df.columns])
+    rows = df.select(*keys, F.xxhash64(*names).alias("h1"), F.xxhash64(F.lit(1), *names).alias("h2"), empty.alias("empty"))
+    per_row = rows.groupBy(*held, "h1", "h2", "empty").agg(F.count("*").alias("n"))
+    counted = [F.sum(F.when(F.col("empty")[i], F.col("n")).otherwise(0)).alias(f"e{i}") for i in range(len(df.columns))]
+    per_key = per_row.groupBy(*held).agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 1).alias("again"), *counted)
+    missing = F.lit(False)
+    for k in held:
+        missing = missing | F.col(k).isNull()
+    nothing = F.lit(None).cast("long")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return per_key.agg(
+        zero(F.sum("n")).alias("total_rows"),
+        (F.count("*") if held else nothing).alias("distinct_keys"),
+        (zero(F.sum(F.when(missing, F.col("n")))) if held else nothing).alias("null_keys"),
+        zero(F.sum("again")).alias("duplicate_groups"),
+        F.array(*[zero(F.sum(f"e{i}")) for i in range(len(df.columns))]).alias("nulls"),
+    )
+
+
+_ISSUE_FIELDS = (
+    "schema_name", "table_name", "column_name", "issue_type", "severity", "message", "details", "affected_rows", "total_rows", "percentage",
+)
+
+
+def profile_issues(profile: DataFrame, schema: str, table: str, columns: Sequence[str], keyed: bool, partitioned: bool = False,
+                   large: int = K.LARGE_TABLE_ROWS) -> DataFrame:
+    """Issues that a table's profile shows: a key that is none, columns with many nulls, duplicate rows, a large unpartitioned table."""
+    total, groups = F.col("total_rows"), F.col("duplicate_groups")
+
+    def issue(condition: Column, *args, **options) -> Column:
+        fields = _issue(schema, table, *args, **options)
+        return F.when(condition, F.struct(*[f.alias(n) for f, n in zip(fields, _ISSUE_FIELDS, strict=True)]))
+
+    no_key = (total != F.col("distinct_keys")) | (F.col("null_keys") > 0) if keyed else F.lit(True)
+    found = [issue(no_key, "missing_primary_key", "warning", F.lit(f"Table {schema}.{table} has no primary key"))]
+    for i, c in enumerate(columns):
+        nulls = F.col("nulls")[i]
+        share = F.round(F.try_divide(nulls * 100.0, total), 2)
+        message = F.concat(F.lit(f"Column '{c}' has "), F.format_string("%.1f", share), F.lit("% NULL values"))
+        details = F.create_map(F.lit("null_count"), nulls.cast("string"), F.lit("total_rows"), total.cast("string"))
+        found.append(issue(share > K.NULL_SHARE_LIMIT, "high_null_percentage", "warning", message, details, F.lit(c), nulls, total, share))
+    found.append(issue(
+        groups > 0, "duplicate_rows", "info", F.concat(groups.cast("string"), F.lit(" duplicate row groups found")),
+        F.create_map(F.lit("count"), groups.cast("string")), affected=groups,
+    ))
+    if not partitioned:
+        message = F.concat(F.lit("Large table ("), F.format_number(total, 0), F.lit(" rows) with no indexes"))
+        found.append(issue(total > large, "large_table_no_index", "warning", message, F.create_map(F.lit("rows"), total.cast("string")),
+                           affected=total, total=total))
+    return profile.select(F.inline(F.array_compact(F.array(*found))))
+
+
 def issue_report(tables: dict[str, DataFrame], keys: dict[str, Sequence[str]], schema: str = "public",
                  partitioned: Sequence[str] = (), extra: Sequence[Check] = ()) -> DataFrame:
-    """Issues of all tables and checks in one frame; `extra` plugs in further checks.
+    """Issues of all tables in one frame; `extra` plugs in further checks.
 
-    A check that cannot be planned for a table is reported as `check_skipped`, the others go on.
+    The built-in checks of a table rest on one profile, so a table is scanned once. A check that cannot be planned
+    for a table is reported as `check_skipped`, the others go on.
     """
     from pyspark.errors import AnalysisException
 
+    def built_in(df: DataFrame, s: str, t: str) -> DataFrame:
+        key = list(keys.get(t, ()))
+        return profile_issues(table_profile(df, key), s, t, df.columns, bool(key), t in partitioned)
+
     report = None
     for name, df in tables.items():
-        checks: list[Check] = [
-            lambda d, s, t: missing_key_issues(d, s, t, keys.get(t, ())),
-            null_issues,
-            duplicate_issues,
-            lambda d, s, t: large_table_issues(d, s, t, t in partitioned),
-            *extra,
-        ]
-        for check in checks:
+        for check in (built_in, *extra):
             try:
                 found = check(df, schema, name)
             except AnalysisException as failed:

@@ -16,12 +16,46 @@ from veriscope.plans.registry import query
 from veriscope.sources.files import folder_tables, read_table, read_tables
 
 _AT = datetime(2024, 1, 31)
-_TABLES = ["orders", "lineitem", "customer", "part", "supplier", "events", "documents", "labels"]
-_KEYS = {
-    "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"], "customer": ["c_custkey"],
-    "part": ["p_partkey"], "supplier": ["s_suppkey"], "events": ["event_id"], "documents": ["doc_id"],
-    "labels": ["doc_id"],
+# columns of the tables and their catalog types, for the SQL alone; queries take tables and columns from the folder
+COLUMNS = {
+    "region": {"r_regionkey": "integer", "r_name": "text"},
+    "nation": {"n_nationkey": "integer", "n_name": "text", "n_regionkey": "integer"},
+    "customer": {"c_custkey": "bigint", "c_name": "text", "c_nationkey": "integer", "c_acctbal": "double precision", "c_mktsegment": "text"},
+    "supplier": {"s_suppkey": "bigint", "s_name": "text", "s_nationkey": "integer", "s_acctbal": "double precision"},
+    "part": {"p_partkey": "bigint", "p_name": "text", "p_brand": "text", "p_type": "text", "p_size": "integer", "p_retailprice": "double precision"},
+    "orders": {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "text", "o_totalprice": "double precision", "o_orderdate": "timestamp",
+               "o_orderpriority": "text"},
+    "lineitem": {"l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "integer", "l_quantity": "double precision",
+                 "l_extendedprice": "double precision", "l_discount": "double precision", "l_tax": "double precision", "l_returnflag": "text",
+                 "l_linestatus": "text", "l_shipdate": "timestamp"},
+    "events": {"event_id": "bigint", "ts": "timestamp", "user_id": "bigint", "event_type": "text", "value": "double precision", "props": "text"},
+    "documents": {"doc_id": "bigint", "text": "text", "lang": "text", "source": "text", "n_chars": "bigint"},
+    "embeddings": {"vec_id": "bigint", "embedding": "array<float>", "label": "integer"},
+    "pages": {"page_id": "bigint", "url": "text", "html": "text"},
+    "benchmark": {"item_id": "bigint", "text": "text"},
+    "labels": {"doc_id": "bigint", "quality": "integer", "toxic": "integer"},
+    "conversations": {"conv_id": "bigint", "turn": "bigint", "role": "text", "text": "text"},
 }
+_TABLES = sorted(COLUMNS)
+# declared keys
+KEYS = {
+    "region": ["r_regionkey"], "nation": ["n_nationkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"],
+    "customer": ["c_custkey"], "part": ["p_partkey"], "supplier": ["s_suppkey"], "events": ["event_id"], "documents": ["doc_id"],
+    "labels": ["doc_id"], "embeddings": ["vec_id"], "pages": ["page_id"], "benchmark": ["item_id"], "conversations": ["conv_id", "turn"],
+}
+
+
+def _all_tables(spark, d):
+    return read_tables(spark, d, folder_tables(spark, d))
+
+
+def _of_all(spark, d, part):
+    """`part(name, table)` of every table of the folder, in one frame."""
+    out = None
+    for name, table in _all_tables(spark, d).items():
+        found = part(name, table)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def _sparse_events(spark, d):
@@ -46,14 +80,10 @@ def _nulls_sql(columns) -> str:
 
 @query("D1_key_checks", " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, count(*) AS total_rows, count(DISTINCT ({', '.join(k)})) AS distinct_keys, "
-    f"count(*) = count(DISTINCT ({', '.join(k)})) AS is_key FROM {t}" for t, k in _KEYS.items()))
+    f"count(*) = count(DISTINCT ({', '.join(k)})) AS is_key FROM {t}" for t, k in KEYS.items()))
 def key_checks(spark, d):
-    out = None
-    for t, k in _KEYS.items():
-        part = Q.key_check(read_table(spark, d, t), k).select(
-            F.lit(t).alias("table_name"), "total_rows", "distinct_keys", "is_key")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _of_all(spark, d, lambda t, df: Q.key_check(df, KEYS[t]).select(
+        F.lit(t).alias("table_name"), "total_rows", "distinct_keys", "is_key"))
 
 
 @query("D2_null_shares", f"WITH {_SPARSE_SQL} {_nulls_sql(['event_id', 'event_type', 'value', 'props', 'ts'])}")
@@ -97,42 +127,38 @@ def duplicates(spark, d):
 
 @query("D5_table_sizes", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in _TABLES))
 def sizes(spark, d):
-    out = None
-    for t in _TABLES:
-        part = Q.table_size(read_table(spark, d, t)).select(F.lit(t).alias("table_name"), "row_count")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _of_all(spark, d, lambda t, df: Q.table_size(df).select(F.lit(t).alias("table_name"), "row_count"))
 
 
 @query("D6_large_tables", " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, 'large_table_no_index' AS issue_type, count(*) AS affected_rows FROM {t} HAVING count(*) > 9999" for t in _TABLES))
 def large_tables(spark, d):
-    out = None
-    for t in _TABLES:
-        part = Q.large_table_issues(read_table(spark, d, t), "public", t, limit=9999).select("table_name", "issue_type", "affected_rows")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _of_all(spark, d, lambda t, df: Q.large_table_issues(df, "public", t, limit=9999).select("table_name", "issue_type", "affected_rows"))
 
 
 def _report(spark, d):
-    tables = {
-        "lineitem": read_table(spark, d, "lineitem"), "orders": read_table(spark, d, "orders"),
-        "sparse": _sparse_events(spark, d),
-    }
-    keys = {"lineitem": ["l_orderkey", "l_linenumber"], "orders": ["o_orderkey"], "sparse": ["event_id"]}
-    return Q.issue_report(tables, keys)
-
-
+    """Issues of every table of the folder, and of events with values missing."""
+    return Q.issue_report({**_all_tables(spark, d), "sparse": _sparse_events(spark, d)}, {**KEYS, "sparse": ["event_id"]})
+
+
+_SPARSE_COLUMNS = ("event_id", "event_type", "value", "props", "ts")
+_SIZES_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS t, count(*) AS n, count(*) <> count(DISTINCT ({', '.join(k)})) OR count(*) FILTER (WHERE {' OR '.join(f'{c} IS NULL' for c in k)}) > 0 AS no_key, "
+    f"(SELECT count(*) FROM (SELECT *, count(*) AS many FROM {t} GROUP BY ALL HAVING count(*) > 1)) AS again FROM {t}"
+    for t, k in {**KEYS, "sparse": ["event_id"]}.items())
+_SHARES_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS t, '{c}' AS c, count(*) - count({c}) AS nulls, round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 2) AS percentage FROM {t}"
+    for t, columns in {**COLUMNS, "sparse": _SPARSE_COLUMNS}.items() for c in columns)
 _ISSUES_SQL = f"""WITH {_SPARSE_SQL},
-shares AS ({_nulls_sql(['event_id', 'event_type', 'value', 'props', 'ts'])}),
+sizes AS ({_SIZES_SQL}),
+shares AS ({_SHARES_SQL}),
 issues AS (
-SELECT 'lineitem' AS table_name, NULL AS column_name, 'missing_primary_key' AS issue_type, 'warning' AS severity,
-  'Table public.lineitem has no primary key' AS message, NULL::BIGINT AS affected_rows, NULL::DOUBLE AS percentage FROM lineitem
-  HAVING count(*) <> count(DISTINCT (l_orderkey, l_linenumber))
-UNION ALL SELECT 'sparse', column_name, 'high_null_percentage', 'warning', 'Column ''' || column_name || ''' has ' || printf('%.1f', percentage) || '% NULL values', null_count, percentage
+SELECT t AS table_name, NULL AS column_name, 'missing_primary_key' AS issue_type, 'warning' AS severity,
+  'Table public.' || t || ' has no primary key' AS message, NULL::BIGINT AS affected_rows, NULL::DOUBLE AS percentage FROM sizes WHERE no_key
+UNION ALL SELECT t, c, 'high_null_percentage', 'warning', 'Column ' || chr(39) || c || chr(39) || ' has ' || printf('%.1f', percentage) || '% NULL values', nulls, percentage
   FROM shares WHERE percentage > 20
-UNION ALL SELECT 'lineitem', NULL, 'duplicate_rows', 'info', n || ' duplicate row groups found', n, NULL FROM (SELECT count(*) AS n FROM
-  (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate HAVING count(*) > 1)) WHERE n > 0)"""
+UNION ALL SELECT t, NULL, 'duplicate_rows', 'info', again || ' duplicate row groups found', again, NULL FROM sizes WHERE again > 0
+UNION ALL SELECT t, NULL, 'large_table_no_index', 'warning', 'Large table (' || format('{{:,}}', n) || ' rows) with no indexes', n, NULL FROM sizes WHERE n > 100000)"""
 
 
 @query("D7_issue_report", f"{_ISSUES_SQL} SELECT * FROM issues")
@@ -152,41 +178,25 @@ def ordered_issues(spark, d):
 
 
 # --- catalog --------------------------------------------------------------
-_NATIONS = ["region", "nation", "supplier", "customer"]
-
-
-def _with_counts(spark, d, catalog, names):
+def _with_counts(spark, d, catalog):
     """Catalog rows with the number of filled values of their column."""
-    filled = None
-    for t in names:
-        part = Q.null_shares(read_table(spark, d, t)).select(
-            F.lit(t).alias("table_name"), "column_name", (F.col("total_rows") - F.col("null_count")).alias("filled"))
-        filled = part if filled is None else filled.unionByName(part)
+    filled = _of_all(spark, d, lambda t, df: Q.null_shares(df).select(
+        F.lit(t).alias("table_name"), "column_name", (F.col("total_rows") - F.col("null_count")).alias("filled")))
     return catalog.join(filled, ["table_name", "column_name"])
 
 
-def _columns_sql(names) -> str:
-    columns = {
-        "region": {"r_regionkey": "integer", "r_name": "text"},
-        "nation": {"n_nationkey": "integer", "n_name": "text", "n_regionkey": "integer"},
-        "supplier": {"s_suppkey": "bigint", "s_name": "text", "s_nationkey": "integer", "s_acctbal": "double precision"},
-        "customer": {"c_custkey": "bigint", "c_name": "text", "c_nationkey": "integer", "c_acctbal": "double precision", "c_mktsegment": "text"},
-    }
-    return " UNION ALL ".join(
-        f"SELECT 'public' AS schema_name, '{t}' AS table_name, '{c}' AS column_name, '{k}' AS data_type, count({c}) AS filled FROM {t}"
-        for t in names for c, k in columns[t].items())
-
-
-_CATALOG_SQL = f"catalog AS ({_columns_sql(_NATIONS)})"
+_CATALOG_SQL = "catalog AS (" + " UNION ALL ".join(
+    f"SELECT 'public' AS schema_name, '{t}' AS table_name, '{c}' AS column_name, '{k}' AS data_type, count({c}) AS filled FROM {t}"
+    for t, columns in COLUMNS.items() for c, k in columns.items()) + ")"
 
 
 def _catalog(spark, d):
-    return C.catalog_rows(spark, read_tables(spark, d, _NATIONS))
+    return C.catalog_rows(spark, _all_tables(spark, d))
 
 
 @query("R1_catalog", f"WITH {_CATALOG_SQL} SELECT * FROM catalog")
 def catalog(spark, d):
-    return _with_counts(spark, d, _catalog(spark, d), _NATIONS).select("schema_name", "table_name", "column_name", "data_type", "filled")
+    return _with_counts(spark, d, _catalog(spark, d)).select("schema_name", "table_name", "column_name", "data_type", "filled")
 
 
 @query("R2_json_fields", """
@@ -217,33 +227,19 @@ def relationship_containment(spark, d):
     return out
 
 
-@query("R3_inferred_relationships", """
-SELECT 'events' AS source_table, 'user_id' AS source_column, 'users' AS target_table, '_id' AS target_column, count(user_id) AS filled FROM events
-UNION ALL SELECT 'events', 'event_id', 'events', '_id', count(event_id) FROM events
-UNION ALL SELECT 'documents', 'doc_id', 'docs', '_id', count(doc_id) FROM documents""")
+@query("R3_inferred_relationships", " UNION ALL ".join(
+    f"SELECT '{t}' AS source_table, '{c}' AS source_column, '{c[:-3]}s' AS target_table, '_id' AS target_column, count({c}) AS filled FROM {t}"
+    for t, columns in COLUMNS.items() for c in columns if c.endswith("_id") and c != "_id"))
 def inferred(spark, d):
-    names = ["events", "documents"]
-    found = C.inferred_relationships(C.catalog_rows(spark, read_tables(spark, d, names)))
-    counted = _with_counts(spark, d, found.select(F.col("source_table").alias("table_name"), F.col("source_column").alias("column_name"), "target_table", "target_column"), names)
+    found = C.inferred_relationships(_catalog(spark, d))
+    counted = _with_counts(spark, d, found.select(F.col("source_table").alias("table_name"), F.col("source_column").alias("column_name"), "target_table", "target_column"))
     return counted.select(F.col("table_name").alias("source_table"), F.col("column_name").alias("source_column"), "target_table", "target_column", "filled")
 
 
-# Column names of the tables by kind, for the SQL alone; the query takes tables and columns from the folder.
-_COLUMNS_SQL = {
-    "integer": "region.r_regionkey nation.n_nationkey nation.n_regionkey customer.c_custkey customer.c_nationkey supplier.s_suppkey "
-    "supplier.s_nationkey part.p_partkey part.p_size orders.o_orderkey orders.o_custkey lineitem.l_orderkey lineitem.l_partkey "
-    "lineitem.l_suppkey lineitem.l_linenumber events.event_id events.user_id documents.doc_id documents.n_chars embeddings.vec_id "
-    "embeddings.label pages.page_id benchmark.item_id labels.doc_id labels.quality labels.toxic conversations.conv_id conversations.turn",
-    "text": "region.r_name nation.n_name customer.c_name customer.c_mktsegment supplier.s_name part.p_name part.p_brand part.p_type "
-    "orders.o_orderstatus orders.o_orderpriority lineitem.l_returnflag lineitem.l_linestatus events.event_type events.props documents.text "
-    "documents.lang documents.source pages.url pages.html benchmark.text conversations.role conversations.text",
-    "number": "customer.c_acctbal supplier.s_acctbal part.p_retailprice orders.o_totalprice lineitem.l_quantity lineitem.l_extendedprice "
-    "lineitem.l_discount lineitem.l_tax events.value",
-    "time": "orders.o_orderdate lineitem.l_shipdate events.ts",
-}
+_KINDS_SQL = {"integer": "integer", "bigint": "integer", "text": "text", "double precision": "number", "timestamp": "time"}
 _CELLS_SQL = " UNION ALL ".join(
-    f"SELECT '{t}' AS t, '{c}' AS c, '{kind}' AS kind, {c}::VARCHAR AS v, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}"
-    for kind, names in _COLUMNS_SQL.items() for t, c in (name.split(".") for name in names.split()))
+    f"SELECT '{t}' AS t, '{c}' AS c, '{_KINDS_SQL[k]}' AS kind, {c}::VARCHAR AS v, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}"
+    for t, columns in COLUMNS.items() for c, k in columns.items() if k in _KINDS_SQL)
 _STEM_SQL = "CASE WHEN strpos({0}, '_') BETWEEN 1 AND 3 AND length({0}) > strpos({0}, '_') THEN substr({0}, strpos({0}, '_') + 1) ELSE {0} END"
 
 
@@ -369,7 +365,7 @@ def history(spark, d):
 def nested(spark, d):
     nested_rows = C.nested_catalog(_catalog(spark, d))
     flat = C.flat_catalog(nested_rows)
-    filled = _with_counts(spark, d, flat, _NATIONS).groupBy("table_name").agg(F.sum("filled").alias("filled"))
+    filled = _with_counts(spark, d, flat).groupBy("table_name").agg(F.sum("filled").alias("filled"))
     listed = F.concat_ws(", ", F.transform("columns", lambda c: F.concat_ws(" ", c["column_name"], c["data_type"])))
     return nested_rows.select("table_name", listed.alias("columns")).join(filled, ["table_name"])
 
@@ -383,17 +379,23 @@ def unqualified(spark, d):
     return C.with_unqualified_names(t).select("lookup_name", "n")
 
 
-@query("R10_column_roles", f"WITH {_CATALOG_SQL} SELECT table_name, column_name, CASE WHEN data_type = 'text' THEN 'dimension' ELSE 'measure' END AS column_role, filled FROM catalog")
+@query("R10_column_roles", f"WITH {_CATALOG_SQL} SELECT table_name, column_name, CASE WHEN data_type = 'text' THEN 'dimension' WHEN data_type IN ('integer', 'bigint', 'double precision') THEN 'measure' END AS column_role, filled FROM catalog")
 def roles(spark, d):
-    return _with_counts(spark, d, column_roles(_catalog(spark, d)), _NATIONS).select("table_name", "column_name", "column_role", "filled")
+    return _with_counts(spark, d, column_roles(_catalog(spark, d))).select("table_name", "column_name", "column_role", "filled")
+
+
+_VALUES_SQL = " UNION ALL ".join(
+    f"SELECT DISTINCT '{t}' AS table_name, '{c}' AS column_name, {c}::VARCHAR AS v FROM {t} WHERE {c} IS NOT NULL"
+    for t, columns in COLUMNS.items() for c, k in columns.items() if not k.startswith("array"))
 
 
-@query("R11_value_profile", """
-WITH v AS (SELECT 'o_orderstatus' AS column_name, o_orderstatus AS v FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders),
-u AS (SELECT DISTINCT column_name, v, dense_rank() OVER (PARTITION BY column_name ORDER BY v) AS p FROM v)
-SELECT column_name, max(p)::INTEGER AS distinct_values, string_agg(v, ', ' ORDER BY v) FILTER (WHERE p <= 5) AS sample_values FROM u GROUP BY 1 HAVING max(p) BETWEEN 2 AND 10""")
+@query("R11_value_profile", f"""
+WITH u AS (SELECT *, row_number() OVER (PARTITION BY table_name, column_name ORDER BY v) AS p FROM ({_VALUES_SQL}))
+SELECT table_name, column_name, max(p)::INTEGER AS distinct_values, string_agg(v, ', ' ORDER BY v) FILTER (WHERE p <= 5) AS sample_values
+FROM u GROUP BY ALL HAVING max(p) BETWEEN 2 AND 10""")
 def profile(spark, d):
-    return C.value_profile(read_table(spark, d, "orders"))
+    """Columns of every table that hold few values."""
+    return _of_all(spark, d, lambda t, df: C.value_profile(df).withColumn("table_name", F.lit(t)))
 
 
 @query("A17_key_columns_text", """
@@ -427,7 +429,7 @@ def metric_columns(spark, d):
     return counted.withColumn("is_metric", P.is_metric_column(F.col("column_name")))
 
 
-@query("F9_numeric_types", f"WITH {_CATALOG_SQL} SELECT data_type, data_type <> 'text' AS is_numeric, sum(filled)::BIGINT AS filled FROM catalog GROUP BY ALL")
+@query("F9_numeric_types", f"WITH {_CATALOG_SQL} SELECT data_type, regexp_matches(data_type, 'int|double|float') AS is_numeric, sum(filled)::BIGINT AS filled FROM catalog GROUP BY ALL")
 def numeric_types(spark, d):
-    counted = _with_counts(spark, d, _catalog(spark, d), _NATIONS).groupBy("data_type").agg(F.sum("filled").alias("filled"))
+    counted = _with_counts(spark, d, _catalog(spark, d)).groupBy("data_type").agg(F.sum("filled").alias("filled"))
     return counted.withColumn("is_numeric", C.numeric_by_type_text(F.col("data_type")))

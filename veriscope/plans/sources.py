@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from veriscope.operators.drift import baseline_questions
 from veriscope.plans import standin as T
+from veriscope.plans.quality import COLUMNS, KEYS
 from veriscope.plans.registry import query
 from veriscope.plans.standin import with_tables
 from veriscope.sources import files as I
@@ -206,11 +207,21 @@ def gt_store(spark, d):
     return store.load("spend", table.schema)
 
 
-@query("S15_table_samples")
+# a sampled row is told by its key and its first column of text that is no part of it
+_SAMPLED = {t: (KEYS[t], next((c for c, kind in columns.items() if c not in KEYS[t] and kind == "text"), KEYS[t][0])) for t, columns in COLUMNS.items()}
+
+
+@query("S15_table_samples", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, concat_ws('|', {', '.join(f'{c}::VARCHAR' for c in k)}) AS row_key, {c}::VARCHAR AS value "
+    f"FROM (SELECT * FROM {t} ORDER BY {', '.join((*k, *COLUMNS[t]))} LIMIT 5)" for t, (k, c) in _SAMPLED.items()))
 def samples(spark, d):
+    """Five rows of every table, the first by its key."""
     out = None
-    for t, key in (("nation", "n_name"), ("supplier", "s_name"), ("customer", "c_name")):
-        part = I.sample_rows(read_table(spark, d, t)).select(F.lit(t).alias("table_name"), F.col(key).alias("value"))
+    for t in I.folder_tables(spark, d):
+        key, column = _SAMPLED[t]
+        rows = I.sample_rows(read_table(spark, d, t), key=key)
+        part = rows.select(F.lit(t).alias("table_name"), F.concat_ws("|", *[F.col(c).cast("string") for c in key]).alias("row_key"),
+                           F.col(column).cast("string").alias("value"))
         out = part if out is None else out.unionByName(part)
     return out
 

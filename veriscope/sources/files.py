@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veriscope import schemas as S
 from veriscope.functions.text import non_empty, question_key
@@ -190,6 +192,11 @@ def bounded(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     return df.limit(max_rows)
 
 
-def sample_rows(df: DataFrame, n: int = 5) -> DataFrame:
-    """The same n rows on every run: those with the least row hash."""
-    return df.orderBy(F.xxhash64(*df.columns), *df.columns).limit(n)
+def sample_rows(df: DataFrame, n: int = 5, key: Sequence[str] = ()) -> DataFrame:
+    """The same n rows on every run: the first by `key`, then by all columns; without a key those with the least row hash.
+
+    Columns without an order (maps) do not tell rows apart. Only n rows a task are kept on the way.
+    """
+    columns = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    first = [F.col(c) for c in key] if key else [F.xxhash64(*columns)]
+    return df.orderBy(*first, *columns).limit(n)
