@@ -108,3 +108,29 @@ def test_capture(spark):
     r = C.capture_expected(frame(spark, rows), ["query_id"], [F.col("n")]).first()
     assert (r.row_count, len(r.sample_rows), r.columns) == (25, 20, ["n", "s", "d"])
     assert r.sample_rows[0] == ["0.0", "s0", "2021-02-01"]
+
+
+def test_fingerprints_find_equal_results_without_a_line_up(spark, monkeypatch):
+    shape = "k string, x double, t string, d date"
+    rows = [("same", 1.5, "a", None), ("same", 1.5, "a", None), ("same", None, "b", None), ("near", 1.0, "a", None), ("far", 1.0, "a", None),
+            ("odd", float("nan"), "a", None), ("longer", 1.0, "a", None), (None, 2.0, "n", None), ("zero", 0.0, "z", None)]
+    moved = [("near", 1.00005, " a ", None), ("far", 9.0, "a", None), ("odd", float("nan"), "a", None), ("same", None, "b", None), ("same", 1.5, "a", None),
+             ("same", 1.5, "a", None), ("longer", 1.0, "a", None), ("longer", 1.0, "a", None), (None, 2.0, "n", None), ("zero", -0.0, "z", None), ("only", 1.0, "e", None)]
+    actual, expected = spark.createDataFrame(rows, shape), spark.createDataFrame(moved, shape)
+    lined = []
+    rank = C.rank_within
+    monkeypatch.setattr(C, "rank_within", lambda df, *args: lined.append({r.k for r in df.select("k").collect()}) or rank(df, *args))
+    got = {r.k: (r.rows_actual, r.rows_expected, r.matched, r.content_match_rate) for r in C.match_rate(actual, expected, ["k"]).collect()}
+    assert got == {"same": (3, 3, 3, 1.0), "near": (1, 1, 1, 1.0), "far": (1, 1, 0, 0.0), "odd": (1, 1, 0, 0.0), "longer": (1, 2, 0, 0.0),
+                   None: (1, 1, 1, 1.0), "zero": (1, 1, 1, 1.0), "only": (0, 1, 0, 0.0)}
+    assert lined == [{"near", "far", "odd"}] * 2
+
+
+def test_pairs_of_rows_do_not_cancel_out(spark):
+    """Two rows twice and another row twice have the same exclusive or, not the same sums."""
+    a = spark.createDataFrame([(1, "x")] * 2, "k int, v string")
+    b = spark.createDataFrame([(1, "y")] * 2, "k int, v string")
+    assert C.match_rate(a, b, ["k"]).first().content_match_rate == 0.0
+    c = spark.createDataFrame([(1, None, "x")], "k int, u string, v string")
+    d = spark.createDataFrame([(1, "x", None)], "k int, u string, v string")
+    assert C.match_rate(c, d, ["k"]).first().content_match_rate == 0.0

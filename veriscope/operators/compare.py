@@ -14,7 +14,9 @@ from pyspark.sql import types as T
 
 from veriscope import constants as K
 from veriscope.functions import values as V
-from veriscope.operators.ordering import rank_within, top_per_key
+from veriscope.functions.values import is_number
+from veriscope.operators.lookup import measured
+from veriscope.operators.ordering import join_equal, rank_within, top_per_key
 
 
 def _name(column: str) -> str:
@@ -55,7 +57,40 @@ def _paired(
     if len(left) == len(right):
         for i, ((_, lt), (_, rt)) in enumerate(zip(left, right)):
             equal = equal & V.same_value(F.col(f"a{i}"), lt, F.col(f"b{i}"), rt)
-    return a.join(b, [*keys, position]).groupBy(*keys).agg(F.count_if(equal).alias("matched"))
+    return join_equal(a, b, [*keys, position]).groupBy(*keys).agg(F.count_if(equal).alias("matched"))
+
+
+def _fingerprints(
+    actual: DataFrame, expected: DataFrame, keys: Sequence[str], left: list[tuple[str, T.DataType]], right: list[tuple[str, T.DataType]],
+) -> DataFrame:
+    """(keys, rows_actual, rows_expected, same): `same` says that both sides hold the same rows, however they are ordered.
+
+    A side's fingerprint is its number of rows and two sums of row hashes, combined before the shuffle, so that a result of any size
+    is a few numbers. Values are compared exactly; a side with values that equal nothing (NaN, infinities), or columns of
+    different kinds, is not said to be the same, which leaves the decision to the line-up of rows.
+    """
+    alike = len(left) == len(right) and all(
+        is_number(lt) and is_number(rt) or type(lt) is type(rt) for (_, lt), (_, rt) in zip(left, right, strict=True)
+    ) and not any(isinstance(t, T.MapType) for _, t in left)
+
+    def side(df: DataFrame, columns: list[tuple[str, T.DataType]], sign: int) -> DataFrame:
+        values = [F.col(n).cast("double") + 0.0 if is_number(t) else F.col(n) for n, t in columns]
+        odd = F.lit(False)
+        for v, (_, t) in zip(values, columns, strict=True):
+            if is_number(t):
+                odd = odd | F.coalesce(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(False))
+        # hashes pass over nulls, so where they are is hashed as well
+        empty = [v.isNull() for v in values]
+        hashes = [F.xxhash64(F.lit(seed), *values, *empty).cast("decimal(20,0)") * sign for seed in (1, 2)] if alike else [F.lit(sign).cast("decimal(20,0)")] * 2
+        return df.select(*keys, F.lit(sign).alias("__sign"), odd.alias("__odd"), hashes[0].alias("__h1"), hashes[1].alias("__h2"))
+
+    both = side(actual, left, 1).unionByName(side(expected, right, -1))
+    counted = both.groupBy(*keys).agg(
+        F.count_if(F.col("__sign") > 0).alias("rows_actual"), F.count_if(F.col("__sign") < 0).alias("rows_expected"),
+        F.sum("__h1").alias("d1"), F.sum("__h2").alias("d2"), F.bool_or("__odd").alias("odd"),
+    )
+    equal = F.lit(alike) & (F.col("rows_actual") == F.col("rows_expected")) & (F.col("d1") == 0) & (F.col("d2") == 0) & ~F.col("odd")
+    return counted.select(*keys, "rows_actual", "rows_expected", equal.alias("same"))
 
 
 def match_rate(
@@ -67,9 +102,9 @@ def match_rate(
 ) -> DataFrame:
     """(keys, rows_actual, rows_expected, matched, content_match_rate).
 
-    With `position` rows are compared in that order. Without it both sides are
-    lined up by their sorted values first. Row counts that differ rate 0, two
-    empty sides rate 1.
+    With `position` rows are compared in that order. Without it results whose fingerprints say that they are the same are
+    done; those of equal size that differ are lined up by their sorted values, no others are sorted or
+    shuffled. Row counts that differ rate 0, two empty sides rate 1. Null keys are keys like others.
     """
     skip = [*keys, position] if position else list(keys)
     left, right = _typed(actual, skip), _typed(expected, skip)
@@ -77,21 +112,23 @@ def match_rate(
         lt, rt = dict(left), dict(right)
         left = [(c, lt[c]) for c in columns[0]]
         right = [(c, rt[c]) for c in columns[1]]
+    sizes = _fingerprints(actual, expected, keys, left, right)
     if position is None:
         position = "__position"
-        actual = rank_within(
-            actual.select(*keys, *[n for n, _ in left]), keys, V.sort_columns(left), position, True
-        )
-        expected = rank_within(
-            expected.select(*keys, *[n for n, _ in right]), keys, V.sort_columns(right), position, True
-        )
+        sizes = measured(sizes)
+        open_keys = sizes.filter((F.col("rows_actual") == F.col("rows_expected")) & ~F.col("same")).select(*keys)
+
+        def lined_up(df: DataFrame, columns: list[tuple[str, T.DataType]]) -> DataFrame:
+            rows = join_equal(df.select(*keys, *[n for n, _ in columns]), open_keys, keys, "left_semi")
+            return rank_within(rows, keys, V.sort_columns(columns), position, True)
+
+        actual, expected = lined_up(actual, left), lined_up(expected, right)
+    else:
+        sizes = sizes.withColumn("same", F.lit(False))
     matched = _paired(actual, expected, keys, position, left, right)
-    sizes = (
-        actual.groupBy(*keys).agg(F.count("*").alias("rows_actual"))
-        .join(expected.groupBy(*keys).agg(F.count("*").alias("rows_expected")), list(keys), "full")
-        .na.fill(0, ["rows_actual", "rows_expected"])
-    )
-    rated = sizes.join(matched, list(keys), "left").na.fill(0, ["matched"])
+    rated = join_equal(sizes, matched, keys, "left").withColumn(
+        "matched", F.when(F.col("same"), F.col("rows_actual")).otherwise(F.coalesce("matched", F.lit(0)))
+    ).drop("same")
     rate = (
         F.when(F.col("rows_actual") != F.col("rows_expected"), 0.0)
         .when(F.col("rows_actual") == 0, 1.0)

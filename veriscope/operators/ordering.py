@@ -168,7 +168,7 @@ def percentiles_of_counts(
         rows, ranges = _refined(rows, wide, keys, value, cells, step)
         step += 1
     at = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__rank", value))).alias("__at"))
-    at = _matched(totals, at, keys)
+    at = join_equal(totals, at, keys)
 
     def interpolate(p: float) -> Column:
         place = F.lit(float(p)) * (F.col("sample_count") - 1)
@@ -181,13 +181,14 @@ def percentiles_of_counts(
     )
 
 
-def _matched(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Inner join on columns of the same names, nulls equal; the names stay once."""
+def join_equal(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same names, nulls equal; the names stay once, those of the left side."""
     renamed = right.withColumnsRenamed({n: f"__r_{i}" for i, n in enumerate(names)})
     same = F.lit(True)
     for i, n in enumerate(names):
         same = same & F.col(n).eqNullSafe(F.col(f"__r_{i}"))
-    return left.join(renamed, same).drop(*[f"__r_{i}" for i in range(len(names))])
+    joined = left.join(renamed, same, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__r_{i}" for i in range(len(names))])
 
 
 def _finite(c: Column) -> Column:
@@ -222,7 +223,7 @@ def _refined(rows, wide, keys, value, cells, step) -> tuple[DataFrame, DataFrame
     """Values and ranges of the cells of wide ranges that hold wanted ranks."""
     group = [*keys, "__range"]
     cell = _cell(F.col(value), F.col("__low"), F.col("__high"), cells, step)
-    placed = _matched(rows, wide.select(*group, "__low", "__high"), group).select(*group, value, "n", cell.alias("__cell"))
+    placed = join_equal(rows, wide.select(*group, "__low", "__high"), group).select(*group, value, "n", cell.alias("__cell"))
     before = Window.partitionBy(*group).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     filled = placed.groupBy(*group, "__cell").agg(F.sum("n").alias("__n"), *_extent(value)).withColumn(
         "__sum", F.coalesce(F.sum("__n").over(before), F.lit(0))  # at most `cells` + 3 rows a range
@@ -231,11 +232,11 @@ def _refined(rows, wide, keys, value, cells, step) -> tuple[DataFrame, DataFrame
     inside = F.filter("__ranks", lambda r: (r >= start) & (r < start + F.col("__n")))
     name = F.concat_ws(".", "__range", F.col("__cell").cast("string"))
     chosen = measured(
-        _matched(filled, wide.select(*group, "__before", "__ranks"), group)
+        join_equal(filled, wide.select(*group, "__before", "__ranks"), group)
         .withColumns({"__inside": inside, "__next": name}).filter(F.size("__inside") > 0)
         .select(*group, "__cell", "__next", "__distinct", "__low", "__high", start.alias("__start"), "__inside")
     )
-    kept = _matched(placed, chosen.select(*group, "__cell", "__next"), [*group, "__cell"])
+    kept = join_equal(placed, chosen.select(*group, "__cell", "__next"), [*group, "__cell"])
     rows = written(kept.select(*keys, F.col("__next").alias("__range"), value, "n"))
     ranges = chosen.select(
         *keys, F.col("__next").alias("__range"), "__distinct", "__low", "__high",
@@ -264,6 +265,6 @@ def _explode_held(df: DataFrame) -> DataFrame:
 def _ranks_in_order(rows, ranges, keys, value) -> DataFrame:
     """(keys, rank, value) of the wanted ranks of ranges that are small enough to be ordered."""
     group = [*keys, "__range"]
-    small = _matched(rows, ranges.select(*group, "__before", "__ranks"), group)
+    small = join_equal(rows, ranges.select(*group, "__before", "__ranks"), group)
     running = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return _explode_held(small.withColumn("__end", F.col("__before") + F.sum("n").over(running))).select(*keys, "__rank", value)
