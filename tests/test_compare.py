@@ -134,3 +134,18 @@ def test_pairs_of_rows_do_not_cancel_out(spark):
     c = spark.createDataFrame([(1, None, "x")], "k int, u string, v string")
     d = spark.createDataFrame([(1, "x", None)], "k int, u string, v string")
     assert C.match_rate(c, d, ["k"]).first().content_match_rate == 0.0
+
+
+def test_capture_outcomes_and_counts(spark):
+    queries = spark.createDataFrame(
+        [(1, "a", "SELECT 1"), (2, "a", "SELECT 2"), (3, "b", None), (4, "b", ""), (5, "b", "SELECT 5"), (None, "b", "SELECT n")], "q int, agent string, sql string")
+    rows = spark.createDataFrame([(1, 7, "x"), (1, 3, "y"), (2, 1, "half"), (None, 9, "n")], "q int, n int, s string")
+    failures = spark.createDataFrame([(2, "timeout"), (2, "broken"), (9, "of no query"), (4, "never run")], "q int, error string")
+    out = C.capture_outcomes(queries, C.capture_expected(rows, ["q"], [F.col("n")]), failures, ["q"])
+    got = {r.q: (r.outcome, r.generation_error, r.expected_output and (r.expected_output.row_count, r.expected_output.sample_rows)) for r in out.collect()}
+    assert got == {
+        1: ("captured", None, (2, [["3", "y"], ["7", "x"]])), 2: ("failed", "broken", None), 3: ("no_sql", None, None), 4: ("no_sql", None, None),
+        5: ("captured", None, (0, [])), None: ("captured", None, (1, [["9", "n"]])),
+    }
+    assert {tuple(r) for r in C.capture_counts(out, ["agent"]).collect()} == {("a", 2, 1, 1), ("b", 4, 2, 2)}
+    assert C.capture_counts(out.limit(0)).first().total_queries == 0

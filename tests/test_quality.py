@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from veriscope.operators import alerts as A
 from veriscope.operators import catalog as C
 from veriscope.operators import quality as Q
@@ -43,7 +45,6 @@ def test_large_tables_and_empty_report(spark):
 
 
 def test_failing_checks_are_reported_as_skipped(spark):
-    from pyspark.sql import functions as F
 
     report = Q.issue_report({"t": spark.range(3)}, {"t": []}, extra=[lambda d, s, t: d.select(F.col("missing"))])
     assert [r.issue_type for r in report.collect()] == ["missing_primary_key", "check_skipped"]
@@ -157,3 +158,22 @@ def test_report_from_profiles(spark):
     assert {r.message for r in got} >= {"Column 'v' has 33.3% NULL values", "1 duplicate row groups found"}
     big = Q.profile_issues(Q.table_profile(spark.range(30), ["id"]), "p", "t", ["id"], True, large=29)
     assert [(r.issue_type, r.message) for r in big.collect()] == [("large_table_no_index", "Large table (30 rows) with no indexes")]
+
+
+def test_scan_of_tables_against_the_stored_catalog(spark):
+
+    tables = {"t": spark.createDataFrame([(1, "a")], "k int, v string"), "new": spark.range(4), "same": spark.range(2)}
+    stored = C.catalog_rows(spark, {"t": spark.createDataFrame([], "k long, w string"), "same": spark.range(1), "gone": spark.range(1)})
+    got = C.scan_tables(tables, stored.withColumn("agent_id", F.lit(7)), 7).collect()
+    assert {tuple(r) for r in got} == {("t", 1, 1, 1, 1), ("new", 1, 0, 0, 4), ("same", 0, 0, 0, 2), ("gone", 0, 1, 0, None)}
+
+
+def test_catalog_difference_and_constraint_join(spark):
+
+    shape = "agent_id int, schema_name string, table_name string, column_name string"
+    now = spark.createDataFrame([(1, "p", "t", "a"), (1, "p", "t", "a"), (1, "p", "t", None), (2, "p", "t", "a")], shape)
+    before = spark.createDataFrame([(2, "p", "t", "a"), (2, "p", "t", "a")], shape)
+    assert {tuple(r) for r in C.catalog_difference(now, before).collect()} == {(1, "p", "t", "a"), (1, "p", "t", None)}
+    left = spark.createDataFrame([("s", "c1", 1), ("s", "c1", 2), (None, "c1", 3)], "schema string, name string, l int")
+    right = spark.createDataFrame([("s", "c1", "x"), (None, "c1", "y")], "schema string, name string, r string")
+    assert {(r.l, r.r) for r in C.constraint_join(left, right, ["schema", "name"]).collect()} == {(1, "x"), (2, "x")}

@@ -147,3 +147,8 @@ def test_stored_schemas_are_well_formed(spark):
 
     named = {n: StructType.fromDDL(v) for n, v in vars(schemas).items() if n.isupper() and n != "GROUND_TRUTH_ENTRY"}
     assert len(named) >= 9 and "psi_scores" in named["PSI_RESULTS"].fieldNames()
+
+
+def test_rejected_texts_in_one_pass(spark):
+    raw = spark.createDataFrame([("1,200", "2024-01-02"), ("n/a", "02.03"), ("", None), (None, "1/2/2024")], "sales string, day string")
+    assert tuple(I.rejected(raw, {"sales": I.number, "day": I.mixed_date}).first()) == (1, 1)

@@ -109,6 +109,42 @@ def inferred_relationships(catalog: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def constraint_join(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows of two constraint tables that agree in all key columns (name, schema, table, column); a null agrees with nothing.
+
+    Both sides may repeat a key: each left row meets each right row of its key, as in the catalog's own views.
+    """
+    return left.join(right, list(key))
+
+
+def catalog_difference(current: DataFrame, stored: DataFrame, by: str = "agent_id") -> DataFrame:
+    """Catalog columns that `current` has and `stored` lacks, once each: (by, schema, table, column); nulls are values."""
+    key = [by, *CATALOG_KEY]
+    return current.select(*key).distinct().exceptAll(stored.select(*key).distinct())
+
+
+def scan_tables(tables: dict[str, DataFrame], stored: DataFrame, agent_id) -> DataFrame:
+    """What a scheduler runs: (table_name, new_columns, removed_columns, changed_types, row_count) of every table that is there
+    now or was stored; row_count is null for a table that is gone.
+    """
+    spark = stored.sparkSession
+    current = catalog_rows(spark, tables).withColumn("agent_id", F.lit(agent_id))
+    changes = schema_changes(current, stored, include_removed=True, include_types=True)
+    count = lambda kind: F.count_if(F.col("change_type") == kind)
+    counted = changes.groupBy("table_name").agg(
+        count("column_added").alias("new_columns"), count("column_removed").alias("removed_columns"), count("type_changed").alias("changed_types")
+    )
+    sizes = spark.createDataFrame([], "table_name string, row_count long")
+    for name, df in tables.items():
+        sizes = sizes.unionByName(df.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("table_name"), "row_count"))
+    names = current.select("table_name").union(stored.select("table_name")).distinct()
+    return (
+        names.join(sizes, ["table_name"], "left").join(counted, ["table_name"], "left")
+        .na.fill(0, ["new_columns", "removed_columns", "changed_types"])
+        .select("table_name", "new_columns", "removed_columns", "changed_types", "row_count")
+    )
+
+
 def containment(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
     """How many distinct child values a parent key lacks: (child_values, missing, contained)."""
     values = child.filter(F.col(column).isNotNull()).select(F.col(column).alias("v")).distinct()

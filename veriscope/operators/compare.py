@@ -298,7 +298,7 @@ def capture_expected(rows: DataFrame, keys: Sequence[str], order_by: Sequence[Co
             F.array_sort(F.collect_list(F.struct("position", "cells"))), lambda r: r["cells"]
         ).alias("sample_rows")
     )
-    return total.join(sample, list(keys)).select(
+    return join_equal(total, sample, keys).select(
         *keys,
         F.array(*[F.lit(n) for n, _ in typed]).alias("columns"),
         "row_count",
@@ -307,3 +307,37 @@ def capture_expected(rows: DataFrame, keys: Sequence[str], order_by: Sequence[Co
             "execution_time_ms"
         ),
     )
+
+
+def capture_outcomes(queries: DataFrame, captured: DataFrame, failures: DataFrame, keys: Sequence[str], sql: str = "sql") -> DataFrame:
+    """`queries` with expected_output, generation_error and outcome: captured, failed or no_sql.
+
+    `captured` is what `capture_expected` made of the rows that statements gave, `failures` (keys, error) says which of them failed;
+    a statement that is in neither gave no rows. A failed one has its error and a null output, whatever rows it gave before
+    it failed; a query without a statement was not run and has neither. Of several errors of a query the first by text is kept.
+    """
+    said = failures.groupBy(*keys).agg(F.min("error").alias("__error"), F.lit(True).alias("__failed"))
+    columns = captured.schema["columns"]
+    output = F.struct("columns", "row_count", "sample_rows", "execution_time_ms")
+    held = captured.select(*keys, output.alias("__output"))
+    empty = F.struct(
+        F.array().cast(columns.dataType).alias("columns"), F.lit(0).cast("long").alias("row_count"),
+        F.array().cast("array<array<string>>").alias("sample_rows"), F.lit(None).cast("double").alias("execution_time_ms"),
+    )
+    joined = join_equal(join_equal(queries, held, keys, "left"), said, keys, "left")
+    asked = F.coalesce(F.col(sql), F.lit("")) != ""
+    outcome = F.when(~asked, "no_sql").when(F.col("__failed"), "failed").otherwise("captured")
+    return joined.withColumn("outcome", outcome).select(
+        *queries.columns,
+        F.when(F.col("outcome") == "captured", F.coalesce("__output", empty)).alias("expected_output"),
+        F.when(F.col("outcome") == "failed", F.coalesce("__error", F.lit("unknown error"))).alias("generation_error"),
+        "outcome",
+    )
+
+
+def capture_counts(outcomes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, total_queries, success_count, fail_count); a query without a statement counts as failed."""
+    ok = F.col("outcome") == "captured"
+    return outcomes.groupBy(*by).agg(
+        F.count("*").alias("total_queries"), F.count_if(ok).alias("success_count"), F.count_if(~ok).alias("fail_count")
+    )

@@ -251,6 +251,38 @@ def capture(spark, d):
                       F.size("sample_rows").alias("sampled"), (F.size("columns") - 2).alias("columns"))
 
 
+_OUTCOME_SQL = """q AS (SELECT s_suppkey AS query_id, s_nationkey AS agent, CASE WHEN s_nationkey >= 3 THEN 'SELECT ' || s_suppkey END AS sql, s_acctbal < 0 AS broken FROM supplier),
+r AS (SELECT l_suppkey AS query_id, count(*) AS n FROM lineitem WHERE l_quantity > 49 GROUP BY 1),
+o AS (SELECT query_id, agent, CASE WHEN sql IS NULL THEN 'no_sql' WHEN broken THEN 'failed' ELSE 'captured' END AS outcome, coalesce(n, 0) AS n FROM q LEFT JOIN r USING (query_id))"""
+
+
+def _outcomes(spark, d):
+    """A statement per supplier: some are missing, some fail, the others gave the supplier's large line items."""
+    s = read_table(spark, d, "supplier").withColumns({
+        "query_id": F.col("s_suppkey"), "agent": F.col("s_nationkey"),
+        "sql": F.when(F.col("s_nationkey") >= 3, F.concat(F.lit("SELECT "), F.col("s_suppkey").cast("string")))})
+    li = read_table(spark, d, "lineitem").filter("l_quantity > 49").withColumn("query_id", F.col("l_suppkey"))
+    rows = li.select("query_id", "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
+    captured = C.capture_expected(rows, ["query_id"], [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")])
+    failures = s.filter("s_acctbal < 0").select("query_id", F.concat(F.lit("balance of "), "s_name", F.lit(" is negative")).alias("error"))
+    return C.capture_outcomes(s.select("query_id", "agent", "sql"), captured, failures, ["query_id"])
+
+
+@query("S29_capture_outcomes", f"""WITH {_OUTCOME_SQL}
+SELECT query_id, outcome, CASE WHEN outcome = 'captured' THEN o.n END AS row_count, CASE WHEN outcome = 'captured' THEN least(o.n, 20) END::INTEGER AS sampled,
+  CASE WHEN outcome = 'failed' THEN 'balance of ' || s_name || ' is negative' END AS generation_error FROM o JOIN supplier ON s_suppkey = query_id""")
+def outcomes(spark, d):
+    out = F.col("expected_output")
+    return _outcomes(spark, d).select(
+        "query_id", "outcome", out["row_count"].alias("row_count"), F.when(out.isNotNull(), F.size(out["sample_rows"])).alias("sampled"), "generation_error")
+
+
+@query("S29_capture_counts", f"""WITH {_OUTCOME_SQL}
+SELECT agent, count(*) AS total_queries, count(*) FILTER (WHERE outcome = 'captured') AS success_count, count(*) FILTER (WHERE outcome <> 'captured') AS fail_count FROM o GROUP BY 1""")
+def outcome_counts(spark, d):
+    return C.capture_counts(_outcomes(spark, d), ["agent"])
+
+
 @query("U4_fulfilled_intents", """
 WITH t AS (SELECT doc_id, [lang, source, 'x'] AS a, [lang, 'x', 'y'] AS b FROM documents)
 SELECT doc_id, array_to_string(list_sort(list_intersect(a, b)), ',') AS matched, array_to_string(list_sort(list_filter(a, lambda v: NOT list_contains(b, v))), ',') AS missing FROM t""")

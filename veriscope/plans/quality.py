@@ -304,8 +304,7 @@ def schema_changes(spark, d):
 @query("U1_catalog_difference", f"WITH {_VERSIONS_SQL} SELECT agent_id, count(*) AS new_columns FROM added GROUP BY 1")
 def difference(spark, d):
     _, stored, current = _versions(spark, d)
-    key = ["agent_id", *C.CATALOG_KEY]
-    return current.select(*key).exceptAll(stored.select(*key)).groupBy("agent_id").agg(F.count("*").alias("new_columns"))
+    return C.catalog_difference(current, stored).groupBy("agent_id").agg(F.count("*").alias("new_columns"))
 
 
 @query("R6_change_log", f"""WITH {_VERSIONS_SQL},
@@ -415,7 +414,7 @@ def constraint_join(spark, d):
     key = ["table_name", "column_name"]
     used = e.filter(F.col("value") > 30).groupBy(*key).agg(F.count("*").alias("columns_used"))
     declared_rows = e.filter(F.col("value") <= 30).groupBy(*key).agg(F.count("*").alias("columns_declared"))
-    return used.join(declared_rows, key)
+    return C.constraint_join(used, declared_rows, key)
 
 
 @query("F8_metric_columns", """

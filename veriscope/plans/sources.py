@@ -63,10 +63,22 @@ def spend_rows(spark, d):
     return rows.select("order_id", "order_date", "ship_date", "year", F.round("sales", 2).alias("sales"), "quantity", "profit")
 
 
-@query("S4_rejected_numbers", f"WITH {_WIDE_SQL} SELECT 0::BIGINT AS sales, count(*) AS profit FROM wide")
+@query("S3_file_with_byte_order_mark", f"""WITH {_WIDE_SQL}
+SELECT l_orderkey::VARCHAR AS order_id, count(*) AS lines, round(sum(round(l_extendedprice, 2)), 2) AS sales FROM wide GROUP BY 1""")
+def marked_file(spark, d):
+    """A file whose first header name begins with a byte-order mark, read as Latin-1."""
+    path = fresh_path(spark, "marked")
+    columns = [F.col("l_orderkey").cast("string").alias("\ufefforder_id"), F.round("l_extendedprice", 2).cast("string").alias("sales"),
+               F.lit("2024-01-01").alias("order_date"), F.lit("").alias("ship_date")]
+    read_table(spark, d, "lineitem").select(*columns).write.option("header", True).csv(path)
+    rows = I.read_spend(spark, path)
+    return rows.groupBy("order_id").agg(F.count("*").alias("lines"), F.round(F.sum("sales"), 2).alias("sales"))
+
+
+@query("S4_rejected_numbers", f"WITH {_WIDE_SQL} SELECT 0::BIGINT AS sales, count(*) AS profit, 0::BIGINT AS order_date FROM wide")
 def rejects(spark, d):
     raw = I.read_csv(spark, _spend_file(spark, d), "ISO-8859-1")
-    return I.rejected(raw, I.clean_spend(raw), ["sales", "profit"])
+    return I.rejected(raw, {"sales": I.number, "profit": I.number, "order_date": I.mixed_date})
 
 
 @query("S7_customer_dimension", f"""WITH {_WIDE_SQL}

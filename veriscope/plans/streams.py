@@ -12,11 +12,12 @@ from veriscope.operators.result_drift import to_long
 from veriscope.plans import drift as D
 from veriscope.plans import scoring as E
 from veriscope.plans import standin as T
+from veriscope.plans.quality import COLUMNS
 from veriscope.plans.drift import embedding_baselines
 from veriscope.plans.registry import query
 from veriscope.plans.standin import with_tables
 from veriscope.session import written
-from veriscope.sources.files import read_table, read_tables
+from veriscope.sources.files import folder_tables, read_table, read_tables
 from veriscope.sources.snapshots import SnapshotTable, upsert_batches
 from veriscope.streaming import telemetry as M
 from veriscope.streaming.lateness import through_gate
@@ -274,14 +275,20 @@ def replaced_baseline(spark, d):
     return rows.withColumn("relative", F.round("relative", 8))
 
 
-@query("T7_scheduled_schema_scan", "SELECT 'events' AS table_name, 6::BIGINT AS new_columns, count(*) AS row_count FROM events")
+# stored when the last scan ran: no events yet, labels with another type, and a table that is gone
+_LAST_SCAN = {t: {c: "text" if (t, c) == ("labels", "toxic") else k for c, k in columns.items()} for t, columns in COLUMNS.items() if t != "events"}
+_LAST_SCAN["dropped"] = {"a": "integer", "b": "text"}
+
+
+@query("T7_scheduled_schema_scan", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, {len(columns) if t == 'events' else 0}::BIGINT AS new_columns, 0::BIGINT AS removed_columns, "
+    f"{1 if t == 'labels' else 0}::BIGINT AS changed_types, count(*) AS row_count FROM {t}" for t, columns in COLUMNS.items())
+    + " UNION ALL SELECT 'dropped', 0, 2, 0, NULL")
 def scheduled_scan(spark, d):
-    """What a scheduler runs: compare the stored catalog with the tables' schemas now."""
-    tables = read_tables(spark, d, ["events", "orders"])
-    current = C.catalog_rows(spark, tables).withColumn("agent_id", F.lit(1))
-    stored = C.catalog_rows(spark, {"orders": tables["orders"]}).withColumn("agent_id", F.lit(1))
-    new = C.schema_changes(current, stored).filter(F.col("change_type") == "column_added").groupBy("table_name").agg(F.count("*").alias("new_columns"))
-    return new.join(tables["events"].agg(F.count("*").alias("row_count")))
+    """A scan of every table of the folder against the stored catalog."""
+    rows = [(1, "public", t, c, k, True) for t, columns in _LAST_SCAN.items() for c, k in columns.items()]
+    stored = spark.createDataFrame(rows, "agent_id int, schema_name string, table_name string, column_name string, data_type string, is_nullable boolean")
+    return C.scan_tables(read_tables(spark, d, folder_tables(spark, d)), stored, 1)
 
 
 @query("T8_error_spikes", """

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,15 +102,12 @@ def clean_spend(raw: DataFrame) -> DataFrame:
     return out.withColumn("year", F.col("year").try_cast("int"))
 
 
-def rejected(raw: DataFrame, cleaned: DataFrame, columns) -> DataFrame:
-    """Per column, how many non-empty texts could not be converted."""
-    both = raw.select(POSITION, *[F.col(c).alias(f"raw_{c}") for c in columns]).join(
-        cleaned.select(POSITION, *columns), [POSITION]
-    )
-    return both.agg(
+def rejected(raw: DataFrame, conversions: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Per column, how many non-empty texts its conversion makes null; one pass over the raw texts."""
+    return raw.agg(
         *[
-            F.count_if((F.coalesce(f"raw_{c}", F.lit("")) != "") & F.col(c).isNull()).alias(c)
-            for c in columns
+            F.count_if((F.coalesce(c, F.lit("")) != "") & convert(F.col(c)).isNull()).alias(c)
+            for c, convert in conversions.items()
         ]
     )
 
