@@ -189,6 +189,33 @@ def gt_index(spark, d):
     return I.ground_truth_index(_entries(spark, d)).select("question_key", "position", "sql", "complexity")
 
 
+@query("S11_ground_truth_files", """
+WITH e AS (SELECT conv_id * 1000 + turn AS p, conv_id % 3 AS part, text, 'SELECT ' || turn AS sql, CASE WHEN turn > 2 THEN 'complex' ELSE 'simple' END AS complexity
+  FROM conversations WHERE text <> ''),
+k AS (SELECT *, rtrim(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '?.!') AS question_key FROM e)
+SELECT question_key, arg_max(sql, part * 1000000000000 + p) AS sql, arg_max(complexity, part * 1000000000000 + p) AS complexity, arg_max(part, part * 1000000000000 + p)::INTEGER AS file
+FROM k GROUP BY 1""")
+def gt_files(spark, d):
+    """Index over ground-truth documents written from the conversations, one per third of them; of repeated questions the last of the last file counts."""
+    path = fresh_path(spark, "ground-truth")
+    text = F.col("text")
+    entry = F.to_json(F.struct(
+        text.alias("query_text"), F.concat(F.lit("SELECT "), F.col("turn").cast("string")).alias("sql"),
+        F.when(F.col("turn") > 2, "complex").alias("complexity")))
+    rows = read_table(spark, d, "conversations").filter("text <> ''").withColumn("entry", entry)
+    for part in range(3):
+        mine = rows.filter(F.col("conv_id") % 3 == part).coalesce(1).sortWithinPartitions("conv_id", "turn")
+        numbered = mine.withColumn("n", F.monotonically_increasing_id())
+        # a bare list, or an object with other keys around its list; entries follow each other without line ends
+        head, tail = (("[", "]"), ('{"agent_id": "a}", "metadata": {"tags": [{"x": 1}]}, "queries": [', '], "notes": [{"y": 2}]}'))[part % 2]
+        line = F.concat(F.when(F.col("n") == 0, F.lit(head)).otherwise(F.lit(",")), "entry")
+        body = numbered.select(line.alias("value"))
+        end = spark.createDataFrame([(tail,)], "value string")
+        body.unionByName(end).coalesce(1).write.option("lineSep", " ").text(f"{path}/{part}")
+    found = I.ground_truth_index(I.read_ground_truth(spark, [f"{path}/{part}" for part in range(3)]))
+    return found.select("question_key", "sql", "complexity", F.regexp_extract("position.file", r"/(\d)/[^/]*$", 1).cast("int").alias("file"))
+
+
 @query("S12_ground_truth_lookup", f"WITH {_ENTRIES_SQL} SELECT k.position AS position, i.sql AS sql FROM keyed k JOIN indexed i USING (question_key)")
 def gt_lookup(spark, d):
     from veriscope.functions.text import question_key

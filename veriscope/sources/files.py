@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from veriscope import schemas as S
 from veriscope.functions.text import non_empty, question_key
 from veriscope.operators.ordering import latest_per_key
+from veriscope.sources.json_documents import read_entries
 
 _NUMBERS = ("sales", "quantity", "discount", "profit", "shipping_cost")
 POSITION = "_pos"
@@ -134,12 +135,9 @@ def read_supply(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of ground-truth files: `{queries: [...]}` or a bare list."""
-    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("doc"))
-    listed = F.from_json("doc", f"array<{S.GROUND_TRUTH_ENTRY}>")
-    inside = F.from_json("doc", S.GROUND_TRUTH_DOCUMENT)["queries"]
-    queries = F.when(F.col("doc").startswith("["), listed).otherwise(inside)
-    return text.select(F.posexplode(queries).alias("position", "entry")).select("position", "entry.*")
+    """Entries of ground-truth files: `{queries: [...]}` or a bare list; a large file is read by many tasks."""
+    found = read_entries(spark, path).select("position", F.from_json("text", S.GROUND_TRUTH_ENTRY).alias("entry"))
+    return found.select("position", "entry.*")
 
 
 def ground_truth_index(entries: DataFrame) -> DataFrame:
