@@ -1,4 +1,4 @@
-from veriscope.operators.relationships import comparable_columns, relationships, stem
+from veriscope.operators.relationships import comparable_columns, declared_and_checked, relationships, stem
 
 
 def found(spark, tables, **options):
@@ -73,3 +73,14 @@ def test_hot_value_and_odd_names(spark):
 
 def test_stem():
     assert [stem(x) for x in ("o_custkey", "doc_id", "ps_partkey", "x", "_id", "a_")] == ["custkey", "doc_id", "partkey", "x", "id", "a_"]
+
+
+def test_declared_keys_are_checked(spark):
+    tables = {"p": spark.createDataFrame([(1, "a"), (2, "b")], "p_id long, p_name string"), "c": spark.createDataFrame([(1, 5), (2, 1), (9, None)], "c_parent int, c_x int")}
+    names = ("c", "c_parent", "p", "p_id"), ("c", "c_x", "p", "p_id"), ("c", "c_x", "p", "p_name"), ("c", "gone", "p", "p_id")
+    rows = [("s", t, c, "s", u, k, f"fk{i}") for i, (t, c, u, k) in enumerate(names)]
+    shape = "source_schema string, source_table string, source_column string, target_schema string, target_table string, target_column string, constraint_name string"
+    got = declared_and_checked(spark, tables, spark.createDataFrame(rows, shape)).collect()
+    assert [(r.constraint_name, r["values"], r.missing, r.contained) for r in sorted(got, key=lambda r: r.constraint_name)] == [
+        ("fk0", 3, 1, False), ("fk1", 2, 1, False), ("fk2", None, None, False), ("fk3", None, None, False)]
+    assert declared_and_checked(spark, {}, spark.createDataFrame(rows, shape)).count() == 4

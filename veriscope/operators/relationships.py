@@ -93,6 +93,53 @@ def stem(column: str) -> str:
     return tail if tail and len(head) <= 2 else column
 
 
+class ColumnIndex:
+    """What the sets of columns say: distinct values per column, containments, and values that a column lacks."""
+
+    def __init__(self, tables: dict[str, DataFrame]):
+        self.columns = comparable_columns(tables)
+        self.place = {(c.table, c.column): i for i, c in enumerate(self.columns)}
+        self.values: list[int] = []
+        if not self.columns:
+            return
+        self.sets = column_sets(tables, self.columns)
+        self.filled = filled_counts(tables, self.columns)
+        words = [c for c in self.sets.columns if c != "n"]
+        # one row: values per column and the AND of the sets that hold it
+        everything = F.lit((1 << _WORD) - 1).cast("long")
+        size = range(len(self.columns))
+        self.sums = self.sets.agg(
+            *[F.sum(F.when(_has(i), F.col("n")).otherwise(0)).alias(f"n{i}") for i in size],
+            *[F.bit_and(F.when(_has(i), F.col(w)).otherwise(everything)).alias(f"{w}_{i}") for i in size for w in words],
+        ).first()
+        self.values = [self.sums[f"n{i}"] or 0 for i in size]
+
+    def keys(self) -> list[int]:
+        """Columns that hold every value once, and at least one."""
+        return [i for i, c in enumerate(self.columns) if self.values[i] and self.values[i] == self.filled[c]]
+
+    def within(self, i: int, j: int) -> bool:
+        """Whether column j holds all values of column i, which has some."""
+        return self.values[i] > 0 and bool(self.sums[f"w{j // _WORD}_{i}"] >> j % _WORD & 1)
+
+    def missing(self, pairs: set[tuple[int, int]]) -> dict[tuple[int, int], int]:
+        """How many distinct values of i are not in j, for each pair; one pass over the sets."""
+        out = dict.fromkeys(pairs, 0)
+        asked = sorted(p for p in pairs if not self.within(*p))
+        if asked:
+            lacks = self.sets.agg(
+                *[F.sum(F.when(_has(i) & ~_has(j), F.col("n")).otherwise(0)).alias(str(at)) for at, (i, j) in enumerate(asked)]
+            ).first()
+            out |= {pair: lacks[at] or 0 for at, pair in enumerate(asked)}
+        return out
+
+
+_SHAPE = (
+    "source_schema string, source_table string, source_column string, target_schema string, target_table string, target_column string, "
+    "relationship_type string, constraint_name string, by_name boolean, values long, missing long, contained boolean"
+)
+
+
 def relationships(
     spark: SparkSession, tables: dict[str, DataFrame], *, schema: str = "public", least: int = 1,
 ) -> DataFrame:
@@ -108,52 +155,52 @@ def relationships(
 
     A key column holds every value once; nulls are no values. A column without values is contained nowhere.
     """
-    columns = comparable_columns(tables)
-    shape = (
-        "source_schema string, source_table string, source_column string, target_schema string, target_table string, target_column string, "
-        "relationship_type string, constraint_name string, by_name boolean, values long, missing long, contained boolean"
-    )
-    if not columns:
-        return spark.createDataFrame([], shape)
-    sets = column_sets(tables, columns)
-    filled = filled_counts(tables, columns)
-    words = [c for c in sets.columns if c != "n"]
-    # one row: values per column and the AND of the sets that hold it
-    everything = F.lit((1 << _WORD) - 1).cast("long")
-    sums = sets.agg(
-        *[F.sum(F.when(_has(i), F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(columns))],
-        *[F.bit_and(F.when(_has(i), F.col(w)).otherwise(everything)).alias(f"{w}_{i}") for i in range(len(columns)) for w in words],
-    ).first()
-    values = [sums[f"n{i}"] or 0 for i in range(len(columns))]
-    place = {(c.table, c.column): i for i, c in enumerate(columns)}
-    keys = [i for i, c in enumerate(columns) if values[i] and values[i] == filled[c]]
-
-    def within(i: int, j: int) -> bool:
-        return values[i] > 0 and bool(sums[f"w{j // _WORD}_{i}"] >> j % _WORD & 1)
-
+    index = ColumnIndex(tables)
+    columns, keys = index.columns, index.keys() if index.columns else []
     # by name, with or without a target; then keys of other tables by stem or by values
     rows: list[tuple] = []
     for i, c in enumerate(columns):
         pointed = c.column[:-3] + "s" if c.column.endswith("_id") and c.column != "_id" else None
         if pointed:
-            rows.append((i, place.get((pointed, "_id")), pointed, "_id", True))
+            rows.append((i, index.place.get((pointed, "_id")), pointed, "_id", True))
         for j in keys:
             k = columns[j]
             if k.table == c.table or k.kind != c.kind or (k.table, k.column) == (pointed, "_id"):
                 continue
             named = stem(c.column) == stem(k.column)
-            if named or within(i, j) and values[i] >= least:
+            if named or index.within(i, j) and index.values[i] >= least:
                 rows.append((i, j, k.table, k.column, named))
-    asked = sorted({(i, j) for i, j, *_ in rows if j is not None and not within(i, j)})
-    missing = dict.fromkeys(((i, j) for i, j, *_ in rows if j is not None), 0)
-    if asked:
-        lacks = sets.agg(*[F.sum(F.when(_has(i) & ~_has(j), F.col("n")).otherwise(0)).alias(str(at)) for at, (i, j) in enumerate(asked)]).first()
-        missing |= {pair: lacks[at] or 0 for at, pair in enumerate(asked)}
+    missing = index.missing({(i, j) for i, j, *_ in rows if j is not None})
     return spark.createDataFrame(
         [
             (schema, columns[i].table, columns[i].column, schema, table, column, "inferred" if named else "contained", None, named,
-             values[i] if j is not None else None, missing.get((i, j)), j is not None and within(i, j))
+             index.values[i] if j is not None else None, missing.get((i, j)), j is not None and index.within(i, j))
             for i, j, table, column, named in rows
         ],
-        shape,
+        _SHAPE,
+    )
+
+
+def declared_and_checked(spark: SparkSession, tables: dict[str, DataFrame], constraints: DataFrame) -> DataFrame:
+    """Declared foreign keys of one column each, with what the data says of them: columns as in `relationships`.
+
+    `constraints` has the six names and constraint_name, a row per foreign key (metadata, held by the driver). `missing` counts distinct
+    values without a target; values and missing are null where a column is not there or the two cannot be compared.
+    """
+    index = ColumnIndex(tables)
+    rows = constraints.select("source_schema", "source_table", "source_column", "target_schema", "target_table", "target_column", "constraint_name").collect()
+    placed = []
+    for r in rows:
+        i, j = index.place.get((r.source_table, r.source_column)), index.place.get((r.target_table, r.target_column))
+        alike = i is not None and j is not None and index.columns[i].kind == index.columns[j].kind
+        placed.append((r, i if alike else None, j if alike else None))
+    missing = index.missing({(i, j) for _, i, j in placed if i is not None}) if index.columns else {}
+    return spark.createDataFrame(
+        [
+            (r.source_schema, r.source_table, r.source_column, r.target_schema, r.target_table, r.target_column, "foreign_key", r.constraint_name,
+             stem(r.source_column) == stem(r.target_column), index.values[i] if i is not None else None, missing.get((i, j)),
+             i is not None and missing[i, j] == 0)
+            for r, i, j in placed
+        ],
+        _SHAPE,
     )

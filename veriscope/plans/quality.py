@@ -10,7 +10,7 @@ from veriscope.functions import psi as P
 from veriscope.operators import catalog as C
 from veriscope.operators import quality as Q
 from veriscope.operators import reports as R
-from veriscope.operators.relationships import relationships
+from veriscope.operators.relationships import declared_and_checked, relationships
 from veriscope.operators.scoring import column_roles
 from veriscope.plans.registry import query
 from veriscope.sources.files import folder_tables, read_table, read_tables
@@ -260,15 +260,26 @@ def all_relationships(spark, d):
     return relationships(spark, read_tables(spark, d, folder_tables(spark, d)))
 
 
-@query("R4_declared_relationships", """
-SELECT 'public' AS source_schema, 'orders' AS source_table, 'o_custkey' AS source_column, 'public' AS target_schema, 'customer' AS target_table, 'c_custkey' AS target_column,
-  'foreign_key' AS relationship_type, 'fk_' || o_orderpriority AS constraint_name FROM orders GROUP BY o_orderpriority""")
+# foreign keys as a catalog would declare them; the last ones do not hold or name a column that is not there
+_FOREIGN_KEYS = (
+    ("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"),
+    ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"),
+    ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("labels", "doc_id", "documents", "doc_id"), ("events", "user_id", "customer", "c_custkey"),
+    ("documents", "doc_id", "labels", "doc_id"), ("pages", "host_id", "hosts", "host_id"),
+)
+
+
+@query("R4_declared_relationships", " UNION ALL ".join(
+    f"SELECT 'public' AS source_schema, '{t}' AS source_table, '{c}' AS source_column, 'public' AS target_schema, '{u}' AS target_table, '{k}' AS target_column, "
+    f"'foreign_key' AS relationship_type, 'fk_{t}_{c}' AS constraint_name, "
+    + (f"count(DISTINCT {c}) AS child_values, count(DISTINCT {c}) FILTER (WHERE {c} NOT IN (SELECT {k} FROM {u} WHERE {k} IS NOT NULL)) AS missing FROM {t}"
+       if u in COLUMNS else "NULL::BIGINT AS child_values, NULL::BIGINT AS missing") for t, c, u, k in _FOREIGN_KEYS))
 def declared(spark, d):
-    rows = read_table(spark, d, "orders").select("o_orderpriority").distinct().select(
-        F.lit("public").alias("source_schema"), F.lit("orders").alias("source_table"), F.lit("o_custkey").alias("source_column"),
-        F.lit("public").alias("target_schema"), F.lit("customer").alias("target_table"), F.lit("c_custkey").alias("target_column"),
-        F.concat(F.lit("fk_"), "o_orderpriority").alias("constraint_name"))
-    return C.declared_relationships(rows)
+    """Declared foreign keys, checked against every table of the folder."""
+    rows = [("public", t, c, "public", u, k, f"fk_{t}_{c}") for t, c, u, k in _FOREIGN_KEYS]
+    names = "source_schema string, source_table string, source_column string, target_schema string, target_table string, target_column string, constraint_name string"
+    checked = declared_and_checked(spark, _all_tables(spark, d), spark.createDataFrame(rows, names))
+    return checked.withColumnRenamed("values", "child_values").drop("by_name", "contained")
 
 
 def _versions(spark, d):
