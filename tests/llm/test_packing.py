@@ -101,7 +101,7 @@ GAPS = st.sampled_from([" ", " ", " ", "\n", "  ", " \n", "\n\n"])
 
 
 @pytest.mark.parametrize("name, words", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.tuples(PIECES, GAPS), max_size=8), min_size=1, max_size=6))
 def test_random_texts_give_the_ids_of_the_plain_tokenizer(name, words, texts):
     path = public_tokenizers.path(name)
