@@ -48,7 +48,7 @@ def percentiles(spark, rows, cells):
     df = spark.createDataFrame(rows, "k string, v double").repartition(4)
     counts = O.value_counts(df, ["k"], "v").persist()
     probabilities = [i / 10 for i in range(11)] + [0.123, 0.999]
-    out = O.percentiles_of_counts(counts, ["k"], "v", probabilities, cells=cells).collect()
+    out = O.percentiles_of_counts(counts, ["k"], "v", probabilities, cells=cells, ordered=cells).collect()
     assert {r.k for r in out} == {k for k, v in rows if v is not None}
     for r in out:
         values = [v for k, v in rows if k == r.k and v is not None]
@@ -82,7 +82,7 @@ def test_percentiles_with_values_that_are_no_numbers(spark):
     inf, nan = float("inf"), float("nan")
     rows = [("k", float(i)) for i in range(40)] + [("k", inf), ("k", -inf), ("k", nan)]
     df = spark.createDataFrame(rows, "k string, v double")
-    out = O.percentiles_of_counts(O.value_counts(df, ["k"], "v"), ["k"], "v", [0.0, 0.5, 41 / 42], cells=8).first()
+    out = O.percentiles_of_counts(O.value_counts(df, ["k"], "v"), ["k"], "v", [0.0, 0.5, 41 / 42], cells=8, ordered=8).first()
     assert out.sample_count == 43 and out.percentiles[:2] == [-inf, 20.0] and out.percentiles[2] == inf
 
 

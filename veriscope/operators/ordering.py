@@ -140,14 +140,15 @@ def percentiles_of_counts(
     value: str,
     probabilities: Sequence[float],
     cells: int = 4096,
+    ordered: int = 1 << 18,
 ) -> DataFrame:
     """As `exact_percentiles`, from materialised (keys, value, n) rows with distinct values.
 
     Ranks are found by refining histograms. Values of a range are counted in `cells` cells, combined before the shuffle;
     running counts over the cells tell which of them hold wanted ranks, and only their values go on, each
-    cell a range of its own. A range with at most `cells` distinct values is ordered. So no task ever orders or gathers
-    more than `cells` rows of a key, whatever the key's share of all rows is, and the way is the same at every size:
-    a range of d distinct values takes about log(d) / log(cells) rounds. Cells are equally wide and, in every
+    cell a range of its own. A range with at most `ordered` distinct values is ordered. So no task ever orders
+    more than `ordered` rows of a key, whatever the key's share of all rows is, and the way is the same at every size:
+    a range of d distinct values takes about log(d / ordered) / log(cells) rounds. Cells are equally wide and, in every
     second round, equally wide on a log scale, for values that differ by orders of magnitude.
     """
     keys = list(keys)
@@ -160,9 +161,9 @@ def percentiles_of_counts(
     totals = ranges.select(*keys, F.col("__total").alias("sample_count"))
     ranges, found, step = ranges.drop("__total"), None, 0
     while True:
-        part = _ranks_in_order(rows, ranges.filter(F.col("__distinct") <= cells), keys, value)
+        part = _ranks_in_order(rows, ranges.filter(F.col("__distinct") <= ordered), keys, value)
         found = part if found is None else found.unionByName(part)
-        wide = ranges.filter(F.col("__distinct") > cells)
+        wide = ranges.filter(F.col("__distinct") > ordered)
         if wide.isEmpty():
             break
         rows, ranges = _refined(rows, wide, keys, value, cells, step)
