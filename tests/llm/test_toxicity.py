@@ -75,3 +75,55 @@ def test_own_columns_named_like_scores_stay(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     chain = tx.train_chain(df, labels, tx.label_categories())
     assert [tuple(r) for r in tx.without_flagged(df, chain).collect()] == [(1, "a b", "mine", 7)]
+
+
+def _plain_fit(counts, dense, y):
+    """Minimum of the penalised log loss by Newton steps on dense matrices; returns a function of (counts, dense)."""
+    n, size = counts.shape
+    yes, no = counts[y == 1].sum(axis=0), counts[y == 0].sum(axis=0)
+    ratio = np.log((yes + 1) / (y.sum() + 2)) - np.log((no + 1) / (n - y.sum() + 2))
+    ratio = np.where(np.abs(ratio) < tx.MIN_LOG_RATIO, 0, ratio)
+    design = lambda c, d: np.column_stack([c * ratio, d, np.ones(len(c))])
+    x = design(counts, dense)
+    penalty = np.full(x.shape[1], tx.L2)
+    penalty[-1] = 0
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
+        w -= np.linalg.solve(hessian, x.T @ (p - y) + penalty * w)
+    return lambda c, d: 1 / (1 + np.exp(-np.clip(design(c, d) @ w, -tx.CLIP, tx.CLIP)))
+
+
+def test_chain_equals_a_plain_out_of_fold_chain():
+    rng = np.random.default_rng(11)
+    features, labels = [], []
+    for _ in range(400):
+        a, b = rng.random() < 0.4, rng.random() < 0.3
+        row = [int(x) for x in rng.integers(20, 40, size=6)]
+        row += [int(rng.integers(0, 4))] if a and rng.random() < 0.9 else []
+        row += [int(rng.integers(4, 8))] if b and rng.random() < 0.8 else []
+        features.append(np.sort(np.array(row, dtype=np.int32)))
+        labels.append((int(a), int(a and b)))
+    labels, folds = np.array(labels), np.arange(400) % tx.FOLDS
+    chain = tx.fit_chain(features, labels, folds, ("first", "second"))
+
+    counts = np.array([np.bincount(f, minlength=40) for f in features], dtype=float)
+    earlier, told = np.zeros((400, 0)), np.zeros((400, 0))
+    for j in range(2):
+        y = labels[:, j]
+        whole = _plain_fit(counts, earlier, y)
+        told = np.column_stack([told, whole(counts, told)])
+        held_out = np.zeros(400)
+        for fold in range(tx.FOLDS):
+            out = folds == fold
+            held_out[out] = _plain_fit(counts[~out], earlier[~out], y[~out])(counts[out], earlier[out])
+        earlier = np.column_stack([earlier, held_out])
+
+    got = np.zeros((400, 0))
+    weights = dict(zip(chain.features.tolist(), chain.weights.tolist(), strict=True))
+    for j in range(2):
+        z = np.array([sum(weights.get(int(f), (0, 0))[j] for f in row) for row in features]) + got @ chain.links[j, :j] + chain.biases[j]
+        got = np.column_stack([got, 1 / (1 + np.exp(-np.clip(z, -tx.CLIP, tx.CLIP)))])
+    assert np.abs(got - told).max() < 0.02 and np.abs(got - told).mean() < 0.004
+    assert ((got[:, 1] > 0.5) == labels[:, 1]).mean() > 0.85
