@@ -174,3 +174,20 @@ def test_stream_uses_the_baseline_of_the_moment(spark, tmp_path):
         write(batch, batch_id)  # a repeated batch replaces its rows
     got = {r.batch_id: r.drift_classification for r in spark.read.parquet(f"{out}/drift").collect()}
     assert got == {0: "normal", 1: "high"} and spark.read.parquet(f"{out}/drift").count() == 2
+
+
+def test_wide_rows_give_the_same_psi_as_long_values(spark):
+    rng = np.random.default_rng(8)
+    values = [("a", "m", float(v)) for v in rng.normal(size=200)] + [("a", "k2", float(v)) for v in rng.integers(0, 4, 60)]
+    values += [("b", "m", float(v)) for v in rng.normal(3, 2, 90)] + [("b", "row_id", float(v)) for v in range(50)]
+    baseline = R.psi_baseline(spark.createDataFrame(values, "agent_type string, column_name string, value double"))
+    some = lambda x: None if rng.random() < 0.2 else float(x)
+    rows = [(int(i % 7), "ab?"[i % 3], some(rng.normal(1)), some(rng.integers(-1, 6)), some(i), None) for i in range(400)]
+    rows += [(90, "a", None, None, None, None), (91, "a", float("nan"), 1e9, 1.0, None), (92, None, 1.0, 1.0, 1.0, 1.0)]
+    shape = "query_id long, agent_type string, M double, k2 double, row_id double, other double"
+    df = spark.createDataFrame(rows, shape)
+    columns = ["M", "k2", "row_id", "other"]
+    long = {tuple(r) for r in R.column_psi(R.to_long(df, ["query_id", "agent_type"], columns), baseline).collect()}
+    wide = {tuple(r) for r in R.column_psi_of_rows(df, columns, baseline).collect()}
+    assert wide == long and len(wide) > 20
+    assert R.column_psi_of_rows(df.limit(0), columns, baseline).count() == 0

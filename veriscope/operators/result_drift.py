@@ -115,6 +115,48 @@ def column_psi(values: DataFrame, baseline: DataFrame, max_buckets: int = K.PSI_
     return shared.select(*keys, psi.alias("psi"), "value_count")
 
 
+def column_psi_of_rows(
+    rows: DataFrame, columns: Sequence[str], baseline: DataFrame, max_buckets: int = K.PSI_BUCKETS
+) -> DataFrame:
+    """As `column_psi`, from wide rows (query_id, agent_type, columns): PSI of the columns that the agent's baseline knows.
+
+    A row meets its agent's edges once, whatever the number of columns, and adds to one counter per column and bucket,
+    combined before the shuffle; values are never turned into rows of their own. Null values count nowhere.
+    """
+    keys = ["query_id", "agent_type"]
+    names = [c.lower() for c in columns]
+    known = baseline.filter(P.is_metric_column(F.col("column_name")) & F.col("column_name").isin(names))
+    of = lambda i, field: F.first(F.when(F.col("column_name") == names[i], F.col(field)), ignorenulls=True)
+    size = range(len(names))
+    agents = measured(known.groupBy("agent_type").agg(
+        *[of(i, "bucket_edges").alias(f"e{i}") for i in size], *[of(i, "expected_pct").alias(f"x{i}") for i in size]
+    ))
+    met = rows.select(*keys, *[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(columns)]).join(
+        agents.select("agent_type", *[f"e{i}" for i in size]), ["agent_type"]
+    )
+    bucket = lambda i: P.bucket_of(F.col(f"v{i}"), F.col(f"e{i}"), max_buckets)
+    placed = met.select(*keys, *[
+        F.when(F.col(f"v{i}").isNotNull() & F.col(f"e{i}").isNotNull(), bucket(i)).alias(f"b{i}") for i in size
+    ])
+    counted = placed.groupBy(*keys).agg(
+        *[F.count(f"b{i}").alias(f"n{i}") for i in size],
+        *[F.count_if(F.col(f"b{i}") == b).alias(f"c{i}_{b}") for i in size for b in range(max_buckets)],
+    ).join(agents, ["agent_type"])
+    places = F.array(*[F.lit(b) for b in range(max_buckets)])
+    cells = F.array(*[
+        F.struct(
+            F.lit(names[i]).alias("column_name"), F.col(f"n{i}").alias("value_count"), F.col(f"x{i}").alias("expected_pct"),
+            F.map_from_arrays(places, F.array(*[F.col(f"c{i}_{b}") for b in range(max_buckets)])).alias("found"),
+            sum((F.col(f"c{i}_{b}") for b in range(max_buckets)), F.lit(0)).alias("in_range"),
+        )
+        for i in size
+    ])
+    shared = counted.select(*keys, F.inline(cells)).filter("value_count > 0").withColumn("buckets", F.size("expected_pct"))
+    shared = shared.withColumn("share", P.shares(F.col("found"), F.col("in_range"), F.col("buckets")))
+    psi = F.round(P.stability_index(F.col("expected_pct"), F.col("share")), K.PSI_DIGITS)
+    return shared.select(*keys, "column_name", psi.alias("psi"), "value_count")
+
+
 def overall_psi(by_column: DataFrame) -> DataFrame:
     """One row per query: highest column PSI, class, anomaly flag."""
     scored = by_column.groupBy("query_id", "agent_type").agg(
@@ -133,14 +175,14 @@ def overall_psi(by_column: DataFrame) -> DataFrame:
     )
 
 
-def score_result_drift(queries: DataFrame, values: DataFrame, baseline: DataFrame) -> DataFrame:
+def score_result_drift(queries: DataFrame, values: DataFrame | None, baseline: DataFrame, by_column: DataFrame | None = None) -> DataFrame:
     """Every query with its PSI or the reason for skipping it.
 
     `queries` has (query_id, agent_type, row_count, is_aggregate). Skip states,
     in order: aggregate_query, empty_result, no_baseline, no_numeric_data; they
-    score 0 and are not stored.
+    score 0 and are not stored. The PSI per column comes from long `values`, or is given as `by_column`.
     """
-    scored = overall_psi(column_psi(values, baseline))
+    scored = overall_psi(column_psi(values, baseline) if by_column is None else by_column)
     known = baseline.select("agent_type").distinct().withColumn("__known", F.lit(True))
     joined = lookup_join(queries, known, ["agent_type"]).join(
         scored, ["query_id", "agent_type"], "left"

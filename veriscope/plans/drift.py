@@ -69,13 +69,19 @@ def supplier_values(spark, d):
     return P.to_long(table, ["query_id", "agent_type"], _METRICS)
 
 
+def supplier_psi(spark, d):
+    """PSI of the metric columns of every supplier's line items."""
+    rows = spread(read_table(spark, d, "lineitem")).select(F.col("l_suppkey").alias("query_id"), F.lit("lineitem").alias("agent_type"), *_METRICS)
+    return P.column_psi_of_rows(rows, _METRICS, lineitem_baseline(spark, d))
+
+
 @query("P4_result_drift_by_supplier", f"""
 WITH {_BASE_SQL}, {_column_psi_sql('query_id')}
 SELECT k AS query_id, max(psi) AS overall_psi, count(*)::INTEGER AS columns_analyzed,
        {_CLASS_SQL.format(p='max(psi)')} AS drift_classification, max(psi) >= 0.2 AS is_anomaly
 FROM column_psi GROUP BY k""")
 def result_drift_by_supplier(spark, d):
-    scored = P.overall_psi(P.column_psi(supplier_values(spark, d), lineitem_baseline(spark, d)))
+    scored = P.overall_psi(supplier_psi(spark, d))
     return scored.select(
         "query_id", "overall_psi", "columns_analyzed", "drift_classification", "is_anomaly"
     )
@@ -88,8 +94,7 @@ def column_psi_by_year(spark, d):
     table = spread(read_table(spark, d, "lineitem")).select(
         F.year("l_shipdate").cast("long").alias("query_id"), F.lit("lineitem").alias("agent_type"), *_METRICS
     )
-    values = P.to_long(table, ["query_id", "agent_type"], _METRICS)
-    return P.column_psi(values, lineitem_baseline(spark, d)).select("query_id", "column_name", "psi")
+    return P.column_psi_of_rows(table, _METRICS, lineitem_baseline(spark, d)).select("query_id", "column_name", "psi")
 
 
 @query("P1_result_baseline_buckets", f"""
@@ -129,7 +134,7 @@ SELECT {_CLASS_SQL.format(p='psi')} AS drift_classification, count(*) AS n, roun
        count(*) FILTER (WHERE psi >= 0.2) AS anomalies
 FROM overall GROUP BY 1""")
 def result_drift_classes(spark, d):
-    scored = P.overall_psi(P.column_psi(supplier_values(spark, d), lineitem_baseline(spark, d)))
+    scored = P.overall_psi(supplier_psi(spark, d))
     return scored.groupBy("drift_classification").agg(
         F.count("*").alias("n"), F.round(F.avg("overall_psi"), 8).alias("avg_psi"),
         F.count_if("is_anomaly").alias("anomalies"),
@@ -160,7 +165,7 @@ def result_drift_skips(spark, d):
         (F.col("s_nationkey") < 3).alias("is_aggregate"),
         F.when(F.col("s_nationkey") > 22, 0).otherwise(F.coalesce("n", F.lit(0))).alias("row_count"),
     )
-    scored = P.score_result_drift(asked, supplier_values(spark, d), lineitem_baseline(spark, d))
+    scored = P.score_result_drift(asked, None, lineitem_baseline(spark, d), supplier_psi(spark, d))
     return scored.select("query_id", "drift_classification", "overall_psi", "stored", "is_anomaly")
 
 
