@@ -128,3 +128,20 @@ def test_a_replayed_batch_of_assessments_changes_nothing(spark, folder):
     write(events.limit(0), 3)
     assert table.versions() == [0, 1, 2, 3] and table.read().count() == len(before)
     events.unpersist()
+
+
+@pytest.mark.parametrize("parts", [0, 1, 3])
+def test_a_streamed_table_may_be_a_file_or_a_folder(spark, tmp_path, parts):
+    """0 parts: a single file beside another table; else a folder of part files."""
+    folder = tmp_path / "in"
+    frame = spark.createDataFrame([(i, "view") for i in range(6)], "event_id long, event_type string")
+    if parts:
+        frame.repartition(parts).write.parquet(f"{folder}/events.parquet")
+    else:
+        frame.coalesce(1).write.parquet(f"{tmp_path}/one")
+        folder.mkdir()
+        next((tmp_path / "one").glob("part-*.parquet")).rename(folder / "events.parquet")
+    spark.range(3).write.parquet(f"{folder}/other.parquet")
+    out = f"{tmp_path}/out"
+    run_to_end(read_events(spark, str(folder)), out)
+    assert sorted(r.event_id for r in spark.read.parquet(f"{out}/rows").collect()) == [*range(6)]

@@ -17,7 +17,7 @@ from veriscope.plans.drift import embedding_baselines
 from veriscope.plans.registry import query
 from veriscope.plans.standin import with_tables
 from veriscope.session import written
-from veriscope.sources.files import folder_tables, read_table, read_tables
+from veriscope.sources.files import folder_tables, read_table, read_tables, stream_files
 from veriscope.sources.snapshots import SnapshotTable, upsert_batches
 from veriscope.streaming import telemetry as M
 from veriscope.streaming.lateness import through_gate
@@ -58,7 +58,7 @@ def scored(spark, d):
         F.when(failed, "error").otherwise("success").alias("status"))
     run_to_end(stream, path, write=M.scoring_batch(path, measures, dimensions))
     vectors = (
-        spark.readStream.schema(read_table(spark, d, "embeddings").schema).option("pathGlobFilter", "embeddings.parquet").parquet(d)
+        stream_files(spark, d, "embeddings.parquet", read_table(spark, d, "embeddings").schema)
         .select(F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("agent_type"), "embedding",
                 F.lit("success").alias("status"), F.lit("q").alias("query_text"), F.lit("SELECT 1").alias("generated_sql"),
                 F.lit(None).cast("string").alias("error"), F.lit(None).cast("timestamp_ntz").alias("created_at"))

@@ -26,6 +26,15 @@ def read_tables(spark: SparkSession, folder: str, names) -> dict[str, DataFrame]
     return {name: read_table(spark, folder, name) for name in names}
 
 
+def stream_files(spark: SparkSession, folder: str, pattern: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """Files of a folder as a stream; a folder that the pattern matches counts with all its part files."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    # in braces a plain name is a pattern too: a stream takes single files by pattern only
+    return reader.parquet(f"{folder}/{{{pattern}}}")
+
+
 def folder_tables(spark: SparkSession, folder: str) -> list[str]:
     """Names of all Parquet tables of a folder, whatever file system holds it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -12,19 +12,14 @@ from veriscope import schemas as S
 from veriscope.operators.drift import score_drift
 from veriscope.operators.errors import classify_errors
 from veriscope.operators.scoring import text_scores
-from veriscope.sources.files import spread
+from veriscope.sources.files import spread, stream_files
 from veriscope.sources.stores import register_telemetry
 
 
 def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet",
                 files_per_batch: int = 100) -> DataFrame:
     """Event files of a folder as a stream."""
-    return (
-        spark.readStream.schema(S.EVENTS)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
-    )
+    return stream_files(spark, folder, pattern, S.EVENTS, files_per_batch)
 
 
 def ingest(events: DataFrame, agents: DataFrame) -> DataFrame:
