@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriscope.operators.lookup import lookup_join
+from veriscope.operators.lookup import lookup_join, measured
 from veriscope.operators.ordering import first_per_key
 from veriscope.sources.files import POSITION
 
@@ -30,16 +30,16 @@ def first_wins(rows: DataFrame, key: str, columns: Sequence[str], order: str = P
 
 def load_spend(rows: DataFrame) -> dict[str, DataFrame]:
     """customers, products and orders of the spend file."""
-    customers = dimension(
+    customers = measured(dimension(
         rows, "customer_name", ["segment", "state", "country", "market", "region"], "customer_id"
-    )
+    ))
     products = first_wins(rows, "product_id", ["product_name", "category", "sub_category"])
     facts = first_wins(
         rows, "order_id",
         ["order_date", "ship_date", "ship_mode", "customer_name", "product_id", "sales", "quantity",
          "discount", "profit", "shipping_cost", "order_priority", "year"],
     )
-    orders = lookup_join(facts, customers.select("customer_name", "customer_id"), ["customer_name"], "inner")
+    orders = facts.join(customers.select("customer_name", "customer_id"), ["customer_name"])
     return {"customers": customers, "products": products, "orders": orders.drop("customer_name")}
 
 
