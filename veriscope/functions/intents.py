@@ -64,6 +64,19 @@ PHRASES = (
     (r"\b(top|first)\s+\d+", "limiting"),
 )
 
+# fixed values: texts of which one is in whatever the patterns above match; a substring test is far cheaper than they are
+COMPARISON_MARKS = ("<", ">", "=", "greater", "less", "equal", "above", "below", "between")
+TEXT_SEARCH_MARKS = ("have", "contain", "name", "called", "case", "matching", "start", "end", "include")
+PHRASE_MARKS = {
+    "filtering": COMPARISON_MARKS,
+    "summation": ("total", "sum", "overall", "count", "number of", "how many"),
+    "aggregation": ("average", "mean", "avg"),
+    "grouping": ("per", "by", "for each", "breakdown", "break down"),
+    "maximization": ("top", "highest", "maximum", "best"),
+    "minimization": ("lowest", "minimum", "bottom", "worst"),
+    "limiting": ("top", "first"),
+}
+
 INTENTS = (
     "filtering", "summation", "aggregation", "grouping", "maximization", "minimization",
     "limiting", "sorting",
@@ -92,16 +105,16 @@ def requested(question: Column, measures: Sequence[str], dimensions: Sequence[st
         )
         by_intent.setdefault(intent, []).append(filled)
     for intent, patterns in by_intent.items():
-        hits[intent].append(q.rlike(X.any_of(patterns)))
+        hits[intent].append(X.contains_any(q, PHRASE_MARKS[intent]) & q.rlike(X.any_of(patterns)))
 
-    compares = q.rlike(X.any_of(COMPARISON_PATTERNS))
-    hits["filtering"] += [compares, q.rlike(X.any_of(TEXT_SEARCH_PATTERNS))]
+    compares = X.contains_any(q, COMPARISON_MARKS) & q.rlike(X.any_of(COMPARISON_PATTERNS))
+    hits["filtering"] += [compares, X.contains_any(q, TEXT_SEARCH_MARKS) & q.rlike(X.any_of(TEXT_SEARCH_PATTERNS))]
 
     hits["grouping"].append(X.contains_any(q, GROUP_PHRASES))
     if measures and dimensions:
         m, d = ("|".join(re.escape(n) for n in names) for names in (measures, dimensions))
         hits["grouping"].append(
-            q.rlike(X.UNICODE + rf"(?:^|\s)(?:{m})\s+(?:per|by)\s+(?:{d})(?:\s|$)")
+            X.contains_any(q, ("per", "by")) & q.rlike(X.UNICODE + rf"(?:^|\s)(?:{m})\s+(?:per|by)\s+(?:{d})(?:\s|$)")
         )
 
     near = F.lit(False)
@@ -116,11 +129,12 @@ def requested(question: Column, measures: Sequence[str], dimensions: Sequence[st
     earlier = F.lit(False)
     for words, intent in groups:
         said = X.contains_any(q, words)
-        hits[intent].append(aggregates & said & ~earlier)
+        # the cheap tests come first: the other one is evaluated anew for every intent
+        hits[intent].append(said & ~earlier & aggregates)
         earlier = earlier | said
 
     hits["sorting"].append(X.contains_any(q, SORT_WORDS))
-    hits["limiting"].append(q.rlike(X.UNICODE + r"\b(top|first|limit)\s+\d+"))
+    hits["limiting"].append(X.contains_any(q, ("top", "first", "limit")) & q.rlike(X.UNICODE + r"\b(top|first|limit)\s+\d+"))
 
     flags = {}
     for intent, columns in hits.items():

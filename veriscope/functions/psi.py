@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from veriscope import constants as K
 
 
-def bucket_of(value: Column, edges: Column, max_buckets: int = K.PSI_BUCKETS) -> Column:
+def bucket_of(value: Column, edges: Column, max_buckets: int = K.PSI_BUCKETS, several: bool = False) -> Column:
     """Index of the bucket [e_i, e_i+1) holding a value, the last one closed; -1 outside.
 
     Plain comparisons per edge stay inside generated code, unlike a lambda over
-    the edge array. An array of more than `max_buckets` buckets is an error: give its length then.
+    the edge array. Say `several` when one projection places several columns: their comparisons together make a method that is
+    too long to be compiled, so a lambda counts the edges then.
+    An array of more than `max_buckets` buckets is an error: give its length then.
     """
     last = F.size(edges) - 1
-    passed = F.lit(0)
-    for i in range(max_buckets + 1):
-        passed = passed + F.when(value >= F.get(edges, F.lit(i)), 1).otherwise(0)
+    if several:
+        passed = F.size(F.filter(edges, lambda e: value >= e))
+    else:
+        passed = F.lit(0)
+        for i in range(max_buckets + 1):
+            passed = passed + F.when(value >= F.get(edges, F.lit(i)), 1).otherwise(0)
     outside = (value < F.get(edges, F.lit(0))) | (value > F.get(edges, last))
     too_long = F.raise_error(F.lit(f"a bucket edge array has more than {max_buckets} buckets")).cast("int")
     return F.when(last > max_buckets, too_long).when(outside, -1).otherwise(F.least(passed - 1, last - 1))

@@ -100,29 +100,42 @@ def overlap(a: Column, b: Column) -> Column:
     )
 
 
+def _without_prefixes(where: Column) -> Column:
+    return F.regexp_replace(where, X.UNICODE + r"\b\w+\.(\w+)", "$1")
+
+
 def where_pairs(where: Column) -> Column:
     """Distinct `column operator` texts of a condition, whatever its literals."""
+    return _pairs(_without_prefixes(where))
+
+
+def _pairs(w: Column) -> Column:
+    """As `where_pairs`, from a condition without prefixes. Give a column, as it is read by every rule."""
     # fixed values: how each operator is recognised
-    w = F.regexp_replace(where, X.UNICODE + r"\b\w+\.(\w+)", "$1")
     comparison = X.UNICODE + r"""(\w+)\s*(>=|<=|<>|!=|>|<|=)\s*[\d'"]"""
 
-    def named(pattern: str, operator: str) -> Column:
-        found = F.regexp_extract_all(w, F.lit(X.UNICODE + pattern), F.lit(1))
+    def all_of(pattern: str, group: int, *marks: str) -> Column:
+        """Every match; a condition with none of the texts that each match holds is not searched."""
+        found = F.regexp_extract_all(w, F.lit(pattern), F.lit(group))
+        return F.when(~X.contains_any(w, marks), _no_items()).otherwise(found)
+
+    def named(pattern: str, operator: str, mark: str) -> Column:
+        found = all_of(X.UNICODE + pattern, 1, mark)
         return F.transform(found, lambda v: F.concat(v, F.lit(" " + operator)))
 
     compared = F.zip_with(
-        F.regexp_extract_all(w, F.lit(comparison), F.lit(1)),
-        F.regexp_extract_all(w, F.lit(comparison), F.lit(2)),
+        all_of(comparison, 1, "<", ">", "="),
+        all_of(comparison, 2, "<", ">", "="),
         lambda column, operator: F.concat_ws(" ", column, operator),
     )
     listed = F.concat(
-        named(r"(\w+)\s+between\b", "between"),
+        named(r"(\w+)\s+between\b", "between", "between"),
         compared,
-        named(r"(\w+)\s+like\b", "like"),
-        named(r"(\w+)\s+in\s*\(", "in"),
+        named(r"(\w+)\s+like\b", "like", "like"),
+        named(r"(\w+)\s+in\s*\(", "in", "in"),
     )
     wanted = F.filter(listed, lambda p: ~F.substring_index(p, " ", 1).isin(*K.WHERE_SKIP_WORDS))
-    nulls = named(r"(\w+)\s+is\s+(?:not\s+)?null", "is_null")
+    nulls = named(r"(\w+)\s+is\s+(?:not\s+)?null", "is_null", "null")
     return F.array_distinct(F.concat(wanted, nulls))
 
 
@@ -132,7 +145,7 @@ def with_where_similarity(df: DataFrame, left: str, right: str, out: str) -> Dat
     Each step is a projection of its own, so that the pairs are extracted once
     and then read by all rules.
     """
-    lw, rw, lp, rp, lc, rc = (f"__{out}_{n}" for n in ("lw", "rw", "lp", "rp", "lc", "rc"))
+    lw, rw, lq, rq, lp, rp, lc, rc = (f"__{out}_{n}" for n in ("lw", "rw", "lq", "rq", "lp", "rp", "lc", "rc"))
 
     def first(name: str) -> Column:
         return F.lower(X.strip(F.get(F.col(name), F.lit(0))))
@@ -142,7 +155,8 @@ def with_where_similarity(df: DataFrame, left: str, right: str, out: str) -> Dat
 
     staged = (
         df.withColumns({lw: first(left), rw: first(right)})
-        .withColumns({lp: where_pairs(F.col(lw)), rp: where_pairs(F.col(rw))})
+        .withColumns({lq: _without_prefixes(F.col(lw)), rq: _without_prefixes(F.col(rw))})
+        .withColumns({lp: _pairs(F.col(lq)), rp: _pairs(F.col(rq))})
         .withColumns({lc: columns(lp), rc: columns(rp)})
     )
     n_left, n_right = F.size(left), F.size(right)
@@ -159,7 +173,7 @@ def with_where_similarity(df: DataFrame, left: str, right: str, out: str) -> Dat
         .when((shared == p_left) & (shared == p_right), 0.7)
         .otherwise(F.least(F.lit(0.65), jaccard * 0.6 + by_column * 0.35))
     )
-    return staged.withColumn(out, score).drop(lw, rw, lp, rp, lc, rc)
+    return staged.withColumn(out, score).drop(lw, rw, lq, rq, lp, rp, lc, rc)
 
 
 def sql_similarity(

@@ -134,7 +134,7 @@ def column_psi_of_rows(
     met = rows.select(*keys, *[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(columns)]).join(
         agents.select("agent_type", *[f"e{i}" for i in size]), ["agent_type"]
     )
-    bucket = lambda i: P.bucket_of(F.col(f"v{i}"), F.col(f"e{i}"), max_buckets)
+    bucket = lambda i: P.bucket_of(F.col(f"v{i}"), F.col(f"e{i}"), max_buckets, several=True)
     placed = met.select(*keys, *[
         F.when(F.col(f"v{i}").isNotNull() & F.col(f"e{i}").isNotNull(), bucket(i)).alias(f"b{i}") for i in size
     ])
