@@ -12,7 +12,7 @@ from veriscope.functions import text as X
 from veriscope.operators import drift as D
 from veriscope.operators import scoring as G
 from veriscope.operators.errors import classify_errors
-from veriscope.operators.result_drift import score_result_drift
+from veriscope.operators.result_drift import column_psi, column_psi_of_rows, score_result_drift
 
 ASSESSED = (
     "query_id long, agent_type string, created_at timestamp_ntz, drift_score double, drift_state string, "
@@ -23,15 +23,15 @@ ASSESSED = (
 
 def assess(
     events: DataFrame, *, catalog: DataFrame, measures: Sequence[str], dimensions: Sequence[str], baselines: DataFrame,
-    results: DataFrame, result_baseline: DataFrame,
+    results: DataFrame, result_baseline: DataFrame, result_columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """One row per event (columns of ASSESSED), whatever its status; a query_id occurs once in `events`.
 
     - drift: every event that is no error, against its agent's centroid; skip states are named, errors have none.
     - evaluation: successful events with SQL; what was found wrong before the score is in `eval_path`. The drift
       enters as the quality that can veto a score, 0.5 if there is none.
-    - result drift: PSI of `results` (query_id, column_name, value) for evaluated events that are no
-      replies without data; aggregate queries and the other skip states are named.
+    - result drift: PSI of `results` (query_id, column_name, value), or of wide rows with `result_columns`, for evaluated events
+      that are no replies without data; aggregate queries and the other skip states are named.
     - error class: the agent's message, or the engine's for a statement whose failure is worth classifying.
 
     `events` needs query_id, agent_type, created_at, status, query_text, generated_sql, error, embedding, ground_truth_sql,
@@ -58,10 +58,18 @@ def assess(
     checked = live.filter(~X.is_non_data_reply(c("generated_sql"))).select(
         "query_id", "agent_type", X.is_aggregate_query(c("cleaned_sql")).alias("is_aggregate")
     )
-    mine = results.join(checked, ["query_id"])
-    sizes = mine.groupBy("query_id").agg(F.count("*").alias("row_count"))
-    mine = mine.filter(~c("is_aggregate")).select("query_id", "agent_type", "column_name", "value")
-    psi = score_result_drift(checked.join(sizes, ["query_id"], "left"), mine, result_baseline).select(
+    # results are counted before they meet the events; whole rows do so once
+    if result_columns is None:
+        has_value = F.lit(True)
+    else:
+        has_value = F.coalesce(*[c(x) for x in result_columns]).isNotNull()
+    sizes = results.filter(has_value).groupBy("query_id").agg(F.count("*").alias("row_count"))
+    mine = results.join(checked.filter(~c("is_aggregate")).select("query_id", "agent_type"), ["query_id"])
+    if result_columns is None:
+        by_column = column_psi(mine.select("query_id", "agent_type", "column_name", "value"), result_baseline)
+    else:
+        by_column = column_psi_of_rows(mine, result_columns, result_baseline)
+    psi = score_result_drift(checked.join(sizes, ["query_id"], "left"), None, result_baseline, by_column).select(
         "query_id", F.when(c("stored"), c("overall_psi")).alias("psi"), c("drift_classification").alias("psi_state")
     )
 

@@ -8,7 +8,6 @@ from veriscope import constants as K
 from veriscope.operators import catalog as C
 from veriscope.operators.assessment import ASSESSED, assess
 from veriscope.operators.drift import centroids, drift_class
-from veriscope.operators.result_drift import to_long
 from veriscope.plans import drift as D
 from veriscope.plans import scoring as E
 from veriscope.plans import standin as T
@@ -133,7 +132,7 @@ def assessed_events(spark, d):
     fixed = {
         "catalog": C.catalog_rows(spark, tables), "measures": measures, "dimensions": dimensions,
         "baselines": written(centroids(events.join(vectors, ["query_id"]))),
-        "results": to_long(tables["lineitem"].select(F.col("l_orderkey").alias("query_id"), *D._METRICS), ["query_id"], D._METRICS),
+        "results": tables["lineitem"].select(F.col("l_orderkey").alias("query_id"), *D._METRICS), "result_columns": D._METRICS,
         "result_baseline": written(D.lineitem_baseline(spark, d).withColumn("agent_type", agents)),
     }
 
