@@ -23,3 +23,12 @@ def test_customers_are_aggregated_from_the_file_once(spark, folder):
     for df, scans in ((loaded["customers"], 0), (loaded["orders"], 1)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count(" csv") == scans, plan
+
+
+def test_days_are_shuffled_as_dates(spark, folder, monkeypatch):
+    written = []
+    monkeypatch.setattr(plans, "_written", lambda df, *_: written.append(df))
+    plans._spend_file(spark, folder)
+    plan = written[0]._jdf.queryExecution().optimizedPlan().toString()
+    below = plan.split("Sort [", 1)[1]
+    assert "cast(l_shipdate" in below and "cast(o_orderdate" in below, plan

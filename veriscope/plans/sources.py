@@ -30,6 +30,8 @@ def _spend_file(spark, d) -> str:
     """Line items with their orders as a wide text file: thousands commas, two date layouts."""
     li, o = read_table(spark, d, "lineitem"), read_table(spark, d, "orders")
     c, p = read_table(spark, d, "customer"), read_table(spark, d, "part")
+    # the file holds days: times would be the widest values of the shuffled rows
+    li, o = (t.withColumn(day, F.col(day).cast("date")) for t, day in ((li, "l_shipdate"), (o, "o_orderdate")))
     # line items are shuffled for two joins, not three: customers are joined to the orders before
     sold = li.join(p, li["l_partkey"] == p["p_partkey"])
     wide = sold.join(o.join(c, o["o_custkey"] == c["c_custkey"]), li["l_orderkey"] == o["o_orderkey"])
