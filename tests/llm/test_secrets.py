@@ -1,3 +1,6 @@
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from llm.brute import base_digest, base_secrets, rows
@@ -93,3 +96,47 @@ def test_ownership_of_the_query_equals_brute_force(spark, small):
                 wide += kind >= 3
         row = got[doc_id]
         assert (row.spans, row.live_spans, row.ownership) == (",".join(told), ",".join(live), ",".join(counts))
+
+
+def test_workers_get_few_texts_at_once(spark, monkeypatch):
+    seen, most = spark.sparkContext.accumulator(0), sec.FEW_ROWS
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting, None)
+
+    def sized(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in frames:
+            assert len(texts) <= most, len(texts)
+            seen.add(len(texts))
+            yield texts.map(lambda _: [])
+
+    monkeypatch.setattr(sec, "_scanned", sized)
+    df = spark.range(0, 2 * most + 1, 1, 1).selectExpr("id AS doc_id", "'x' AS text", "'s' AS source")
+    assert sec.find_secrets(df).count() == seen.value == 2 * most + 1
+    assert spark.conf.get(setting, None) == before
+
+
+def test_a_smaller_batch_of_the_session_stays(spark):
+    from veriscope.llm.shared import arrow_batches
+
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting, None)
+    for own, inside in (("7", "7"), ("10000", "1000"), ("0", "1000")):
+        spark.conf.set(setting, own)
+        with arrow_batches(spark, 1000):
+            assert spark.conf.get(setting) == inside
+        assert spark.conf.get(setting) == own
+    spark.conf.unset(setting)
+    if before is not None:
+        spark.conf.set(setting, before)
+
+
+def test_texts_without_a_range_are_not_sent_to_workers(spark):
+    df = spark.createDataFrame(
+        [(1, "ab token cd", [(3, 8)]), (2, "plain", []), (3, "bare", None), (4, None, [(0, 1)])],
+        "i int, text string, ranges array<struct<from:int,to:int>>",
+    )
+    out = df.select("i", sec.redact(F.col("text"), F.col("ranges")).alias("t"))
+    assert {r.i: r.t for r in out.collect()} == {1: "ab <SECRET> cd", 2: "plain", 3: "bare", 4: None}
+    sent = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "ArrowEvalPython" in x]
+    assert sent and "CASE WHEN" in out._jdf.queryExecution().optimizedPlan().toString().split("ArrowEvalPython", 1)[1]
+    assert "run(text#" not in sent[0]

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from veriscope.llm.components import components
 from veriscope.llm.registry import query
-from veriscope.llm.shared import LOWER, UPPER, shipped, staged, table
+from veriscope.llm.shared import FEW_ROWS, LOWER, UPPER, shipped, staged, table
 
 SLOTS, BANDS, ROWS = 337, 56, 6
 PIVOTS = 4
@@ -173,7 +173,7 @@ def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
                 x = np.frombuffer(x, np.int64)
                 yield pd.DataFrame({"id": i, "n": len(x), "shingle": x})
 
-    rows = staged(sets.mapInPandas(exploded, "id long, n long, shingle long"), "shingles")
+    rows = staged(sets.mapInPandas(exploded, "id long, n long, shingle long"), "shingles", FEW_ROWS)
     held = rows.groupBy("shingle").agg(F.count("*").alias("holders"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("holders", "shingle"))
     least = F.ceil(F.col("n") * F.lit(percent) / 100)
@@ -212,7 +212,7 @@ def near_duplicates(
             documents.select(F.col(key).alias("key"), *held, F.lit(0).cast("long").alias("n_shingles"),
                              F.lit(None).cast("binary").alias("node"), F.lit(None).cast("array<long>").alias("bands")).schema,
         ),
-        "described",
+        "described", FEW_ROWS,
     )
     nodes = staged(
         rows.filter("n_shingles > 0").groupBy("node")
@@ -251,10 +251,10 @@ def near_duplicates(
 
     made = sources.mapInPandas(shingled, "s_node binary, shingles binary")
     sets = staged(
-        wanted.join(made, F.col("w_node") == F.col("s_node")).groupBy("id").agg(F.first("shingles").alias("shingles")), "sets"
+        wanted.join(made, F.col("w_node") == F.col("s_node")).groupBy("id").agg(F.first("shingles").alias("shingles")), "sets", FEW_ROWS,
     )
 
-    links = staged(_compared(first_pairs, sets, percent), "links")
+    links = staged(_compared(first_pairs, sets, percent), "links", FEW_ROWS)
     roots = staged(components(staged(_thinned(links), "edges")), "roots")
     placed = staged(
         members.select("band", "id", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "placed"
@@ -273,7 +273,7 @@ def near_duplicates(
         prefix.join(other, F.col("shingle") == F.col("o_shingle")).filter((F.col("root") != F.col("o_root")) & enough)
         .select(*_pair("id", "o_id")).distinct().join(first_pairs, ["a", "b"], "left_anti")
     )
-    more = staged(_compared(staged(rest, "pairs"), sets, percent), "links")
+    more = staged(_compared(staged(rest, "pairs"), sets, percent), "links", FEW_ROWS)
     named = nodes.select("id", "node", "least_key").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     if not more.isEmpty():
         # links between components: only their roots are joined anew

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriscope.llm.registry import query
-from veriscope.llm.shared import shipped, staged, table
+from veriscope.llm.shared import FEW_ROWS, shipped, staged, table
 
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE
@@ -123,7 +123,7 @@ def find_secrets(
             *keep, F.col(owner).alias("__owner"), repo.alias("__repo"),
             F.pandas_udf(_scanned, _SPANS)(F.col(text)).alias("__spans"),
         ).withColumn("__row", F.monotonically_increasing_id()),
-        "spans",
+        "spans", FEW_ROWS,
     )
     found = rows.filter(F.size("__spans") > 0).select("__row", "__owner", "__repo", F.explode("__spans").alias("s"))
     counted = (
@@ -163,7 +163,10 @@ def live_ranges(spans: Column) -> Column:
 
 
 def redact(text: Column, ranges: Column, mark: str = "<SECRET>") -> Column:
-    """`text` with every range (from, to) replaced by `mark`; overlapping ranges become one."""
+    """`text` with every range (from, to) replaced by `mark`; overlapping ranges become one.
+
+    Only texts with a range are sent to the Python workers.
+    """
 
     def run(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, spans in frames:
@@ -180,7 +183,8 @@ def redact(text: Column, ranges: Column, mark: str = "<SECRET>") -> Column:
                 out.append("".join([*parts, t[at:]]))
             yield pd.Series(out, dtype=object)
 
-    return F.pandas_udf(run, "string")(text, ranges)
+    held = ranges.isNotNull() & (F.size(ranges) > 0)
+    return F.when(held, F.pandas_udf(run, "string")(F.when(held, text), ranges)).otherwise(text)
 
 
 @query("op10_secret_ownership")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from veriscope.session import shared_dir, ship_package
 
 #: A word: a run without blanks (space, tab, line feed, vertical tab, form feed, carriage return).
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows that Python workers get at once where a row holds a whole text or shingle set.
+FEW_ROWS = 1_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -29,10 +33,32 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """The rows of `df` as a table in the shared folder: computed once, readable after an executor is lost."""
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Python workers get at most `rows` rows at once in what is run inside; a smaller setting of the session stays."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting, None)
+    if before is not None and 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(setting, rows)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+        else:
+            spark.conf.set(setting, before)
+
+
+def staged(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """The rows of `df` as a table in the shared folder: computed once, readable after an executor is lost.
+
+    With `batch`, Python functions in `df` get at most so many rows at once.
+    """
     path = fresh_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with arrow_batches(df.sparkSession, batch) if batch else nullcontext():
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
