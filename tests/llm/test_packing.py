@@ -123,3 +123,20 @@ def test_remembered_pieces_age(monkeypatch):
         got = made.encode(texts)
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
         assert len(made.pieces.number) <= 40
+
+
+@pytest.mark.parametrize("name, words", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_a_new_piece_is_looked_up_twice_at_most(name, words):
+    class Asked(dict):
+        times = 0
+
+        def get(self, *args):
+            self.times += 1
+            return super().get(*args)
+
+    made = PieceEncoder(public_tokenizers.path(name), 4, words, literal=False)
+    made.pieces.number = asked = Asked()
+    pieces = [f"{chr(97 + i)}{chr(97 + j)}x" for i in range(20) for j in range(20)]
+    got = made.encode([" ".join(pieces)])
+    assert np.frombuffer(got[0], "<u4").tolist() == made.whole.encode(" ".join(pieces), add_special_tokens=False).ids
+    assert asked.times <= 2 * len(pieces) + 10

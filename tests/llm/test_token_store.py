@@ -57,3 +57,32 @@ def test_special_tokens_in_a_text_shift_later_documents(spark):
         n = len(whole.encode(text, add_special_tokens=False).ids) + 1
         assert (got[doc_id].start, got[doc_id].n_tokens) == (start, n)
         start += n
+
+
+def test_workers_get_few_rows_and_blocks_are_cut_where_they_are_full(spark, tmp_path, monkeypatch):
+    real, met = ts.encoder, tmp_path / "met"
+
+    class Counted:
+        def __init__(self, *args):
+            self.real = real(*args)
+
+        def encode(self, texts):
+            with open(met, "a") as f:
+                f.write(f"{len(texts)}\n")
+            return self.real.encode(texts)
+
+    monkeypatch.setattr(ts, "encoder", Counted)
+    docs = spark.range(2500).selectExpr("id AS doc_id", "concat('text ', id) AS text").coalesce(1)
+    store = fresh_folder(spark, "store")
+    ts.write_store(docs, store, tokenizer=PATH, end_id=2, block_bytes=500)
+    assert max(map(int, met.read_text().split())) <= 1000
+    at = 0
+    for r in sorted(ts.read_store(spark, store).collect(), key=lambda r: r.start):
+        want = np.array([*real(PATH, 4).whole.encode(f"text {r.doc_id}", add_special_tokens=False).ids, 2], dtype="<u4").tobytes()
+        assert (r.start, r.n_tokens, bytes(r.ids)) == (at, len(want) // 4, want)
+        at += r.n_tokens
+    last = {}
+    for r in spark.read.parquet(f"{store}/blocks").collect():
+        assert [e.offset for e in r.entries] == list(np.cumsum([0] + [e.length for e in r.entries[:-1]])) and r.entries[-1].offset < 500
+        last.setdefault(r.part, []).append((r.block, len(r.data)))
+    assert all(size >= 500 for blocks in last.values() for _, size in sorted(blocks)[:-1])

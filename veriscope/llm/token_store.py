@@ -23,13 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veriscope.llm.registry import query
-from veriscope.llm.shared import fresh_folder, shipped, staged, table
+from veriscope.llm.shared import FEW_ROWS, arrow_batches, fresh_folder, shipped, staged, table
 from veriscope.llm.tokens import encoder
 
 SAMPLE, DICTIONARY_BYTES, LEVEL = 2_000, 64 << 10, 3
@@ -71,44 +73,59 @@ def write_store(
     hashed = rows.select("text", F.xxhash64("text").alias("h"))
     least = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(sample).collect()]
     chosen = hashed.filter(F.col("h") <= max(least, default=0)).dropDuplicates(["h"]).select(F.substring(to_ids("text"), 1, 16 << 10).alias("x"))
-    dictionary = train_dictionary(sorted(bytes(r.x) for r in chosen.collect()))
+    with arrow_batches(spark, FEW_ROWS):
+        dictionary = train_dictionary(sorted(bytes(r.x) for r in chosen.collect()))
     digest = hashlib.sha256(dictionary).hexdigest()
 
-    def frames_of(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def frames_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, 4).encode
         compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary), write_dict_id=False).compress
-        for texts in frames:
-            arrays = [x + end for x in encode(texts)]
-            yield pd.DataFrame({"n_tokens": [len(a) // 4 for a in arrays], "frame": [compress(a) for a in arrays]})
+        for batch in batches:
+            arrays = [x + end for x in encode(batch.column("text").to_pylist())]
+            counts, data = pa.array([len(a) // 4 for a in arrays], pa.int64()), pa.array(map(compress, arrays), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), counts, data], names=["doc_id", "n_tokens", "frame"])
 
     made = staged(
-        rows.select("doc_id", F.pandas_udf(frames_of, "n_tokens long, frame binary")("text").alias("x"))
-        .select("doc_id", "x.*", F.xxhash64("x.frame").alias("tie"), F.monotonically_increasing_id().alias("row")),
-        "frames",
+        rows.select("doc_id", "text").mapInArrow(frames_of, "doc_id long, n_tokens long, frame binary")
+        .select("*", F.xxhash64("frame").alias("tie"), F.monotonically_increasing_id().alias("row")),
+        "frames", FEW_ROWS,
     )
 
-    def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        held, entries, size, block, start, seq = [], [], 0, 0, 0, 0
-
-        def flush() -> pd.DataFrame:
-            return pd.DataFrame({"part": [part], "block": [block], "data": [b"".join(held)], "entries": [list(entries)]})
-
-        for f in frames:
-            for doc_id, n, frame in zip(f["doc_id"], f["n_tokens"], f["frame"], strict=True):
-                entries.append((seq, None if pd.isna(doc_id) else int(doc_id), size, len(frame), int(n), start))
-                held.append(frame)
-                size, start, seq = size + len(frame), start + int(n), seq + 1
+        held, size, block, start, seq = [], 0, 0, 0, 0
+
+        def flush() -> pa.RecordBatch:
+            ids, counts, data = (pa.concat_arrays([h.column(c) for h in held]) for c in ("doc_id", "n_tokens", "frame"))
+            lengths, n = pc.binary_length(data).to_numpy(), counts.to_numpy()
+            entries = pa.StructArray.from_arrays(
+                [pa.array(seq + np.arange(len(n))), ids, pa.array(np.cumsum(lengths) - lengths, pa.int32()), pa.array(lengths, pa.int32()),
+                 counts, pa.array(start + np.cumsum(n) - n)],
+                names=["seq", "doc_id", "offset", "length", "n_tokens", "part_start"],
+            )
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([b"".join(data.to_pylist())], pa.binary()),
+                 pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), entries)],
+                names=["part", "block", "data", "entries"],
+            )
+
+        for batch in batches:
+            ends, first = np.append(0, np.cumsum(pc.binary_length(batch.column("frame")).to_numpy(), dtype=np.int64)), 0
+            while first < batch.num_rows:  # up to the row that fills the block
+                last = min(int(np.searchsorted(ends, ends[first] + block_bytes - size)), batch.num_rows)
+                held.append(batch.slice(first, last - first))
+                size, first = size + int(ends[last] - ends[first]), last
                 if size >= block_bytes:
                     yield flush()
-                    held, entries, size, block = [], [], 0, block + 1
+                    start, seq = start + sum(pc.sum(h.column("n_tokens")).as_py() for h in held), seq + sum(h.num_rows for h in held)
+                    held, size, block = [], 0, block + 1
         if held:
             yield flush()
 
     order = ["doc_id", "tie", "row"]
     (
         made.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "frame")
-        .mapInPandas(
+        .mapInArrow(
             blocks,
             "part int, block int, data binary, "
             "entries array<struct<seq:long,doc_id:long,offset:int,length:int,n_tokens:long,part_start:long>>",
@@ -148,18 +165,20 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     if not foreign.isEmpty():
         raise ValueError("entries of this store were written with another dictionary")
 
-    def frames(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inflate = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary)).decompress
-        for f in parts:
-            for part, block, es in zip(f["part"], f["data"], f["entries"], strict=True):
-                yield pd.DataFrame({
-                    "part": part, "doc_id": pd.array([e["doc_id"] for e in es], dtype="Int64"),
-                    "part_start": [e["part_start"] for e in es], "n_tokens": [e["n_tokens"] for e in es],
-                    "ids": [inflate(block[e["offset"] : e["offset"] + e["length"]]) for e in es],
-                })
+        for batch in batches:
+            for part, block, entries in zip(batch.column("part"), batch.column("data"), batch.column("entries"), strict=True):
+                e = pa.RecordBatch.from_struct_array(entries.values)
+                kept, offsets = block.as_py(), e.column("offset").to_pylist()
+                ids = [inflate(kept[at : at + size]) for at, size in zip(offsets, e.column("length").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(part, len(ids)), e.column("doc_id"), e.column("part_start"), e.column("n_tokens"), pa.array(ids, pa.binary())],
+                    names=["part", "doc_id", "part_start", "n_tokens", "ids"],
+                )
 
     return (
-        data.select("part", "data", "entries").mapInPandas(frames, "part int, doc_id long, part_start long, n_tokens long, ids binary")
+        data.select("part", "data", "entries").mapInArrow(frames, "part int, doc_id long, part_start long, n_tokens long, ids binary")
         .join(spark.read.parquet(f"{folder}/bases"), "part")
         .select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids")
     )

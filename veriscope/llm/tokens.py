@@ -15,7 +15,8 @@ import os
 from array import array
 from collections.abc import Iterable
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, compress, repeat
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ _SIMPLE = rf"\A[\x01\n]?[A-Za-zÀ-ÖØ-öø-ÿ]+[!-&(-/:-@\[-`{{-~]*\z"
 #: Stands before the first piece of a text; a text that holds it is encoded whole.
 _FIRST = "\x01"
 _RUNS = ("  ", " \n", "\n ", "\n\n")
+_ENDS = " \n"
 #: Separators that Python splits at and the vocabularies take for symbols.
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Pieces that a worker remembers at once: bounds its memory, not what is encoded.
@@ -47,6 +49,7 @@ def byte_letters() -> dict[int, int]:
 
 _LETTERS = byte_letters()
 _BLANK = chr(_LETTERS[0x20])
+_ID = attrgetter("id")
 
 
 def _strings(values: pa.Array) -> list[str]:
@@ -70,13 +73,24 @@ class _Pieces:
         self.starts.append(len(self.ids))
         return number
 
-    def add_composed(self, names: list[str], parts: np.ndarray) -> None:
-        """Pieces that are the given parts (numbers, a row per piece) in turn."""
+    def add_all(self, names: list[str], ids: np.ndarray, lengths: np.ndarray) -> range:
+        """Numbers of pieces with so many of the given ids each, in turn."""
+        first = len(self.starts) - 1
+        self.starts.frombytes((np.cumsum(lengths) + len(self.ids)).tobytes())
+        self.ids.frombytes(ids.tobytes())
+        numbers = range(first, first + len(names))
+        self.number.update(zip(names, numbers, strict=True))
+        return numbers
+
+    def add_composed(self, names: list[str], parts: np.ndarray) -> range:
+        """Numbers of pieces that are the given parts (numbers, a row per piece) in turn."""
         ids, ends = self.gather(parts.ravel())
         base, first = len(self.ids), len(self.starts) - 1
         self.ids.frombytes(ids.tobytes())
         self.starts.frombytes((ends[parts.shape[1] - 1 :: parts.shape[1]] + base).tobytes())
-        self.number.update(zip(names, range(first, first + len(names)), strict=True))
+        numbers = range(first, first + len(names))
+        self.number.update(zip(names, numbers, strict=True))
+        return numbers
 
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces one after another, and where each piece ends in them."""
@@ -96,10 +110,12 @@ class _Pieces:
         """Once too many pieces are held, only those met twice since the last time stay."""
         if len(self.number) <= REMEMBERED:
             return
-        names = [p for p, number in self.number.items() if number >= 0 and self.used[number] > 1]
-        if len(names) > REMEMBERED // 2:
-            names = []
-        ids, ends = self.gather(np.fromiter(map(self.number.__getitem__, names), np.int64, len(names)))
+        numbers = np.fromiter(self.number.values(), np.int64, len(self.number))
+        stays = (numbers >= 0) & (self.used[numbers] > 1)
+        if stays.sum() > REMEMBERED // 2:
+            stays[:] = False
+        names = list(compress(self.number, stays.tolist()))
+        ids, ends = self.gather(numbers[stays])
         self.number = dict(zip(names, range(len(names)), strict=True))
         self.ids, self.starts = array("I", ids.tobytes()), array("q", [0])
         self.starts.frombytes(ends.astype(np.int64).tobytes())
@@ -124,14 +140,19 @@ class PieceEncoder:
         self.dtype, self.words = f"<u{width}", words
         self.pieces = _Pieces()
 
-    def _core(self, key: str) -> list[int]:
-        """Ids of one pre-token; outside vocabularies of words a blank goes before it unless the key begins with _FIRST."""
-        if key[0] != _FIRST and key.isascii():  # letters alone, which stand for themselves
-            mapped = key if self.words else _BLANK + key
-        else:
-            plain = key[1:] if key[0] == _FIRST else key if self.words else " " + key
-            mapped = plain.encode().decode("latin-1").translate(_LETTERS)
-        return [t.id for t in self.model.tokenize(mapped)]
+    def _mapped(self, keys: list[str]) -> list[str]:
+        """Pre-tokens as the model takes them; outside vocabularies of words a blank goes before those that do not begin with _FIRST."""
+        blank, mapped = ("", "") if self.words else (" ", _BLANK)
+        out = []
+        for key in keys:
+            if key.isascii() and key.isprintable():  # letters alone, which stand for themselves
+                out.append(mapped + key if key else key)
+            elif key[0] == _FIRST:
+                plain = key[1:]
+                out.append(plain if plain.isascii() and plain.isprintable() else plain.encode().decode("latin-1").translate(_LETTERS))
+            else:
+                out.append((blank + key).encode().decode("latin-1").translate(_LETTERS))
+        return out
 
     def _piece(self, piece: str) -> list[int] | None:
         """Ids of any piece between blanks; None if its ends make the cut unsafe."""
@@ -143,19 +164,30 @@ class PieceEncoder:
             return None
         return self._whole(piece if self.words or piece[0] == "\n" else " " + piece)
 
+    def _looked_up(self, names: list[str]) -> np.ndarray:
+        """Numbers of pieces; -2 for new ones."""
+        return np.fromiter(map(self.pieces.number.get, names, repeat(-2)), np.int64, len(names))
+
     def _part_numbers(self, keys: pa.Array) -> np.ndarray:
-        """Numbers of pre-tokens (see `_core`); an empty key is a piece without ids."""
-        coded, get = keys.dictionary_encode(), self.pieces.number.get
-        found = []
-        for key in _strings(coded.dictionary):
-            number = get(key)
-            found.append(self.pieces.add(key, self._core(key) if key else []) if number is None else number)
-        return np.array(found, dtype=np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+        """Numbers of pre-tokens (see `_mapped`); an empty key is a piece without ids."""
+        coded = keys.dictionary_encode()
+        names = _strings(coded.dictionary)
+        numbers = self._looked_up(names)
+        missing = np.flatnonzero(numbers == -2)
+        if len(missing):
+            new = [names[i] for i in missing.tolist()]
+            for at in range(0, len(new), 4096):
+                some = new[at : at + 4096]
+                found = list(map(self.model.tokenize, self._mapped(some)))
+                lengths = np.fromiter(map(len, found), np.int64, len(found))
+                ids = np.fromiter(map(_ID, chain.from_iterable(found)), np.uint32, int(lengths.sum()))
+                numbers[missing[at : at + 4096]] = self.pieces.add_all(some, ids, lengths)
+        return numbers[coded.indices.to_numpy(zero_copy_only=False)]
 
     def _numbers(self, distinct: pa.Array) -> np.ndarray:
         """Numbers of distinct pieces; new ones are encoded first."""
-        names, get = _strings(distinct), self.pieces.number.get
-        numbers = np.fromiter(map(get, names, repeat(-2)), np.int64, len(names))
+        names = _strings(distinct)
+        numbers = self._looked_up(names)
         missing = np.flatnonzero(numbers == -2)
         if not len(missing):
             return numbers
@@ -174,46 +206,39 @@ class PieceEncoder:
         else:
             cores = self._part_numbers(pc.if_else(pc.or_(line, pc.starts_with(words, _FIRST)), head(letters), letters))
         plain = pc.equal(pc.binary_length(marks), 0)
-        tails = self._part_numbers(pc.if_else(plain, none, head(marks)))
-        lines = self._part_numbers(pc.if_else(line, pa.scalar(_FIRST + "\n", words.type), none))
         alone = pc.and_not(plain, line).to_numpy(zero_copy_only=False)
-        self.pieces.number.update(zip(map(names.__getitem__, at[alone].tolist()), cores[alone].tolist(), strict=True))
-        joined = np.stack([lines, cores, tails], axis=1)[~alone]
-        self.pieces.add_composed([names[i] for i in at[~alone].tolist()], joined)
-        numbers[at] = np.fromiter(map(get, map(names.__getitem__, at.tolist())), np.int64, len(at))
+        numbers[at[alone]] = cores[alone]
+        if self.words:  # elsewhere such a piece is the key of its core
+            self.pieces.number.update(zip(map(names.__getitem__, at[alone].tolist()), cores[alone].tolist(), strict=True))
+        rest = pa.array(~alone)
+        lines = self._part_numbers(pc.if_else(line, pa.scalar(_FIRST + "\n", words.type), none).filter(rest))
+        tails = self._part_numbers(pc.if_else(plain, none, head(marks)).filter(rest))
+        joined = np.stack([lines, cores[~alone], tails], axis=1)
+        numbers[at[~alone]] = self.pieces.add_composed([names[i] for i in at[~alone].tolist()], joined)
         return numbers
 
     def _whole(self, text: str) -> list[int]:
         return self.whole.encode(text, add_special_tokens=False).ids
 
-    def _cut_apart(self, texts: pa.Array, after_blank: bool) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    def _cut_apart(self, texts: list[str], after_blank: bool) -> tuple[np.ndarray, pa.Array, np.ndarray]:
         """Which texts may be cut, the pieces of those one after another, and how many each has.
 
         Pieces stand behind a blank or begin with a line feed; a first piece without a blank before it begins with _FIRST.
         """
-        bad = [*self.added, _FIRST]
-        if self.words:
-            bad += _SEPARATORS
-            whole = pa.array([False]).take(pa.array(np.zeros(len(texts), dtype=np.int64)))
-        else:
-            bad += _RUNS
-            ends = [f(texts, x) for f in (pc.starts_with, pc.ends_with) for x in " \n"]
-            whole = pc.or_(pc.or_(ends[0], ends[1]), pc.or_(ends[2], ends[3]))
-        for x in bad:
-            whole = pc.or_(whole, pc.match_substring(texts, x))
-        cut = pc.and_not(pc.greater(pc.binary_length(texts), 0), whole)
-        fast = texts.filter(cut)
+        cut = [t != "" for t in texts] if self.words else [t != "" and t[0] not in _ENDS and t[-1] not in _ENDS for t in texts]
+        for x in (*self.added, _FIRST, *(_SEPARATORS if self.words else _RUNS)):
+            cut = [good and x not in t for good, t in zip(cut, texts, strict=True)]
+        fast = pa.array(compress(texts, cut), pa.large_string())
         if self.words:
             pieces = pc.utf8_split_whitespace(fast)
         else:
             if not after_blank:
                 fast = pc.binary_join_element_wise(pa.scalar(_FIRST, fast.type), fast, pa.scalar("", fast.type))
             pieces = pc.split_pattern(pc.replace_substring(fast, "\n", " \n"), " ")
-        return cut.to_numpy(zero_copy_only=False), pieces.flatten(), pc.list_value_length(pieces).to_numpy(zero_copy_only=False)
+        return np.array(cut, dtype=bool), pieces.flatten(), pc.list_value_length(pieces).to_numpy(zero_copy_only=False)
 
     def _encode(self, texts: list[str | None], after_blank: bool) -> list[bytes]:
-        strings = pa.array([t or "" for t in texts], pa.large_string())
-        cut, pieces, counts = self._cut_apart(strings, after_blank)
+        cut, pieces, counts = self._cut_apart([t or "" for t in texts], after_blank)
         coded = pieces.dictionary_encode()
         codes = self._numbers(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
         borders = np.append(0, np.cumsum(counts)).astype(np.int64)
