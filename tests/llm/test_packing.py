@@ -125,6 +125,21 @@ def test_remembered_pieces_age(monkeypatch):
         assert len(made.pieces.number) <= 40
 
 
+def test_workers_get_few_rows_at_once(spark, tmp_path, monkeypatch):
+    real, met = p.encoder, tmp_path / "met"
+
+    def counted(*args):
+        with open(met, "a") as f:
+            f.write("x")
+        return real(*args)
+
+    monkeypatch.setattr(p, "encoder", counted)
+    docs = spark.range(2500).selectExpr("id AS doc_id", "concat('text ', id) AS text").coalesce(1)
+    got = p.pack(docs, tokenizer=PATH, words=True, end_id=1)
+    assert got.select("doc_id").distinct().count() == 2500
+    assert len(met.read_text()) >= 3
+
+
 @pytest.mark.parametrize("name, words", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
 def test_a_new_piece_is_looked_up_twice_at_most(name, words):
     class Asked(dict):

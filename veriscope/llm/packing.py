@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veriscope.llm.registry import query
-from veriscope.llm.shared import shipped, staged, table
+from veriscope.llm.shared import FEW_ROWS, shipped, staged, table
 from veriscope.llm.tokens import encoder
 
 CAPACITY, GAP = 2048, 2e-3
@@ -181,21 +181,20 @@ def pack(
         part, met = TaskContext.get().partitionId(), Counter()
         for frame in frames:
             encode = encoder(tokenizer, 4, words).encode
-            for at in range(0, len(frame), 512):
-                some = frame.iloc[at : at + 512]
-                out = []
-                for k, ids in zip(some["key"], encode(some["text"]), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    for start, length in cut_document(n, capacity, classes):
-                        out.append((None if pd.isna(k) else k, start, length, met[length], n, ids[4 * start : 4 * (start + length)]))
-                        met[length] += 1
-                piece = pd.DataFrame(out, columns=["key", "start", "class", "local", "doc_tokens", "ids"])
-                yield piece.astype({"key": "Int64"}).assign(part=part)[["part", "class", "local", "key", "start", "doc_tokens", "ids"]]
+            out = []
+            for k, ids in zip(frame["key"], encode(frame["text"]), strict=True):
+                ids += end
+                n = len(ids) // 4
+                for start, length in cut_document(n, capacity, classes):
+                    out.append((None if pd.isna(k) else k, start, length, met[length], n, ids[4 * start : 4 * (start + length)]))
+                    met[length] += 1
+            piece = pd.DataFrame(out, columns=["key", "start", "class", "local", "doc_tokens", "ids"])
+            yield piece.astype({"key": "Int64"}).assign(part=part)[["part", "class", "local", "key", "start", "doc_tokens", "ids"]]
 
     rows = shipped(documents).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     pieces = staged(
-        rows.mapInPandas(cut, "part int, class long, local long, key long, start long, doc_tokens long, ids binary"), "pieces"
+        rows.mapInPandas(cut, "part int, class long, local long, key long, start long, doc_tokens long, ids binary"), "pieces",
+        FEW_ROWS,
     )
     counts = pieces.groupBy("part", "class").agg(F.count("*").alias("n"))
     before = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
