@@ -3,9 +3,10 @@ r"""Exact top-k inner products by a bit-sliced index.
 A vector is quantised to integers. The index keeps, per block of rows, one bitmap for each bit of
 each attribute (bit i of attribute d over all rows of the block). A query multiplies by adding:
 for each set digit of its own component (binary, with signs) the attribute's slices enter the score at
-that weight, summed by carry-save adders on all bitmaps of a number at once, 64 rows a word. The score slices are then read from the most
-significant one downward: rows are split by the bit until k are certain, and rows that tie at the
-boundary are taken in ascending id, the order in which a block stores them. The result is exact.
+that weight, summed by carry-save adders on all bitmaps of a number at once, 64 rows a word. The score
+slices are then read from the most significant one downward: rows are split by the bit until k are
+certain, and rows that tie at the boundary are taken in ascending id, the order in which a block stores
+them. The result is exact.
 
 Blocks have a fixed number of rows and query batches a fixed number of queries (fewer of long vectors),
 whatever the keys are, so equal vectors spread like others. A block meets every batch once (a stated query
@@ -29,7 +30,7 @@ from veriscope.llm.shared import FEW_ROWS, shipped, staged, table
 
 SCORE = "decimal(38,0)"
 LIMIT = float(1 << 63)  # quantised components are 64-bit integers, as in the SQL; sums of products may be longer
-BLOCK_VALUES, BATCH_VALUES = 1 << 23, 1 << 19  # components of a block and of a query batch at most: what a task holds, for vectors of any length
+BLOCK_VALUES, BATCH_VALUES = 1 << 23, 1 << 18  # components of a block and of a query batch at most: what a task holds, for vectors of any length
 MEETINGS = 512  # query batches grow with the table up to their limit, so that there are about so many meetings
 
 
